@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, packing, quality_rules, span_dedup, topk
+from . import jaccard_join, langid, lm, mixing, packing, quality_rules, site_quality, span_dedup, topk, toxicity
 from .common import table
 
 
@@ -17,6 +17,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is the host; its documents in one language are a path."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    return site_quality.site_quality(docs, table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.dedup_spans(table(spark, sf_dir, "documents"))
 
@@ -25,6 +31,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -35,7 +53,25 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_ngram_jaccard_join, op4_substring_dedup, op5_best_fit_packing, op9_exact_topk, op10_source_mixing)
+    for f in (
+        op1_quality_rules, op2_ngram_jaccard_join, op3_quality_classifier, op4_substring_dedup, op5_best_fit_packing,
+        op6_lm_scoring, op7_language_id, op8_toxicity, op9_exact_topk, op10_source_mixing,
+    )
+}
+
+#: None of the ten is whole in SQL (a fitted model, a global packing, components of similarity, a permutation), but exact search is.
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e
+            from embeddings
+            where vec_id is not null and embedding is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
+        ), s as (
+            select q.vec_id as query_id, c.vec_id, list_inner_product(q.e::double[], c.e::double[])::bigint as score
+            from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)
+        )
+        select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+        from s qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10
+    """,
 }
-
-ORACLE_SQL: dict[str, str] = {}
