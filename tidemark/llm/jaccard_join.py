@@ -6,19 +6,16 @@
    first. Any fixed order gives exact results, the sketch only makes it selective.
 2. Documents with the same set collapse into one; documents with the same prefix
    and size collapse into one group, which is posted once per prefix shingle.
-3. Group pairs that share a posting are filtered by size and position. In each
-   posting list every group first meets only the list's pivot, its smallest
-   member; the groups are then expanded and the members verified on whole sets.
-   Links found join components, and in later rounds a posting list only pairs
-   members of different components, the rarer ones against all. A list of N near
-   copies so costs about N pairs, and still no link between components is missed.
+3. Group pairs that share a posting are filtered by size, by position, and by
+   BITS parity bits, a lower bound of the sets' difference. First every group
+   meets only the pivots of its posting lists and tries the nearest; links join
+   components. Then groups are expanded, and a posting list pairs members of
+   different components, the lesser ones against all; pairs that pass the filters
+   are verified on whole sets. A list of N near copies so costs about N pairs, and
+   still no link between components is missed.
 4. Components come from alternating large-star and small-star steps, which are
    joins and grouped minima; nothing is collected.
 
-Members of a group share the prefix but not the whole set: each member is
-verified against the group's first member in round one, and members left in
-other components meet again in round two like any others.
-
 Defined results: null, empty or wordless text has an empty set and no links;
 fewer words than a shingle give one shingle of all words; doc_id names a
 document, so rows that repeat it belong together and each is returned; a null
@@ -36,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 SKETCH_BITS = 21
+BITS = 512
+ODD = [f"o{i}" for i in range(BITS // 64)]
 PARTS = 64  # slices in which the sketch is summed
 KINDS = 0x9E3779B97F4A7C15
 
@@ -111,7 +110,11 @@ def _rows(batches, names: list[str], types: list[pa.DataType], make):
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
-    """doc_id, n, whole (digest of the set), lead (digest of prefix and size), prefix in the global order."""
+    """doc_id, n, whole (digest of the set), lead (digest of prefix and size), prefix in the global order, and ODD.
+
+    ODD are BITS bits: whether the set has an odd number of hashes in each of
+    BITS classes. Two sets differ in at least as many elements as their bits do.
+    """
     import hashlib
 
     def run(batches):
@@ -119,8 +122,10 @@ def _prefixes(docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
 
         def make(b):
             n, whole, lead, prefix = [], [], [], []
-            for t in _texts(b):
+            odd = np.zeros((b.num_rows, BITS), np.uint8)
+            for r, t in enumerate(_texts(b)):
                 s = shingles(t, size, words)
+                odd[r] = np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
                 n.append(len(s))
                 whole.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
@@ -128,11 +133,13 @@ def _prefixes(docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
                 p = s[np.lexsort((s, rare))[:keep]]
                 prefix.append(p.view(np.int64))
                 lead.append(hashlib.blake2b(p.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).digest())
-            return [b.column("doc_id"), n, whole, lead, prefix]
+            packed = np.packbits(odd, axis=1).view(np.int64)
+            return [b.column("doc_id"), n, whole, lead, prefix, *packed.T.copy()]
 
-        yield from _rows(batches, ["doc_id", "n", "whole", "lead", "prefix"], [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())], make)
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())] + [pa.int64()] * len(ODD)
+        yield from _rows(batches, ["doc_id", "n", "whole", "lead", "prefix", *ODD], types, make)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, whole binary, lead binary, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, whole binary, lead binary, prefix array<long>, " + ", ".join(f"{c} long" for c in ODD))
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -145,8 +152,11 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, s binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
+    pairs = scratch.save(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = scratch.save(_sets(docs, ids, size), "sets")
     x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
@@ -193,48 +203,60 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(_sketch(docs, size))
     all_ = scratch.save(_prefixes(docs, size, percent, sketch), "prefixes")
-    full = all_.filter("n > 0 and doc_id is not null")
     # Same set: one stands for all. Same prefix and size: one posts for all.
-    firsts = full.groupBy("n", "whole", "lead").agg(F.min("doc_id").alias("rep"), F.min_by("prefix", "doc_id").alias("prefix"))
+    firsts = all_.filter("n > 0 and doc_id is not null").groupBy("n", "whole", "lead").agg(F.min("doc_id").alias("rep"))
     firsts = scratch.save(firsts, "firsts")
-    groups = firsts.groupBy("n", "lead").agg(F.min("rep").alias("g"), F.min_by("prefix", "rep").alias("prefix"), F.count(F.lit(1)).alias("members"))
-    groups = scratch.save(groups, "groups")
-    member = scratch.save(firsts.join(groups.filter("members > 1").select("n", "lead", "g"), ["n", "lead"], "left").select("rep", F.coalesce("g", "rep").alias("g"), "n"), "members")
-    posts = groups.select("g", "n", "members", F.posexplode("prefix").alias("at", "token"))
+    groups = firsts.groupBy("n", "lead").agg(F.min("rep").alias("g"), F.count(F.lit(1)).alias("members"))
+    member = firsts.join(groups.filter("members > 1").select("n", "lead", "g"), ["n", "lead"], "left").select("rep", F.coalesce("g", "rep").alias("g"), "n")
+    bits = all_.select(F.col("doc_id").alias("rep"), *ODD).dropDuplicates(["rep"])
+    member = scratch.save(member.join(bits, "rep"), "members")
+    leads = groups.select(F.col("g").alias("doc_id"), "members")
+    posts = all_.select("doc_id", "n", "prefix").join(leads, "doc_id").select(F.col("doc_id").alias("g"), "members", (F.col("n").cast("long") * (1 << 32)).alias("size"), F.posexplode("prefix").alias("at", "token"))
+    posts = scratch.save(posts.select("token", "g", "members", (F.col("size") + F.col("at")).alias("na")), "posts")
     # Only lists that could hold a link: two members or more.
-    lists = posts.groupBy("token").agg(F.sum("members").alias("len"), F.min(F.struct("n", "g", "at")).alias("p")).filter("len > 1")
-    posts = scratch.save(posts.join(lists.select("token", "p"), "token").select("token", "g", "n", "at", "p"), "posts")
-
-    def near(n1, at1, n2, at2):
-        """Size and position filters: an overlap of percent / (100 + percent) of both sizes must still be possible."""
-        left = F.least(n1 - at1, n2 - at2)
+    lists = posts.groupBy("token").agg(F.sum("members").alias("len")).filter("len > 1")
+    shared = posts.join(lists, "token").select("token", "g", "len", F.shiftright("na", 32).cast("int").alias("n"), F.col("na").bitwiseAND((1 << 32) - 1).cast("int").alias("at"))
+    shared = scratch.save(shared, "shared")
+    scratch.drop(posts)
+
+    def sizes(x: str, y: str):
+        """Size and position filters: what must hold if the sets are similar enough."""
+        n1, n2, left = F.col(f"{x}.n"), F.col(f"{y}.n"), F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
         return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * left.cast("long") >= percent * (n1 + n2))
 
-    # Round one: groups meet the pivot of each list; members meet the first of their group.
-    p = F.col("p")
-    pivot = posts.filter((F.col("g") != p["g"]) & near(F.col("n"), F.col("at"), p["n"], p["at"])).select(F.col("g").alias("a"), p["g"].alias("b"))
+    def bits_near(x: str, y: str):
+        """The same for the bits."""
+        return (100 + percent) * apart(x, y) <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+
+    def apart(x: str, y: str):
+        out = F.lit(0)
+        for c in ODD:
+            out = out + F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
+        return out
+
+    # Round one: every group meets the most central member of its lists, the one in most company, and of
+    # those it tries the nearest by bits; other members try the first of their group.
+    company = shared.groupBy("g").agg(F.sum("len").alias("company"))
+    x = shared.join(company, "g")
+    pivots = x.groupBy("token").agg(F.max(F.struct("company", "g", "n", "at")).alias("p")).select("token", F.col("p.g").alias("g"), F.col("p.n").alias("n"), F.col("p.at").alias("at"))
+    of_group = member.select(F.col("rep").alias("g"), *ODD)
+    a, b = shared.join(of_group, "g").alias("a"), pivots.join(of_group, "g").alias("b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") != F.col("b.g")) & sizes("a", "b") & bits_near("a", "b"))
+    best = met.groupBy(F.col("a.g").alias("a")).agg(F.min(F.struct(apart("a", "b").alias("d"), F.col("b.g").alias("b"))).alias("s")).select("a", "s.b")
     inner = member.filter("rep <> g").select(F.col("rep").alias("a"), F.col("g").alias("b"))
-    pairs = scratch.save(pivot.union(inner).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.save(_sets(docs, ids, size).dropDuplicates(["doc_id"]), "sets")
-    links = scratch.save(_verified(pairs, sets, percent), "links")
+    links = scratch.save(_verified(best.union(inner), docs, size, percent, scratch), "links")
     comp = scratch.save(components(links, scratch), "components")
-    # Round two: members of different components that share a list.
-    # Every member with its component; lists expand from groups to members only where components differ.
-    m = member.join(comp, member["rep"] == comp["node"], "left").select("rep", "g", F.coalesce("component", "rep").alias("c"))
-    x = scratch.save(posts.select("token", "g", "n", "at").join(m, "g").select("token", "rep", "g", "n", "at", "c"), "open")
-    per = x.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = per.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    x = x.join(main, "token")
+    # Round two: every member of a list of several components meets those of others, the lesser components
+    # each of the others, the main one none of its own. No candidate is left out.
+    m = member.join(comp, member["rep"] == comp["node"], "left").select("rep", "g", F.coalesce("component", "rep").alias("c"), *ODD)
+    kinds = shared.join(m.select("g", "c"), "g").groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
+    main = kinds.groupBy("token").agg(F.max(F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("token", F.col("main.c").alias("main"))
+    x = scratch.save(shared.join(main, "token").join(m, "g").select("token", "rep", "n", "at", "c", "main", *ODD), "open")
     few, many = x.filter("c <> main").alias("f"), x.alias("m")
-    apart = (F.col("f.token") == F.col("m.token")) & (F.col("f.c") != F.col("m.c")) & near(F.col("f.n"), F.col("f.at"), F.col("m.n"), F.col("m.at"))
-    # Two that are both few meet from both sides; one side is enough.
-    apart = apart & ((F.col("m.c") == F.col("m.main")) | (F.col("f.rep") > F.col("m.rep")))
-    pairs2 = few.join(many, apart).select(F.greatest("f.rep", "m.rep").alias("a"), F.least("f.rep", "m.rep").alias("b")).distinct()
-    pairs2 = scratch.save(pairs2.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    lacking = pairs2.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id", "left_anti")
-    more = scratch.save(_sets(docs, lacking, size).dropDuplicates(["doc_id"]), "sets")
-    found = scratch.save(_verified(pairs2, sets.union(more), percent), "links")
+    # Two that are both of lesser components would meet from both sides; one side is enough.
+    cross = (F.col("f.token") == F.col("m.token")) & (F.col("f.c") != F.col("m.c")) & ((F.col("m.c") == F.col("m.main")) | (F.col("f.rep") > F.col("m.rep")))
+    pairs = few.join(many, cross & sizes("f", "m") & bits_near("f", "m")).select(F.greatest("f.rep", "m.rep").alias("a"), F.least("f.rep", "m.rep").alias("b")).distinct()
+    found = scratch.save(_verified(pairs, docs, size, percent, scratch), "links")
     links = links.union(found)
     comp = scratch.save(components(links, scratch), "components")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
