@@ -3,12 +3,10 @@
 A text is cut into sentences: after a word that ends in . ! or ?, at a line
 feed, and, so that unpunctuated text has sentences too, after any word whose
 hash falls in one class of CUT. The cuts depend on the words alone, so a passage
-is cut alike wherever it stands. From every sentence on, and up to every
-sentence, the shortest run of at least RUN consecutive sentences and WORDS
-words is hashed; runs are joined over the whole corpus by hash, and a sentence
+is cut alike wherever it stands. Every run of RUN consecutive sentences with WORDS words or
+more is hashed; runs are joined over the whole corpus by hash, and a sentence
 goes if any run that covers it is not the first of its kind (least doc_id, then
-place). A passage of 2 * WORDS words in RUN or more sentences is so covered
-entirely.
+place).
 
 Sentences are compared by their words, with A-Z lower-cased; white space does
 not matter. What stays of a text stays as it was, byte for byte.
@@ -29,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-RUN = 2
-WORDS = 20
+RUN = 3
+WORDS = 8
 CUT = 16
 _M = (1 << 64) - 1
 _B, _C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so they have inverses modulo 2 ** 64
@@ -89,54 +87,67 @@ class Cutter:
 
 
 def runs_of(bounds: np.ndarray) -> np.ndarray:
-    """Pairs (first sentence, sentence after the last) of the shortest runs from and up to each sentence."""
-    n = len(bounds) - 1
-    i = np.arange(n)
-    j = np.maximum(i + RUN, np.searchsorted(bounds, bounds[:-1] + WORDS))
-    ends = np.arange(1, n + 1)
-    k = np.minimum(ends - RUN, np.searchsorted(bounds, bounds[1:] - WORDS, "right") - 1)
-    both = np.concatenate((np.stack((i, j), 1)[j <= n], np.stack((k, ends), 1)[k >= 0]))
-    return np.unique(both, axis=0) if len(both) else both
+    """First sentence of every run of RUN sentences that has at least WORDS words."""
+    return np.flatnonzero(bounds[RUN:] - bounds[:-RUN] >= WORDS)
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """doc_id, th, h, i, j for every hashed run."""
+    """o, ti, h for every hashed run: document in order, text's tag and first sentence, hash of the words."""
 
     def work(batches):
         cutter = Cutter()
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 b = big.slice(at, 500)
-                which, h, ij = [], [], []
+                which, h, first = [], [], []
                 for r, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
                     _, bounds, run = cutter(t or b"")
-                    if len(bounds) > RUN and len(p := runs_of(bounds)):
-                        ij.append(p)
-                        h.append(run(bounds[p[:, 0]], bounds[p[:, 1]]))
-                        which.append(np.full(len(p), r))
-                if not which:
-                    continue
-                rows, ij = pa.array(np.concatenate(which)), np.concatenate(ij).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(rows), b.column("th").take(rows), pa.array(np.concatenate(h).view(np.int64)), pa.array(ij[:, 0].copy()), pa.array(ij[:, 1].copy())],
-                    ["doc_id", "th", "h", "i", "j"],
-                )
+                    if len(bounds) > RUN and len(i := runs_of(bounds)):
+                        first.append(i)
+                        h.append(run(bounds[i], bounds[i + RUN]))
+                        which.append(np.full(len(i), r))
+                if which:
+                    rows = np.concatenate(which)
+                    ti = b.column("tag").to_numpy()[rows] + np.concatenate(first)
+                    yield pa.RecordBatch.from_arrays([b.column("o").take(pa.array(rows)), pa.array(ti), pa.array(np.concatenate(h).view(np.int64))], ["o", "ti", "h"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(work, "doc_id long, th long, h long, i int, j int")
+    return docs.select("o", "tag", "text").mapInArrow(work, "o long, ti long, h long")
 
 
-def dedup_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text (what is left), n_sentences, n_removed, removed_words for every row of docs (doc_id, text)."""
+def _with_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """Each row of docs with the first sentences of its late runs, under spans."""
     scratch = Scratch(docs.sparkSession)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
+    # order of documents, null last; a tag that keeps texts of one doc_id apart, above 32 bits for the sentence
+    tag = F.shiftleft(F.pmod(F.xxhash64("text"), F.lit((1 << 31) - 1)), 32)
+    d = d.withColumn("o", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("tag", tag)
     runs = scratch.save(_runs(d), "runs")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("th").alias("th"), F.col("i").alias("i"))
-    # least and greatest place differ exactly if a run stands at two places
-    again = runs.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("other")).filter("first <> other").select("h", "first")
-    late = runs.join(again, "h").filter(place != F.col("first")).select("doc_id", "th", "i", "j").distinct()
-    gone = late.groupBy("doc_id", "th").agg(F.collect_list(F.struct("i", "j")).alias("spans"))  # at most two for each sentence of one text
-    g = gone.select(F.col("doc_id").alias("gid"), F.col("th").alias("gth"), "spans")
-    x = d.join(g, d["doc_id"].eqNullSafe(g["gid"]) & (d["th"] == g["gth"]), "left").select("doc_id", "text", "spans")
+    again = runs.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    shared = scratch.save(runs.join(again, "h"), "shared")
+    first = shared.groupBy("h").agg(F.min(F.struct("o", "ti")).alias("first"))
+    late = shared.join(first, "h").filter(F.struct("o", "ti") != F.col("first")).select("o", "ti").distinct()
+    tagged = F.shiftleft(F.shiftright("ti", 32), 32)
+    gone = late.select("o", tagged.alias("tag"), (F.col("ti") - tagged).cast("int").alias("i"))
+    gone = gone.groupBy("o", "tag").agg(F.collect_list("i").alias("spans"))  # no more than one text has sentences
+    return d.join(gone, ["o", "tag"], "left").select("doc_id", "text", *carry, "spans")
+
+
+def dedup_spans(docs: DataFrame) -> DataFrame:
+    """doc_id, text (what is left), n_sentences, n_removed, removed_words for every row of docs (doc_id, text)."""
+    return _cut(_with_spans(docs, []), [])
+
+
+def replace_texts(docs: DataFrame) -> DataFrame:
+    """docs with what is left of each text; the same columns."""
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = {c: f"_c{i}" for i, c in enumerate(carry)}
+    x = _with_spans(docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in names.items()]), list(names.values()))
+    out = _cut(x, list(names.values()))
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+
+
+def _cut(x: DataFrame, carry: list[str]) -> DataFrame:
+    """doc_id, text without the sentences in its late runs, counts, and the columns carried along."""
 
     def work(batches):
         cutter = Cutter()
@@ -148,9 +159,9 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
                     starts, bounds, _ = cutter(t or b"")
                     n = len(starts)
                     gone = np.zeros(n + 1, np.int64)
-                    for s in spans or ():
-                        gone[s["i"]] += 1
-                        gone[s["j"]] -= 1
+                    for i in spans or ():
+                        gone[i] += 1
+                        gone[i + RUN] -= 1
                     gone = np.cumsum(gone)[:n] > 0
                     if gone.any():
                         ends = np.append(starts[1:], len(t))
@@ -160,8 +171,9 @@ def dedup_spans(docs: DataFrame) -> DataFrame:
                     removed.append(int(gone.sum()))
                     words.append(int(np.diff(bounds)[gone].sum()) if n else 0)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(words, pa.int64())],
-                    ["doc_id", "text", "n_sentences", "n_removed", "removed_words"],
+                    [b.column("doc_id"), pa.array(out, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(words, pa.int64()), *[b.column(c) for c in carry]],
+                    ["doc_id", "text", "n_sentences", "n_removed", "removed_words", *carry],
                 )
 
-    return x.mapInArrow(work, "doc_id long, text string, n_sentences long, n_removed long, removed_words long")
+    kinds = "doc_id long, text string, n_sentences long, n_removed long, removed_words long"
+    return x.mapInArrow(work, ", ".join([kinds, *[f"{c} {t}" for c, t in x.dtypes if c in carry]]))
