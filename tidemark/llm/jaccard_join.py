@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SKETCH_BITS = 21
+SKETCH_BITS = 20
 BITS = 512
 ODD = [f"o{i}" for i in range(BITS // 64)]
 PARTS = 64  # slices in which the sketch is summed
@@ -75,27 +75,27 @@ def _texts(batch: pa.RecordBatch) -> list:
 
 
 def _sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """Bucket counts of all documents' shingles, as 32-bit numbers that stop at their largest value."""
+    """Bucket counts of all documents' shingles, as 32-bit numbers."""
 
     def count(batches):
         words, total = _Words(), np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
             for t in _texts(b):
                 np.add.at(total, (shingles(t, size, words) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        parts = np.minimum(total, 2**32 - 1).astype("<u4").reshape(PARTS, -1)
+        parts = np.minimum(total, 2**16 - 1).astype("<u2").reshape(PARTS, -1)  # a task's counts may stop there: the order stays one order
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for p, c in zip(b.column("part").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(c, "<u4").astype(np.int64)
+                x = np.frombuffer(c, "<u2").astype(np.int64)
                 held[p] = held[p] + x if p in held else x
         for p, x in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], ["part", "counts"])
 
     kind = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, kind).repartition(PARTS, "part").mapInArrow(add, kind).collect()  # 8 MB at most
+    rows = docs.select("text").mapInArrow(count, kind).repartition(PARTS, "part").mapInArrow(add, kind).collect()  # 4 MB
     out = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), np.uint32)
     for r in rows:
         out[r["part"]] = np.frombuffer(r["counts"], "<u4")
@@ -211,13 +211,15 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     bits = all_.select(F.col("doc_id").alias("rep"), *ODD).dropDuplicates(["rep"])
     member = scratch.save(member.join(bits, "rep"), "members")
     leads = groups.select(F.col("g").alias("doc_id"), "members")
-    posts = all_.select("doc_id", "n", "prefix").join(leads, "doc_id").select(F.col("doc_id").alias("g"), "members", (F.col("n").cast("long") * (1 << 32)).alias("size"), F.posexplode("prefix").alias("at", "token"))
-    posts = scratch.save(posts.select("token", "g", "members", (F.col("size") + F.col("at")).alias("na")), "posts")
+    reps = scratch.save(all_.select("doc_id", "n", "prefix").dropDuplicates(["doc_id"]).join(leads, "doc_id"), "reps")
+    size_at = (F.col("n").cast("long") * (1 << 32)).alias("size")
+    posts = reps.select(F.col("doc_id").alias("g"), "members", size_at, F.posexplode("prefix").alias("at", "token"))
     # Only lists that could hold a link: two members or more.
     lists = posts.groupBy("token").agg(F.sum("members").alias("len")).filter("len > 1")
-    shared = posts.join(lists, "token").select("token", "g", "len", F.shiftright("na", 32).cast("int").alias("n"), F.col("na").bitwiseAND((1 << 32) - 1).cast("int").alias("at"))
+    shared = posts.select("token", "g", (F.col("size") + F.col("at")).alias("na")).join(lists, "token")
+    shared = shared.select("token", "g", "len", F.shiftright("na", 32).cast("int").alias("n"), F.col("na").bitwiseAND((1 << 32) - 1).cast("int").alias("at"))
     shared = scratch.save(shared, "shared")
-    scratch.drop(posts)
+    scratch.drop(reps)
 
     def sizes(x: str, y: str):
         """Size and position filters: what must hold if the sets are similar enough."""
@@ -239,10 +241,12 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     company = shared.groupBy("g").agg(F.sum("len").alias("company"))
     x = shared.join(company, "g")
     pivots = x.groupBy("token").agg(F.max(F.struct("company", "g", "n", "at")).alias("p")).select("token", F.col("p.g").alias("g"), F.col("p.n").alias("n"), F.col("p.at").alias("at"))
-    of_group = member.select(F.col("rep").alias("g"), *ODD)
-    a, b = shared.join(of_group, "g").alias("a"), pivots.join(of_group, "g").alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") != F.col("b.g")) & sizes("a", "b") & bits_near("a", "b"))
-    best = met.groupBy(F.col("a.g").alias("a")).agg(F.min(F.struct(apart("a", "b").alias("d"), F.col("b.g").alias("b"))).alias("s")).select("a", "s.b")
+    a, b = shared.alias("a"), pivots.alias("b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") != F.col("b.g")) & sizes("a", "b"))
+    met = met.select(F.col("a.g").alias("ag"), F.col("b.g").alias("bg")).distinct()
+    of_group = member.select("rep", "n", *ODD)
+    met = met.join(of_group.alias("a"), F.col("ag") == F.col("a.rep")).join(of_group.alias("b"), F.col("bg") == F.col("b.rep")).filter(bits_near("a", "b"))
+    best = met.groupBy(F.col("ag").alias("a")).agg(F.min(F.struct(apart("a", "b").alias("d"), F.col("bg").alias("b"))).alias("s")).select("a", "s.b")
     inner = member.filter("rep <> g").select(F.col("rep").alias("a"), F.col("g").alias("b"))
     links = scratch.save(_verified(best.union(inner), docs, size, percent, scratch), "links")
     comp = scratch.save(components(links, scratch), "components")
