@@ -141,7 +141,8 @@ def train(size: int, triples: np.ndarray, n: np.ndarray, seed: int = 11) -> np.n
     m = {k: np.full_like(v, 1e-4) for k, v in p.items()}
     if len(n):
         heap, cum = np.cumsum(n), np.cumsum(noise)
-        two, one, now = triples // (size * size), triples // size % size, triples % size
+        kind = np.min_scalar_type(size)
+        two, one, now = ((triples // d % size).astype(kind) for d in (size * size, size, 1))
         for step in range(STEPS):
             k = np.minimum(np.searchsorted(heap, r.random(BATCH) * heap[-1], "right"), len(n) - 1)
             a, b, y = two[k], one[k], now[k]
@@ -191,7 +192,8 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:
             break
         floor_ = lev
     frequent = counts.filter(level >= floor_) if floor_ is not None else counts.limit(0)
-    frequent = {bytes(r["word"]): r["n"] for r in frequent.orderBy(F.desc("n"), "word").collect()}  # FREQUENT at most
+    frequent = frequent.select("word", "n").toArrow()  # FREQUENT at most
+    frequent = dict(sorted(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0])))
     own = list(frequent)[:OWN]
     end2 = F.substring("word", -2, 2)
     others = counts.filter(~F.col("word").isin([bytearray(w) for w in own])) if own else counts
@@ -206,8 +208,9 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:
     for e, (n, v) in per_end.items():
         room[classes.by_end.get(e, classes.rest)] += n + v
     shipped = spark.sparkContext.broadcast(classes)
-    rows = class_triples(lessons, shipped).toPandas()  # at most size ** 3 rows of two numbers
-    model = train(classes.size, rows["t"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
+    rows = class_triples(lessons, shipped).select(F.col("t").cast("int"), F.col("n").cast("double")).toArrow()  # at most size ** 3 rows of 12 bytes
+    model = train(classes.size, rows["t"].to_numpy(), rows["n"].to_numpy())
+    del rows
     held_model = spark.sparkContext.broadcast(model)
     log_all = float(np.log10(total + kinds + 1))
     end_base = float(np.log10(n_texts + 1)) - log_all
