@@ -10,19 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-SERIES = W.partitionBy("id")
 #: Rows of decayed sums restart here, so that powers of the decay stay finite for streams of any length.
 DECAY_BLOCK = 4096
 
 
+def series() -> W:
+    """All rows of a series."""
+    return W.partitionBy("id")
+
+
 def upto(order: str = "t") -> W:
     """All rows so far."""
-    return SERIES.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return series().orderBy(order).rowsBetween(W.unboundedPreceding, 0)
 
 
 def last(n: int, order: str = "t") -> W:
     """The last n rows, this one included."""
-    return SERIES.orderBy(order).rowsBetween(-(n - 1), 0)
+    return series().orderBy(order).rowsBetween(-(n - 1), 0)
 
 
 def bounded(q: Column) -> Column:
@@ -37,11 +41,11 @@ def evidence(n: Column, mean: Column, ref_mean: Column | str, ref_sd: Column | s
 
 def over_history(agg, cond: Column, value: Column) -> Column:
     """An aggregate of value over the rows of a series that meet cond, on every row of the series."""
-    return agg(F.when(cond, value)).over(SERIES)
+    return agg(F.when(cond, value)).over(series())
 
 
 def floored_sd(cond: Column, value: Column, alone: float | None = None) -> Column:
-    sd = F.stddev_samp(F.when(cond, value)).over(SERIES)
+    sd = F.stddev_samp(F.when(cond, value)).over(series())
     return F.greatest(F.coalesce(sd, F.lit(alone)) if alone is not None else sd, F.lit(1e-8))
 
 
@@ -58,7 +62,7 @@ def rolling_means(df: DataFrame, value: str, windows: tuple[int, ...], name: str
         if w < 256:
             cols[f"{name}_w{w}"], cols[f"{name}_n{w}"] = F.avg(v).over(last(w, order)), F.count(v).over(last(w, order))
     df = df.withColumns(cols)
-    o = SERIES.orderBy(order)
+    o = series().orderBy(order)
     wide = {}
     for w in windows:
         if w >= 256:
@@ -79,7 +83,7 @@ def decayed_sum(df: DataFrame, value: str, keep: float, name: str, order: str) -
     block, r = (F.col(order) / DECAY_BLOCK).cast("int"), F.col(order) % DECAY_BLOCK
     df = df.withColumns({"_b": block, "_x": F.coalesce(F.col(value), F.lit(0.0)) * F.pow(F.lit(1 / keep), r)})
     inside = F.sum("_x").over(W.partitionBy("id", "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    before = F.sum(F.col("_x")).over(SERIES.orderBy("_b").rangeBetween(-1, -1))
+    before = F.sum(F.col("_x")).over(series().orderBy("_b").rangeBetween(-1, -1))
     total = F.pow(F.lit(keep), r) * inside + F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(keep), r + DECAY_BLOCK)
     return df.withColumn(name, total).drop("_b", "_x")
 
@@ -90,9 +94,9 @@ def midrank(df: DataFrame, value: str, is_ref: Column, name: str) -> DataFrame:
     (less + equal / 2 + 1 / 2) / (references + 1), reference rows ranked among themselves too.
     """
     ref = is_ref.cast("int")
-    upto_value = F.sum(ref).over(SERIES.orderBy(value).rangeBetween(W.unboundedPreceding, 0))
+    upto_value = F.sum(ref).over(series().orderBy(value).rangeBetween(W.unboundedPreceding, 0))
     equal = F.sum(ref).over(W.partitionBy("id", value))
-    size = F.sum(ref).over(SERIES)
+    size = F.sum(ref).over(series())
     return df.withColumns({"_le": upto_value, "_eq": equal, "_m": size}).withColumn(name, (F.col("_le") - F.col("_eq") / 2 + F.lit(0.5)) / (F.col("_m") + 1)).drop("_le", "_eq", "_m")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.causal import SERIES, bounded, correlation, decayed_sum, evidence, floored_sd, last, midrank, normal_quantile, over_history, rolling_means, upto
+from ..functions.causal import bounded, correlation, decayed_sum, evidence, floored_sd, last, midrank, normal_quantile, over_history, rolling_means, series, upto
 
 ORDER = 5  # of the autoregression
 RIDGE = 1.0
@@ -23,8 +23,23 @@ HAC_LAGS = 16
 #: Stream of the conditional scale: share of a new squared innovation, and whether it is clipped.
 SCALES = {"s": (0.01, False), "f": (0.05, False), "r": (0.01, True)}
 
-PAST, ONLINE = F.col("period") == 1, F.col("period") == 2
-FIT, REF = F.col("k") < F.col("cut"), PAST & (F.col("k") >= F.col("cut"))
+
+def past() -> Column:
+    return F.col("period") == 1
+
+
+def online() -> Column:
+    return F.col("period") == 2
+
+
+def fit_rows() -> Column:
+    """The history's first part."""
+    return F.col("k") < F.col("cut")
+
+
+def ref_rows() -> Column:
+    """The history's second part, C."""
+    return past() & (F.col("k") >= F.col("cut"))
 
 
 def _mean(*cols: Column) -> Column:
@@ -38,19 +53,19 @@ def bank(df: DataFrame, value: str, name: str, windows: tuple[int, ...] = WINDOW
     whose rows get null.
     """
     v = F.col(value)
-    df = df.withColumns({"_rm": over_history(F.avg, REF, v), "_rs": floored_sd(REF, v), "_ov": F.when(ONLINE, v)})
+    df = df.withColumns({"_rm": over_history(F.avg, ref_rows(), v), "_rs": floored_sd(ref_rows(), v), "_ov": F.when(online(), v)})
     df = rolling_means(df, "_ov", windows, "_b", "k")
     parts = {}
     for i, w in enumerate((*windows, "all")):
         mean, n = (F.col("_b_all"), F.col("_b_nall")) if w == "all" else (F.col(f"_b_w{w}"), F.col(f"_b_n{w}"))
-        parts[f"{name}{i + 1}"] = F.when(ONLINE, evidence(n, mean, "_rm", "_rs"))
+        parts[f"{name}{i + 1}"] = F.when(online(), evidence(n, mean, "_rm", "_rs"))
     df = df.withColumns(parts)
     return df.withColumn(name, _mean(*[F.col(c) for c in parts])).drop(*[c for c in df.columns if c.startswith("_b_")], "_rm", "_rs", "_ov")
 
 
 def raw_energy(df: DataFrame, whole_history: bool = False, name: str = "blk_r") -> DataFrame:
     """Energy of the values, standardised by C or by the whole history."""
-    ref = PAST if whole_history else REF
+    ref = past() if whole_history else ref_rows()
     df = df.withColumns({"_m": over_history(F.avg, ref, F.col("value")), "_sd": floored_sd(ref, F.col("value"))})
     df = df.withColumn("_q", F.pow((F.col("value") - F.col("_m")) / F.col("_sd"), 2))
     if whole_history:
@@ -89,17 +104,18 @@ def lag_sums(df: DataFrame, z: str, rows: Column, order: int) -> list[Column]:
     return out
 
 
-def autoregression(df: DataFrame, order: int = ORDER, fit: Column = FIT, prefix: str = "beta") -> DataFrame:
+def autoregression(df: DataFrame, order: int = ORDER, fit: Column | None = None, prefix: str = "beta") -> DataFrame:
     """Adds az (value in the fit rows' units), e (innovation) and the coefficients, from a ridge fit on the fit rows.
 
     Lags run across the history's end into the stream. Every series needs
     max(32, 4 * order) fit rows that vary; another raises, none is replaced.
     """
-    df = df.withColumns({"ar_mu": over_history(F.avg, fit, F.col("value")), "ar_sd": F.stddev_samp(F.when(fit, F.col("value"))).over(SERIES), "_nfit": F.count(F.when(fit, 1)).over(SERIES)})
+    fit = fit_rows() if fit is None else fit
+    df = df.withColumns({"ar_mu": over_history(F.avg, fit, F.col("value")), "ar_sd": F.stddev_samp(F.when(fit, F.col("value"))).over(series()), "_nfit": F.count(F.when(fit, 1)).over(series())})
     few = (F.col("_nfit") < max(32, 4 * order)) | F.col("ar_sd").isNull() | (F.col("ar_sd") <= 1e-8)
     df = df.withColumn("ar_sd", F.when(few, F.raise_error(F.concat(F.lit("history too short or constant: "), F.col("id").cast("string"))).cast("double")).otherwise(F.col("ar_sd")))
     df = df.withColumn("az", (F.col("value") - F.col("ar_mu")) / F.col("ar_sd")).drop("_nfit")
-    df = df.withColumns({f"l{j}": F.lag("az", j).over(SERIES.orderBy("k")) for j in range(1, order + 1)})
+    df = df.withColumns({f"l{j}": F.lag("az", j).over(series().orderBy("k")) for j in range(1, order + 1)})
     sums = df.groupBy("id").agg(*lag_sums(df, "az", fit & F.col(f"l{order}").isNotNull(), order))
     name = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
     names = [f"{prefix}{i}" for i in range(order + 1)]
@@ -113,15 +129,15 @@ def autoregression(df: DataFrame, order: int = ORDER, fit: Column = FIT, prefix:
 
 def innovation(df: DataFrame) -> DataFrame:
     """Adds e_mu, e_sd, r (innovation in C's units), mse_ratio and the innovation energy blk_i."""
-    df = df.withColumns({"e_mu": over_history(F.avg, REF, F.col("e")), "e_sd": floored_sd(REF, F.col("e"))})
-    ratio = F.try_divide(over_history(F.avg, REF, F.col("e") * F.col("e")), over_history(F.avg, REF, F.col("az") * F.col("az")))
+    df = df.withColumns({"e_mu": over_history(F.avg, ref_rows(), F.col("e")), "e_sd": floored_sd(ref_rows(), F.col("e"))})
+    ratio = F.try_divide(over_history(F.avg, ref_rows(), F.col("e") * F.col("e")), over_history(F.avg, ref_rows(), F.col("az") * F.col("az")))
     df = df.withColumns({"r": (F.col("e") - F.col("e_mu")) / F.col("e_sd"), "mse_ratio": ratio})
     return bank(df.withColumn("_r2", F.col("r") * F.col("r")), "_r2", "blk_i").drop("_r2")
 
 
 def rank_block(df: DataFrame, value: str = "r", name: str = "blk_p") -> DataFrame:
     """Adds <name>_location, <name>_energy and <name>: evidence on midranks among C, and on their squares."""
-    df = midrank(df, value, REF, "_u")
+    df = midrank(df, value, ref_rows(), "_u")
     df = df.withColumn("_v", 2 * F.col("_u") - 1).withColumn("_v2", F.col("_v") * F.col("_v"))
     df = bank(bank(df, "_v", f"{name}_location"), "_v2", f"{name}_energy")
     return df.withColumn(name, _mean(F.col(f"{name}_location"), F.col(f"{name}_energy"))).drop("_u", "_v", "_v2")
@@ -134,25 +150,25 @@ def sign_dependence(df: DataFrame) -> DataFrame:
     online point has none, and under FEWEST_PAIRS pairs, or where a side does not
     vary, the evidence is 0.
     """
-    df = df.withColumn("_med", F.percentile(F.when(REF, F.col("e")), F.lit(0.5)).over(SERIES))
+    df = df.withColumn("_med", F.percentile(F.when(ref_rows(), F.col("e")), F.lit(0.5)).over(series()))
     df = df.withColumn("_s", F.signum(F.col("e") - F.col("_med")))
-    before = F.lag("_s").over(SERIES.orderBy("k"))
-    df = df.withColumns({"_a": F.when(ONLINE & (F.col("t") > 0), before), "_ca": F.when(REF & (F.col("k") > F.col("cut")), before)})
+    before = F.lag("_s").over(series().orderBy("k"))
+    df = df.withColumns({"_a": F.when(online() & (F.col("t") > 0), before), "_ca": F.when(ref_rows() & (F.col("k") > F.col("cut")), before)})
     s = F.col("_s")
 
     def sums(a: str, window) -> list[Column]:
         x = F.col(a)
         y = F.when(x.isNotNull(), s)
-        return [F.coalesce(agg.over(window), F.lit(0.0)) for agg in (F.count(x).cast("double") if False else F.sum(F.when(x.isNotNull(), 1.0)), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))]
+        return [F.coalesce(agg.over(window), F.lit(0.0)) for agg in (F.sum(F.when(x.isNotNull(), 1.0)), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))]
 
-    df = df.withColumn("_cr", correlation(*sums("_ca", SERIES)))
+    df = df.withColumn("_cr", correlation(*sums("_ca", series())))
     for w in SIGN_WINDOWS:
         parts = {f"_p{i}": c for i, c in enumerate(sums("_a", last(w - 1, "k")))}
         df = df.withColumns(parts)
         rho = correlation(*[F.col(c) for c in parts])
         m = F.col("_p0")
         ok = (m >= FEWEST_PAIRS) & rho.isNotNull() & F.col("_cr").isNotNull()
-        df = df.withColumn(f"blk_d{w}", F.when(ONLINE, F.when(ok, bounded(F.sqrt(m) * F.abs(rho - F.col("_cr")))).otherwise(0.0))).drop(*parts)
+        df = df.withColumn(f"blk_d{w}", F.when(online(), F.when(ok, bounded(F.sqrt(m) * F.abs(rho - F.col("_cr")))).otherwise(0.0))).drop(*parts)
     return df.withColumn("blk_d", _mean(*[F.col(f"blk_d{w}") for w in SIGN_WINDOWS])).drop("_med", "_s", "_a", "_ca", "_cr")
 
 
@@ -165,20 +181,20 @@ def conditional_scale(df: DataFrame, kind: str) -> DataFrame:
     """
     share, robust = SCALES[kind]
     e2 = F.when(F.col("k") >= ORDER, F.col("e") * F.col("e"))
-    fit = FIT & (F.col("k") >= ORDER)
+    fit = fit_rows() & (F.col("k") >= ORDER)
     df = df.withColumn("_e2", e2)
     df = df.withColumn("_b0", F.greatest(over_history(F.avg, fit, F.col("_e2")), F.lit(1e-16)))
     driver = F.col("_e2")
     if robust:
-        df = df.withColumn("_cap", F.percentile(F.when(fit, F.col("_e2")), F.lit(0.99)).over(SERIES))
+        df = df.withColumn("_cap", F.percentile(F.when(fit, F.col("_e2")), F.lit(0.99)).over(series()))
         df = df.withColumn("_clip", over_history(F.avg, fit, F.least("_e2", "_cap")))
         driver = F.when(F.col("_e2").isNull(), None).when(F.col("_clip") > 1e-16, F.col("_b0") / F.col("_clip") * F.least("_e2", "_cap")).otherwise(F.col("_e2"))
     df = decayed_sum(df.withColumn("_d", driver), "_d", 1 - share, "_ds", "k")
-    h = F.pow(F.lit(1 - share), F.col("k") - ORDER) * F.col("_b0") + share * F.coalesce(F.lag("_ds").over(SERIES.orderBy("k")), F.lit(0.0))
+    h = F.pow(F.lit(1 - share), F.col("k") - ORDER) * F.col("_b0") + share * F.coalesce(F.lag("_ds").over(series().orderBy("k")), F.lit(0.0))
     df = df.withColumn(f"v_{kind}", F.when(F.col("k") >= ORDER, F.greatest(h, F.lit(1e-16), 1e-4 * F.col("_b0"))))
     df = df.withColumn(f"u_{kind}", F.col("e") / F.sqrt(f"v_{kind}"))
     u = F.col(f"u_{kind}")
-    df = df.withColumn(f"a_{kind}", (u - over_history(F.avg, REF, u)) / floored_sd(REF, u))
+    df = df.withColumn(f"a_{kind}", (u - over_history(F.avg, ref_rows(), u)) / floored_sd(ref_rows(), u))
     df = bank(df.withColumn("_a2", F.pow(f"a_{kind}", 2)), "_a2", f"blk_j{kind}")
     return df.drop("_e2", "_b0", "_cap", "_clip", "_d", "_ds", "_a2")
 
@@ -186,42 +202,42 @@ def conditional_scale(df: DataFrame, kind: str) -> DataFrame:
 MOMENTS = ("m1", "m2", "m3", "m4", "m5")
 
 
-def _window_evidence(df: DataFrame, value: str, standard: bool, pair: bool, make) -> tuple[DataFrame, list]:
+def _window_evidence(df: DataFrame, value: str, pair: bool, make) -> tuple[DataFrame, list]:
     """Rolling means of online values over the long windows and all rows, each through make(n, mean)."""
     windows = tuple(w - 1 if pair else w for w in LONG_WINDOWS)
     df = rolling_means(df, value, windows, "_b", "k")
     out = []
-    for i, w in enumerate((*windows, "all")):
+    for w in (*windows, "all"):
         n = F.col(f"_b_n{w}") if w != "all" else F.col("_b_nall")
         mean = F.col(f"_b_w{w}") if w != "all" else F.col("_b_all")
-        out.append(make(i, n, mean))
+        out.append(make(n, mean))
     return df, out
 
 
 def normal_scores(df: DataFrame) -> DataFrame:
     """Adds nz: the normal quantile of the slow scale's u among C, with its C mean nz_mu and variance nz_v0."""
-    df = midrank(df, "u_s", REF, "_p")
+    df = midrank(df, "u_s", ref_rows(), "_p")
     df = df.withColumn("nz", F.when(F.col("u_s").isNotNull(), normal_quantile(F.col("_p")))).drop("_p")
-    df = df.withColumn("nz_mu", over_history(F.avg, REF, F.col("nz")))
-    return df.withColumn("nz_v0", over_history(F.avg, REF, F.pow(F.col("nz") - F.col("nz_mu"), 2)))
+    df = df.withColumn("nz_mu", over_history(F.avg, ref_rows(), F.col("nz")))
+    return df.withColumn("nz_v0", over_history(F.avg, ref_rows(), F.pow(F.col("nz") - F.col("nz_mu"), 2)))
 
 
 def moment_blocks(df: DataFrame) -> DataFrame:
     """Adds m1..m5: evidence on four Hermite channels of nz and on its lag product, (largest window + all) / 2."""
     z, c = F.col("nz"), F.col("nz") - F.col("nz_mu")
-    lagged = c * F.lag(c).over(SERIES.orderBy("k"))
+    lagged = c * F.lag(c).over(series().orderBy("k"))
     channels = {
         "m1": z, "m2": (z * z - 1) / F.sqrt(F.lit(2.0)), "m3": (z * z * z - 3 * z) / F.sqrt(F.lit(6.0)),
         "m4": (z * z * z * z - 6 * z * z + 3) / F.sqrt(F.lit(24.0)), "m5": lagged,
     }
     for name, v in channels.items():
         pair = name == "m5"
-        ref, live = (REF & (F.col("k") > F.col("cut")), ONLINE & (F.col("t") > 0)) if pair else (REF, ONLINE)
+        ref, live = (ref_rows() & (F.col("k") > F.col("cut")), online() & (F.col("t") > 0)) if pair else (ref_rows(), online())
         df = df.withColumn("_v", v)
         df = df.withColumn("_v", F.when(live, (F.col("_v") - over_history(F.avg, ref, F.col("_v"))) / floored_sd(ref, F.col("_v"))))
         fewest = FEWEST_PAIRS if pair else 1
-        df, parts = _window_evidence(df, "_v", True, pair, lambda i, n, m: F.when(n >= fewest, bounded(F.sqrt(n) * F.abs(m))).otherwise(0.0))  # noqa: B023
-        df = df.withColumn(name, F.when(ONLINE, (F.greatest(*parts[:3]) + parts[3]) / 2)).drop(*[x for x in df.columns if x.startswith("_b_")], "_v")
+        df, parts = _window_evidence(df, "_v", pair, lambda n, m: F.when(n >= fewest, bounded(F.sqrt(n) * F.abs(m))).otherwise(0.0))  # noqa: B023
+        df = df.withColumn(name, F.when(online(), (F.greatest(*parts[:3]) + parts[3]) / 2)).drop(*[x for x in df.columns if x.startswith("_b_")], "_v")
     return df
 
 
@@ -241,14 +257,14 @@ def long_run_factor(df: DataFrame) -> DataFrame:
 
     Bartlett weights on HAC_LAGS autocovariances; 1 with fewer than 2 * (HAC_LAGS + 1) rows or no variance.
     """
-    q = F.when(REF, F.pow(F.col("nz") - F.col("nz_mu"), 2) - F.col("nz_v0"))
+    q = F.when(ref_rows(), F.pow(F.col("nz") - F.col("nz_mu"), 2) - F.col("nz_v0"))
     df = df.withColumn("_q", q)
-    lags = {f"_q{g}": F.col("_q") * F.lag("_q", g).over(SERIES.orderBy("k")) for g in range(1, HAC_LAGS + 1)} | {"_q0": F.col("_q") * F.col("_q")}
+    lags = {f"_q{g}": F.col("_q") * F.lag("_q", g).over(series().orderBy("k")) for g in range(1, HAC_LAGS + 1)} | {"_q0": F.col("_q") * F.col("_q")}
     df = df.withColumns(lags)
-    m = F.count("_q").over(SERIES)
-    total = F.sum("_q0").over(SERIES)
+    m = F.count("_q").over(series())
+    total = F.sum("_q0").over(series())
     for g in range(1, HAC_LAGS + 1):
-        total = total + 2 * (1 - g / (HAC_LAGS + 1)) * F.coalesce(F.sum(f"_q{g}").over(SERIES), F.lit(0.0))
+        total = total + 2 * (1 - g / (HAC_LAGS + 1)) * F.coalesce(F.sum(f"_q{g}").over(series()), F.lit(0.0))
     df = df.withColumns({"_m": m, "_lrv": F.greatest(total / m, F.lit(0.0))})
     eta = F.greatest(F.lit(1.0), F.try_divide(F.col("_lrv"), 2 * F.col("nz_v0") * F.col("nz_v0")))
     ok = (F.col("_m") >= 2 * (HAC_LAGS + 1)) & (F.col("nz_v0") > 1e-16)
@@ -257,20 +273,20 @@ def long_run_factor(df: DataFrame) -> DataFrame:
 
 def likelihood_blocks(df: DataFrame, trajectory: bool = True) -> DataFrame:
     """Adds l_plus, l_minus, their calibrated forms c_plus, c_minus, and with trajectory drawdown and trajectory_ewma."""
-    df = df.withColumn("_v", F.when(ONLINE, F.pow(F.col("nz") - F.col("nz_mu"), 2)))
+    df = df.withColumn("_v", F.when(online(), F.pow(F.col("nz") - F.col("nz_mu"), 2)))
     df = rolling_means(df, "_v", LONG_WINDOWS, "_b", "k")
     pairs = [(F.col(f"_b_n{w}"), F.col(f"_b_w{w}")) for w in LONG_WINDOWS] + [(F.col("_b_nall"), F.col("_b_all"))]
     for name, eta in (("l", F.lit(1.0)), ("c", F.col("hac_eta"))):
         both = [directional(n, m, F.col("nz_v0"), eta) for n, m in pairs]
         for k, side in enumerate(("plus", "minus")):
             parts = [b[k] for b in both]
-            df = df.withColumn(f"{name}_{side}", F.when(ONLINE, (F.greatest(*parts[:3]) + parts[3]) / 2))
+            df = df.withColumn(f"{name}_{side}", F.when(online(), (F.greatest(*parts[:3]) + parts[3]) / 2))
     df = df.drop("_v", *[x for x in df.columns if x.startswith("_b_")])
     if trajectory:
         df = df.withColumn("_cur", F.greatest("l_plus", "l_minus"))
-        df = df.withColumn("drawdown", F.when(ONLINE, F.greatest(F.lit(0.0), F.max("_cur").over(upto("k"))) - F.col("_cur")))
+        df = df.withColumn("drawdown", F.when(online(), F.greatest(F.lit(0.0), F.max("_cur").over(upto("k"))) - F.col("_cur")))
         df = decayed_sum(df, "_cur", 0.99, "_tr", "k")
-        df = df.withColumn("trajectory_ewma", F.when(ONLINE, 0.01 * F.col("_tr"))).drop("_cur", "_tr")
+        df = df.withColumn("trajectory_ewma", F.when(online(), 0.01 * F.col("_tr"))).drop("_cur", "_tr")
     return df
 
 

@@ -12,18 +12,16 @@ from ..functions.causal import bounded, decayed_sum, evidence, floored_sd, over_
 #: Fixed values of the detectors: decay and scale of the mean detector, slack of CUSUM, tolerance of Page-Hinkley.
 KEEP, KAPPA, SLACK, TOLERANCE = 0.95, 3.0, 0.5, 0.05
 
-HISTORY = F.col("period") == 1
-
 
 def standardised(df: DataFrame) -> DataFrame:
     """Online rows with z, against the whole history's mean and sd (0 and 1 without one)."""
-    value = F.col("value")
-    df = df.withColumns({"mu": F.coalesce(over_history(F.avg, HISTORY, value), F.lit(0.0)), "sd": floored_sd(HISTORY, value, 1.0)})
+    value, past = F.col("value"), F.col("period") == 1
+    df = df.withColumns({"mu": F.coalesce(over_history(F.avg, past, value), F.lit(0.0)), "sd": floored_sd(past, value, 1.0)})
     df = df.withColumn("z", (value - F.col("mu")) / F.col("sd"))
     z = F.col("z")
-    df = df.withColumn("ref_var", F.coalesce(over_history(F.var_samp, HISTORY, z), F.lit(1.0)))
+    df = df.withColumn("ref_var", F.coalesce(over_history(F.var_samp, past, z), F.lit(1.0)))
     for name, a in (("abs", F.abs(z)), ("sq", z * z)):
-        df = df.withColumns({f"ref_{name}": F.coalesce(over_history(F.avg, HISTORY, a), F.lit(0.0)), f"ref_{name}_sd": floored_sd(HISTORY, a, 1.0)})
+        df = df.withColumns({f"ref_{name}": F.coalesce(over_history(F.avg, past, a), F.lit(0.0)), f"ref_{name}_sd": floored_sd(past, a, 1.0)})
     return df.filter("period = 2")
 
 
