@@ -84,8 +84,8 @@ def fit(df: DataFrame, experiment: str) -> dict:
 
 
 def predict(df: DataFrame, model: dict, name: str = "prediction") -> DataFrame:
-    """Adds the model's probability, as one expression without Python."""
-    keep = df.columns
+    """Adds (or replaces) the model's probability, as one expression without Python."""
+    keep = [c for c in df.columns if c != name]
     x = prepare(with_context(df), model)
     logit = reduce(lambda a, b: a + b, [F.lit(v) * F.col(k) for k, v in model["slopes"].items()], F.lit(model["intercept"]))
     return x.withColumn(name, 1 / (1 + F.exp(-logit))).select(*keep, name)
@@ -109,7 +109,7 @@ def boosted(df: DataFrame, folds: int = 5, **settings) -> DataFrame:
         x = make.transform(training_weights(df.filter(F.col("fold") != k)).withColumn("label", F.col("target").cast("double")))
         m = GBTClassifier(weightCol="omega", **params).fit(x)
         p = m.transform(make.transform(df.filter(F.col("fold") == k)))
-        out.append(p.withColumn("prediction", vector_to_array("probability")[1]).select(*df.columns, "prediction"))
+        out.append(p.withColumn("prediction", vector_to_array("probability")[1]).select(*[c for c in df.columns if c != "prediction"], "prediction"))
     return reduce(DataFrame.unionByName, out)
 
 
