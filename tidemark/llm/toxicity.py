@@ -221,21 +221,17 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: tuple[int, ...] = (2,
         a = np.array(w + [0] * max(0, WINDOW - len(w)))
         ids.append(a[starts[:, None] + np.arange(WINDOW)])
         owner += [k] * len(starts)
-    ids, owner = np.concatenate(ids), np.array(owner)
+    if not ids:
+        return None
+    ids, owner = np.concatenate(ids).astype(np.int32), np.array(owner)
     words = list(vocab)
     y = labels[owner]
     heads = np.flatnonzero(np.diff(owner, prepend=-1))
     seen = {"word": np.zeros(WORD_BUCKETS, np.int32), "gram": np.zeros(GRAM_BUCKETS, np.int32)}
-    own, grams = word_parts(words)
-    parts = [(own, np.arange(len(words)))], [(i, w) for i, w in grams]
-    spans = [np.concatenate([np.stack((w, i)) for i, w in x], 1) for x in parts]
-    spans = [x[:, np.argsort(x[0], kind="stable")] for x in spans]
-    firsts = [np.searchsorted(x[0], np.arange(len(words) + 1)) for x in spans]
     for a, z in zip(heads, np.append(heads[1:], len(owner)), strict=True):
-        for w in np.unique(ids[a:z])[None]:
-            for name, x, f in zip(("word", "gram"), spans, firsts, strict=True):
-                at = np.concatenate([x[1, f[i] : f[i + 1]] for i in w])
-                seen[name][np.unique(at)] += 1
+        own, grams = word_parts([words[i] for i in np.unique(ids[a:z])])
+        for name, at in (("word", own), ("gram", np.concatenate([i for i, _ in grams]))):
+            seen[name][np.unique(at)] += 1
     trained = {k: (v >= COMMON)[:, None] for k, v in seen.items()}
     weight = np.ones(len(y), np.float32)
     m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items() if k not in ("word", "gram")}
@@ -275,9 +271,9 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: tuple[int, ...] = (2,
                     s = np.add.reduceat(d[o], first, axis=0) if len(o) else d
                     sq[name][u] += (s * s).mean(1)
                     p[name][u] -= RATE * trained[name][u] * s / np.sqrt(sq[name][u])[:, None]
-        x, _ = inputs(p, words)
+        x = np.concatenate([inputs(p, words[i : i + 5000])[0] for i in range(0, len(words), 5000)])
         gf, gb = x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]
-        z = np.concatenate([logits(p, gf, gb, c) for c in np.array_split(ids, max(1, len(ids) // 4096))])
+        z = np.concatenate([logits(p, gf, gb, c) for c in np.array_split(ids, max(1, len(ids) // 1024))])
         high = np.full(len(texts), -np.inf)
         np.maximum.at(high, owner, z)
         # a toxic text's window counts if it is the highest, or likely toxic by itself
