@@ -208,8 +208,8 @@ register("fold_deltas", lambda s, d: six(scoring.difference(scoring.pooled_and_f
 register("training_weights", lambda s, d: scoring.training_weights(score_frame(s, d)).select("id", "t", "target", F.round(F.col("omega") * 1e6, 6).alias("omega_ppm")), "select s.id, s.t, s.target, round(1e6 * (tm.weight / (2 * (select sum(weight) from terms)::double * case when s.target = 1 then positive else negative end)), 6) as omega_ppm from scores s join terms tm using (t) where weight > 0")
 register("weight_audit", lambda s, d: six(scoring.weight_audit(score_frame(s, d)), ["t", "n_pos", "n_neg", "pair_weight"], ["expected_mass", "mass", "positive_mass", "negative_mass"]), "select t, positive as n_pos, negative as n_neg, weight as pair_weight, " + ", ".join(r6(f"weight / (select sum(weight) from terms)::double / {h}", n) for n, h in (("expected_mass", 1), ("mass", 1), ("positive_mass", 2), ("negative_mass", 2))) + " from terms where weight > 0")
 register("weighted_moments", lambda s, d: six(scoring.weighted_moments(scoring.training_weights(score_frame(s, d)).withColumn("flat", F.lit(0.3)), ["candidate", "reference", "flat"]), ["column"], ["mean", "std"]), " union all ".join(f"""select '{c}' as "column", {r6('m', 'mean')}, {r6('sqrt(greatest(sum(om * pow(x - m, 2)) / sum(om), 0))', 'std')} from (select *, sum(om * x) over () / sum(om) over () as m from (select {x} as x, tm.weight / (2 * (select sum(weight) from terms)::double * case when s.target = 1 then positive else negative end) as om from scores s join terms tm using (t) where weight > 0)) group by m""" for c, x in (("candidate", "candidate"), ("reference", "reference"))) + """ union all select 'flat' as "column", 0.3::double as mean, 0.0::double as std""")
-register("ties", lambda s, d: six(scoring.ties(score_frame(s, d).withColumn("p", F.round("candidate", 2)), "p"), ["tied_pairs", "class_ties", "all_pairs"], ["rate"]), f"select a.tied_pairs, a.class_ties, b.all_pairs, {r6('a.tied_pairs / b.all_pairs', 'rate')} from (select sum(c * (c - 1) / 2)::bigint as tied_pairs, sum(p * (c - p))::bigint as class_ties from (select t, round(candidate, 2), count(*) as c, sum(target) as p from scores group by all)) a, (select sum(c * (c - 1) / 2)::bigint as all_pairs from (select t, count(*) as c from scores group by t)) b")
-register("stuck_scores", lambda s, d: scoring.stuck(score_frame(s, d).withColumn("p", F.round("candidate", 2)), "p"), "select sum(coalesce((p = b)::int, 0))::bigint as adjacent_ties, sum((p = 1)::int)::bigint as saturated, count(*) as rows from (select round(candidate, 2) as p, lag(round(candidate, 2)) over (partition by id order by t) as b from scores)")
+register("ties", lambda s, d: six(scoring.ties(score_frame(s, d).withColumn("p", F.floor(F.col("candidate") * 64)), "p"), ["tied_pairs", "class_ties", "all_pairs"], ["rate"]), f"select a.tied_pairs, a.class_ties, b.all_pairs, {r6('a.tied_pairs / b.all_pairs', 'rate')} from (select sum(c * (c - 1) / 2)::bigint as tied_pairs, sum(p * (c - p))::bigint as class_ties from (select t, floor(candidate * 64), count(*) as c, sum(target) as p from scores group by all)) a, (select sum(c * (c - 1) / 2)::bigint as all_pairs from (select t, count(*) as c from scores group by t)) b")
+register("stuck_scores", lambda s, d: scoring.stuck(score_frame(s, d).withColumn("p", F.ceil(F.col("candidate") * 64) / 64), "p"), "select sum(coalesce((p = b)::int, 0))::bigint as adjacent_ties, sum((p = 1)::int)::bigint as saturated, count(*) as rows from (select ceil(candidate * 64) / 64 as p, lag(ceil(candidate * 64) / 64) over (partition by id order by t) as b from scores)")
 register("saturation", lambda s, d: six(scoring.saturation(score_frame(s, d), ["candidate", "reference"]), ["column"], ["at_zero", "at_one", "ge_099"]), " union all ".join(f"""select '{c}' as "column", {r6(f'avg(({c} = 0)::int)', 'at_zero')}, {r6(f'avg(({c} = 1)::int)', 'at_one')}, {r6(f'avg(({c} >= 0.99)::int)', 'ge_099')} from scores""" for c in ("candidate", "reference")))
 _W = "(select s.*, tm.weight / (select sum(weight) from terms)::double / tm.active as rw, candidate - avg(candidate) over (partition by t) as cc, reference - avg(reference) over (partition by t) as rc from scores s join terms tm using (t))"
 _wc = lambda x, y: f"(sum(rw * {x} * {y}) - sum(rw * {x}) * sum(rw * {y}) / sum(rw)) / sqrt((sum(rw * {x} * {x}) - sum(rw * {x}) * sum(rw * {x}) / sum(rw)) * (sum(rw * {y} * {y}) - sum(rw * {y}) * sum(rw * {y}) / sum(rw)))"
