@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.causal import decayed_sum, midrank, normal_quantile
+from tidemark.functions.causal import decayed_sums, midrank, normal_quantile
 from tidemark.operators import blocks, detectors
 from tidemark.sources.series import _positions
 from tidemark.streaming import scorer
@@ -69,7 +69,7 @@ def test_prefix_and_order_do_not_matter(spark):
 def test_decayed_sum_beyond_one_block(spark):
     x = R.normal(size=9500)
     df = spark.createDataFrame(pd.DataFrame({"id": 1, "k": np.arange(len(x)), "x": x}))
-    got = decayed_sum(df, "x", 0.95, "s", "k").toPandas().sort_values("k")["s"].to_numpy()
+    got = decayed_sums(df, {"s": ("x", 0.95)}, "k").toPandas().sort_values("k")["s"].to_numpy()
     want, s = [], 0.0
     for v in x:
         s = 0.95 * s + v
@@ -79,8 +79,8 @@ def test_decayed_sum_beyond_one_block(spark):
 
 def test_normal_quantile(spark):
     p = [1e-300, 1e-12, 0.01, 0.074, 0.076, 0.5, 0.9, 0.925, 0.999999]
-    q = spark.createDataFrame([(v,) for v in p], ["p"]).select(normal_quantile(F.col("p"))).collect()
-    assert max(abs(r[0] - statistics.NormalDist().inv_cdf(v)) for r, v in zip(q, p, strict=True)) < 1e-12
+    q = normal_quantile(spark.createDataFrame([(v,) for v in p], ["p"]), "p", "q").collect()
+    assert max(abs(r["q"] - statistics.NormalDist().inv_cdf(r["p"])) for r in q) < 1e-12
 
 
 def test_midrank_micro_vector(spark):

@@ -24,11 +24,6 @@ def upto(order: str = "t") -> W:
     return series().orderBy(order).rowsBetween(W.unboundedPreceding, 0)
 
 
-def last(n: int, order: str = "t") -> W:
-    """The last n rows, this one included."""
-    return series().orderBy(order).rowsBetween(-(n - 1), 0)
-
-
 def bounded(q: Column) -> Column:
     return q / (1 + q)
 
@@ -49,43 +44,39 @@ def floored_sd(cond: Column, value: Column, alone: float | None = None) -> Colum
     return F.greatest(F.coalesce(sd, F.lit(alone)) if alone is not None else sd, F.lit(1e-8))
 
 
-def rolling_means(df: DataFrame, value: str, windows: tuple[int, ...], name: str, order: str = "t") -> DataFrame:
-    """Adds <name>_w<n> for each window, and <name>_all: partial at the start. Order counts from 0.
+def rolling_sums(df: DataFrame, values: dict[str, tuple[str, tuple[int, ...], Column]], order: str = "t") -> tuple[DataFrame, dict[str, list[tuple[Column, Column]]]]:
+    """The frame, and for each name pairs (sum, count) of its column over the last w rows, for each w, and over all rows so far.
 
-    Short windows are frames; from 256 on, differences of running sums, which
-    cost the same whatever the width. A value may be null where it has no meaning
-    yet; it then counts for no window, and <name>_n<n> say how many counted.
+    values: name -> (column, windows, how many of the rows so far count). One window
+    of running sums and one of their lags serve all names, whatever the widths; a
+    sliding frame would cost its width for every row.
     """
-    v = F.col(value)
-    cols = {f"{name}_s": F.sum(v).over(upto(order)), f"{name}_nall": F.count(v).over(upto(order))}
-    for w in windows:
-        if w < 256:
-            cols[f"{name}_w{w}"], cols[f"{name}_n{w}"] = F.avg(v).over(last(w, order)), F.count(v).over(last(w, order))
-    df = df.withColumns(cols)
     o = series().orderBy(order)
-    wide = {}
-    for w in windows:
-        if w >= 256:
-            n = F.col(f"{name}_nall") - F.coalesce(F.lag(f"{name}_nall", w).over(o), F.lit(0))
-            wide[f"{name}_n{w}"] = n
-            wide[f"{name}_w{w}"] = F.try_divide(F.col(f"{name}_s") - F.coalesce(F.lag(f"{name}_s", w).over(o), F.lit(0.0)), n)
-    wide[f"{name}_all"] = F.try_divide(F.col(f"{name}_s"), F.col(f"{name}_nall"))
-    return df.withColumns(wide).drop(f"{name}_s")
+    df = df.withColumns({f"_run_{n}": F.coalesce(F.sum(c).over(upto(order)), F.lit(0.0)) for n, (c, _, _) in values.items()})
+    df = df.withColumns({f"_lag{w}_{n}": F.lag(f"_run_{n}", w).over(o) for n, (_, ws, _) in values.items() for w in ws})
+    out = {}
+    for n, (_, ws, count) in values.items():
+        # a value that is null on the first row makes a window's rows one more than its values, on both sides of the lag
+        pairs = [(F.col(f"_run_{n}") - F.coalesce(F.col(f"_lag{w}_{n}"), F.lit(0.0)), F.least(count, F.lit(w))) for w in ws]
+        out[n] = [*pairs, (F.col(f"_run_{n}"), count)]
+    return df, out
 
 
-def decayed_sum(df: DataFrame, value: str, keep: float, name: str, order: str) -> DataFrame:
-    """Adds name: the sum over rows so far of value * keep ** (rows since). Order counts rows from 0 without gaps.
+def decayed_sums(df: DataFrame, sums: dict[str, tuple[str, float]], order: str) -> DataFrame:
+    """Adds each name: the sum over rows so far of column * keep ** (rows since). sums: name -> (column, keep); order counts rows from 0 without gaps.
 
     Within a block of DECAY_BLOCK rows the powers are relative to the block's
     start; of earlier rows those of the block before are added, and what is older
     has decayed by keep ** DECAY_BLOCK, beyond double precision for any keep in use.
     """
-    block, r = (F.col(order) / DECAY_BLOCK).cast("int"), F.col(order) % DECAY_BLOCK
-    df = df.withColumns({"_b": block, "_x": F.coalesce(F.col(value), F.lit(0.0)) * F.pow(F.lit(1 / keep), r)})
-    inside = F.sum("_x").over(W.partitionBy("id", "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    before = F.sum(F.col("_x")).over(series().orderBy("_b").rangeBetween(-1, -1))
-    total = F.pow(F.lit(keep), r) * inside + F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(keep), r + DECAY_BLOCK)
-    return df.withColumn(name, total).drop("_b", "_x")
+    r = F.col(order) % DECAY_BLOCK
+    df = df.withColumn("_b", (F.col(order) / DECAY_BLOCK).cast("int"))
+    df = df.withColumns({f"_x{n}": F.coalesce(F.col(c), F.lit(0.0)) * F.pow(F.lit(1 / keep), r) for n, (c, keep) in sums.items()})
+    block = W.partitionBy("id", "_b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    earlier = series().orderBy("_b").rangeBetween(-1, -1)
+    df = df.withColumns({f"_i{n}": F.sum(f"_x{n}").over(block) for n in sums} | {f"_o{n}": F.sum(f"_x{n}").over(earlier) for n in sums})
+    total = {n: F.pow(F.lit(keep), r) * F.col(f"_i{n}") + F.coalesce(F.col(f"_o{n}"), F.lit(0.0)) * F.pow(F.lit(keep), r + DECAY_BLOCK) for n, (_, keep) in sums.items()}
+    return df.withColumns(total).drop("_b", *[f"_{p}{n}" for p in "xio" for n in sums])
 
 
 def midrank(df: DataFrame, value: str, is_ref: Column, name: str) -> DataFrame:
@@ -134,9 +125,11 @@ def _ratio(coefficients, x: Column) -> Column:
     return poly(coefficients[0]) / poly(coefficients[1])
 
 
-def normal_quantile(p: Column) -> Column:
-    """The standard normal quantile of p in (0, 1), to double precision."""
-    q = p - 0.5
-    r = F.sqrt(-F.ln(F.when(q < 0, p).otherwise(1 - p)))
-    outer = F.when(r <= 5, _ratio(MIDDLE, r - 1.6)).otherwise(_ratio(TAIL, r - 5))
-    return F.when(F.abs(q) <= 0.425, q * _ratio(CENTRE, F.lit(0.180625) - q * q)).otherwise(F.signum(q) * outer)
+def normal_quantile(df: DataFrame, p: str, name: str) -> DataFrame:
+    """Adds name: the standard normal quantile of column p in (0, 1), to double precision; null stays null."""
+    q = F.col(p) - 0.5
+    df = df.withColumns({"_q": q, "_c": F.lit(0.180625) - q * q, "_r": F.sqrt(-F.ln(F.when(q < 0, F.col(p)).otherwise(1 - F.col(p))))})
+    df = df.withColumns({"_rm": F.col("_r") - 1.6, "_rt": F.col("_r") - 5})
+    outer = F.when(F.col("_r") <= 5, _ratio(MIDDLE, F.col("_rm"))).otherwise(_ratio(TAIL, F.col("_rt")))
+    central = F.abs("_q") <= 0.425
+    return df.withColumn(name, F.when(central, F.col("_q") * _ratio(CENTRE, F.col("_c"))).otherwise(F.signum("_q") * outer)).drop("_q", "_c", "_r", "_rm", "_rt")

@@ -9,9 +9,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from ..functions.causal import bounded, correlation, decayed_sum, evidence, floored_sd, last, midrank, normal_quantile, over_history, rolling_means, series, upto
+from ..functions.causal import bounded, correlation, decayed_sums, evidence, floored_sd, midrank, normal_quantile, over_history, rolling_sums, series, upto
 
 ORDER = 5  # of the autoregression
 RIDGE = 1.0
@@ -46,37 +45,6 @@ def _mean(*cols: Column) -> Column:
     return reduce(lambda a, b: a + b, cols) / len(cols)
 
 
-def bank(df: DataFrame, value: str, name: str, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """Adds <name>1.. : evidence of each window's mean and of all rows' against C's, and <name>, their mean.
-
-    Windows hold online rows only. Works on frames that still have their history,
-    whose rows get null.
-    """
-    v = F.col(value)
-    df = df.withColumns({"_rm": over_history(F.avg, ref_rows(), v), "_rs": floored_sd(ref_rows(), v), "_ov": F.when(online(), v)})
-    df = rolling_means(df, "_ov", windows, "_b", "k")
-    parts = {}
-    for i, w in enumerate((*windows, "all")):
-        mean, n = (F.col("_b_all"), F.col("_b_nall")) if w == "all" else (F.col(f"_b_w{w}"), F.col(f"_b_n{w}"))
-        parts[f"{name}{i + 1}"] = F.when(online(), evidence(n, mean, "_rm", "_rs"))
-    df = df.withColumns(parts)
-    return df.withColumn(name, _mean(*[F.col(c) for c in parts])).drop(*[c for c in df.columns if c.startswith("_b_")], "_rm", "_rs", "_ov")
-
-
-def raw_energy(df: DataFrame, whole_history: bool = False, name: str = "blk_r") -> DataFrame:
-    """Energy of the values, standardised by C or by the whole history."""
-    ref = past() if whole_history else ref_rows()
-    df = df.withColumns({"_m": over_history(F.avg, ref, F.col("value")), "_sd": floored_sd(ref, F.col("value"))})
-    df = df.withColumn("_q", F.pow((F.col("value") - F.col("_m")) / F.col("_sd"), 2))
-    if whole_history:
-        # the bank's references come from C, so the whole history plays C here
-        df = df.withColumnRenamed("cut", "_cut").withColumn("cut", F.lit(0))
-    df = bank(df, "_q", name)
-    if whole_history:
-        df = df.drop("cut").withColumnRenamed("_cut", "cut")
-    return df.drop("_m", "_sd", "_q")
-
-
 def solve(df: DataFrame, a: list[list[str]], b: list[str], out: list[str]) -> DataFrame:
     """Adds out: the solution of a symmetric positive system whose entries are columns, by elimination, one step a projection."""
     n = len(b)
@@ -128,117 +96,98 @@ def autoregression(df: DataFrame, order: int = ORDER, fit: Column | None = None,
 
 
 def innovation(df: DataFrame) -> DataFrame:
-    """Adds e_mu, e_sd, r (innovation in C's units), mse_ratio and the innovation energy blk_i."""
-    df = df.withColumns({"e_mu": over_history(F.avg, ref_rows(), F.col("e")), "e_sd": floored_sd(ref_rows(), F.col("e"))})
-    ratio = F.try_divide(over_history(F.avg, ref_rows(), F.col("e") * F.col("e")), over_history(F.avg, ref_rows(), F.col("az") * F.col("az")))
-    df = df.withColumns({"r": (F.col("e") - F.col("e_mu")) / F.col("e_sd"), "mse_ratio": ratio})
-    return bank(df.withColumn("_r2", F.col("r") * F.col("r")), "_r2", "blk_i").drop("_r2")
+    """Adds r (innovation in C's units) and mse_ratio."""
+    e, z, ref = F.col("e"), F.col("az"), ref_rows()
+    df = df.withColumns({"_m": over_history(F.avg, ref, e), "_sd": floored_sd(ref, e), "_e2": over_history(F.avg, ref, e * e), "_z2": over_history(F.avg, ref, z * z)})
+    return df.withColumns({"r": (e - F.col("_m")) / F.col("_sd"), "mse_ratio": F.try_divide("_e2", "_z2")}).drop("_m", "_sd", "_e2", "_z2")
 
 
-def rank_block(df: DataFrame, value: str = "r", name: str = "blk_p") -> DataFrame:
-    """Adds <name>_location, <name>_energy and <name>: evidence on midranks among C, and on their squares."""
-    df = midrank(df, value, ref_rows(), "_u")
-    df = df.withColumn("_v", 2 * F.col("_u") - 1).withColumn("_v2", F.col("_v") * F.col("_v"))
-    df = bank(bank(df, "_v", f"{name}_location"), "_v2", f"{name}_energy")
-    return df.withColumn(name, _mean(F.col(f"{name}_location"), F.col(f"{name}_energy"))).drop("_u", "_v", "_v2")
-
-
-def sign_dependence(df: DataFrame) -> DataFrame:
-    """Adds blk_d128, blk_d256, blk_d: change of the innovations' lag-one sign correlation from C's.
-
-    Signs are about C's median. A window of w points has w - 1 pairs; the first
-    online point has none, and under FEWEST_PAIRS pairs, or where a side does not
-    vary, the evidence is 0.
-    """
-    df = df.withColumn("_med", F.percentile(F.when(ref_rows(), F.col("e")), F.lit(0.5)).over(series()))
-    df = df.withColumn("_s", F.signum(F.col("e") - F.col("_med")))
-    before = F.lag("_s").over(series().orderBy("k"))
-    df = df.withColumns({"_a": F.when(online() & (F.col("t") > 0), before), "_ca": F.when(ref_rows() & (F.col("k") > F.col("cut")), before)})
-    s = F.col("_s")
+def raw_energy(df: DataFrame, name: str, whole_history: bool = False) -> DataFrame:
+    """Adds name: squares of the values, standardised by C or by the whole history."""
+    ref, v = past() if whole_history else ref_rows(), F.col("value")
+    df = df.withColumns({"_m": over_history(F.avg, ref, v), "_sd": floored_sd(ref, v)})
+    return df.withColumn(name, F.pow((v - F.col("_m")) / F.col("_sd"), 2)).drop("_m", "_sd")
 
-    def sums(a: str, window) -> list[Column]:
-        x = F.col(a)
-        y = F.when(x.isNotNull(), s)
-        return [F.coalesce(agg.over(window), F.lit(0.0)) for agg in (F.sum(F.when(x.isNotNull(), 1.0)), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))]
 
-    df = df.withColumn("_cr", correlation(*sums("_ca", series())))
-    for w in SIGN_WINDOWS:
-        parts = {f"_p{i}": c for i, c in enumerate(sums("_a", last(w - 1, "k")))}
-        df = df.withColumns(parts)
-        rho = correlation(*[F.col(c) for c in parts])
-        m = F.col("_p0")
-        ok = (m >= FEWEST_PAIRS) & rho.isNotNull() & F.col("_cr").isNotNull()
-        df = df.withColumn(f"blk_d{w}", F.when(online(), F.when(ok, bounded(F.sqrt(m) * F.abs(rho - F.col("_cr")))).otherwise(0.0))).drop(*parts)
-    return df.withColumn("blk_d", _mean(*[F.col(f"blk_d{w}") for w in SIGN_WINDOWS])).drop("_med", "_s", "_a", "_ca", "_cr")
+def centred_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds <name>_v and <name>_w: midrank of value among C, on (-1, 1), and its square."""
+    df = midrank(df, value, ref_rows(), "_u")
+    v = 2 * F.col("_u") - 1
+    return df.withColumns({f"{name}_v": v, f"{name}_w": v * v}).drop("_u")
 
 
-def conditional_scale(df: DataFrame, kind: str) -> DataFrame:
-    """Adds v_<kind>, u_<kind>, a_<kind> and the energy blk_j<kind> of innovations over their forecast scale.
+def scales(df: DataFrame, kinds: list[str]) -> DataFrame:
+    """Adds v_<kind> (forecast of the squared innovation), u_<kind> and a_<kind> (innovation over it, and in C's units).
 
     The scale is a decayed mean of squared innovations, started at the fit rows'
     mean and forecast before it sees the row. The robust one clips squares at
     the fit rows' 99 % quantile and makes up for the loss.
     """
-    share, robust = SCALES[kind]
-    e2 = F.when(F.col("k") >= ORDER, F.col("e") * F.col("e"))
+    df = df.withColumn("_e2", F.when(F.col("k") >= ORDER, F.col("e") * F.col("e")))
     fit = fit_rows() & (F.col("k") >= ORDER)
-    df = df.withColumn("_e2", e2)
     df = df.withColumn("_b0", F.greatest(over_history(F.avg, fit, F.col("_e2")), F.lit(1e-16)))
-    driver = F.col("_e2")
-    if robust:
+    if any(SCALES[k][1] for k in kinds):
         df = df.withColumn("_cap", F.percentile(F.when(fit, F.col("_e2")), F.lit(0.99)).over(series()))
         df = df.withColumn("_clip", over_history(F.avg, fit, F.least("_e2", "_cap")))
-        driver = F.when(F.col("_e2").isNull(), None).when(F.col("_clip") > 1e-16, F.col("_b0") / F.col("_clip") * F.least("_e2", "_cap")).otherwise(F.col("_e2"))
-    df = decayed_sum(df.withColumn("_d", driver), "_d", 1 - share, "_ds", "k")
-    h = F.pow(F.lit(1 - share), F.col("k") - ORDER) * F.col("_b0") + share * F.coalesce(F.lag("_ds").over(series().orderBy("k")), F.lit(0.0))
-    df = df.withColumn(f"v_{kind}", F.when(F.col("k") >= ORDER, F.greatest(h, F.lit(1e-16), 1e-4 * F.col("_b0"))))
-    df = df.withColumn(f"u_{kind}", F.col("e") / F.sqrt(f"v_{kind}"))
-    u = F.col(f"u_{kind}")
-    df = df.withColumn(f"a_{kind}", (u - over_history(F.avg, ref_rows(), u)) / floored_sd(ref_rows(), u))
-    df = bank(df.withColumn("_a2", F.pow(f"a_{kind}", 2)), "_a2", f"blk_j{kind}")
-    return df.drop("_e2", "_b0", "_cap", "_clip", "_d", "_ds", "_a2")
-
-
-MOMENTS = ("m1", "m2", "m3", "m4", "m5")
-
-
-def _window_evidence(df: DataFrame, value: str, pair: bool, make) -> tuple[DataFrame, list]:
-    """Rolling means of online values over the long windows and all rows, each through make(n, mean)."""
-    windows = tuple(w - 1 if pair else w for w in LONG_WINDOWS)
-    df = rolling_means(df, value, windows, "_b", "k")
-    out = []
-    for w in (*windows, "all"):
-        n = F.col(f"_b_n{w}") if w != "all" else F.col("_b_nall")
-        mean = F.col(f"_b_w{w}") if w != "all" else F.col("_b_all")
-        out.append(make(n, mean))
-    return df, out
+    drivers, out = {}, {}
+    for k in kinds:
+        clipped = F.when(F.col("_e2").isNull(), None).when(F.col("_clip") > 1e-16, F.col("_b0") / F.col("_clip") * F.least("_e2", "_cap")).otherwise(F.col("_e2")) if SCALES[k][1] else F.col("_e2")
+        drivers[f"_d{k}"] = clipped
+    df = decayed_sums(df.withColumns(drivers), {f"_s{k}": (f"_d{k}", 1 - SCALES[k][0]) for k in kinds}, "k").drop(*drivers)
+    before = series().orderBy("k")
+    for k in kinds:
+        share = SCALES[k][0]
+        h = F.pow(F.lit(1 - share), F.col("k") - ORDER) * F.col("_b0") + share * F.coalesce(F.lag(f"_s{k}").over(before), F.lit(0.0))
+        out[f"v_{k}"] = F.when(F.col("k") >= ORDER, F.greatest(h, F.lit(1e-16), 1e-4 * F.col("_b0")))
+    df = df.withColumns(out).drop("_e2", "_b0", "_cap", "_clip", *[f"_s{k}" for k in kinds])
+    df = df.withColumns({f"u_{k}": F.col("e") / F.sqrt(f"v_{k}") for k in kinds})
+    ref = ref_rows()
+    df = df.withColumns({f"_m{k}": over_history(F.avg, ref, F.col(f"u_{k}")) for k in kinds} | {f"_sd{k}": floored_sd(ref, F.col(f"u_{k}")) for k in kinds})
+    df = df.withColumns({f"a_{k}": (F.col(f"u_{k}") - F.col(f"_m{k}")) / F.col(f"_sd{k}") for k in kinds})
+    return df.drop(*[f"_{n}{k}" for n in ("m", "sd") for k in kinds])
 
 
 def normal_scores(df: DataFrame) -> DataFrame:
     """Adds nz: the normal quantile of the slow scale's u among C, with its C mean nz_mu and variance nz_v0."""
     df = midrank(df, "u_s", ref_rows(), "_p")
-    df = df.withColumn("nz", F.when(F.col("u_s").isNotNull(), normal_quantile(F.col("_p")))).drop("_p")
+    df = normal_quantile(df.withColumn("_p", F.when(F.col("u_s").isNotNull(), F.col("_p"))), "_p", "nz").drop("_p")
     df = df.withColumn("nz_mu", over_history(F.avg, ref_rows(), F.col("nz")))
     return df.withColumn("nz_v0", over_history(F.avg, ref_rows(), F.pow(F.col("nz") - F.col("nz_mu"), 2)))
 
 
-def moment_blocks(df: DataFrame) -> DataFrame:
-    """Adds m1..m5: evidence on four Hermite channels of nz and on its lag product, (largest window + all) / 2."""
+def sign_pairs(df: DataFrame) -> DataFrame:
+    """Adds sg_a and sg_b, the signs of an online innovation's predecessor and itself about C's median, and sg_ref, their correlation over C.
+
+    The first online row has no pair.
+    """
+    ref = ref_rows()
+    df = df.withColumn("_med", F.percentile(F.when(ref, F.col("e")), F.lit(0.5)).over(series()))
+    df = df.withColumn("_s", F.signum(F.col("e") - F.col("_med")))
+    df = df.withColumn("_b", F.lag("_s").over(series().orderBy("k")))
+    a, b = (F.when(ref & (F.col("k") > F.col("cut")), F.col(c)) for c in ("_b", "_s"))
+    sums = [F.coalesce(F.sum(x).over(series()), F.lit(0.0)) for x in (F.when(a.isNotNull(), 1.0), a, b, a * a, b * b, a * b)]
+    df = df.withColumns({f"_c{i}": x for i, x in enumerate(sums)})
+    live = online() & (F.col("t") > 0)
+    df = df.withColumns({"sg_ref": correlation(*[F.col(f"_c{i}") for i in range(6)]), "sg_a": F.when(live, F.col("_b")), "sg_b": F.when(live, F.col("_s"))})
+    return df.drop("_med", "_s", "_b", *[f"_c{i}" for i in range(6)])
+
+
+MOMENTS = ("m1", "m2", "m3", "m4", "m5")
+
+
+def hermite_channels(df: DataFrame) -> DataFrame:
+    """Adds h_m1..h_m5: four Hermite polynomials of nz and its lag product, each in C's units; null where a pair is missing."""
     z, c = F.col("nz"), F.col("nz") - F.col("nz_mu")
-    lagged = c * F.lag(c).over(series().orderBy("k"))
-    channels = {
+    made = {
         "m1": z, "m2": (z * z - 1) / F.sqrt(F.lit(2.0)), "m3": (z * z * z - 3 * z) / F.sqrt(F.lit(6.0)),
-        "m4": (z * z * z * z - 6 * z * z + 3) / F.sqrt(F.lit(24.0)), "m5": lagged,
+        "m4": (z * z * z * z - 6 * z * z + 3) / F.sqrt(F.lit(24.0)), "m5": c * F.lag(c).over(series().orderBy("k")),
     }
-    for name, v in channels.items():
-        pair = name == "m5"
-        ref, live = (ref_rows() & (F.col("k") > F.col("cut")), online() & (F.col("t") > 0)) if pair else (ref_rows(), online())
-        df = df.withColumn("_v", v)
-        df = df.withColumn("_v", F.when(live, (F.col("_v") - over_history(F.avg, ref, F.col("_v"))) / floored_sd(ref, F.col("_v"))))
-        fewest = FEWEST_PAIRS if pair else 1
-        df, parts = _window_evidence(df, "_v", pair, lambda n, m: F.when(n >= fewest, bounded(F.sqrt(n) * F.abs(m))).otherwise(0.0))  # noqa: B023
-        df = df.withColumn(name, F.when(online(), (F.greatest(*parts[:3]) + parts[3]) / 2)).drop(*[x for x in df.columns if x.startswith("_b_")], "_v")
-    return df
+    df = df.withColumns({f"h_{n}": v for n, v in made.items()})
+    ref = {n: ref_rows() & (F.col("k") > F.col("cut")) if n == "m5" else ref_rows() for n in made}
+    live = {n: online() & (F.col("t") > 0) if n == "m5" else online() for n in made}
+    df = df.withColumns({f"_m{n}": over_history(F.avg, ref[n], F.col(f"h_{n}")) for n in made} | {f"_s{n}": floored_sd(ref[n], F.col(f"h_{n}")) for n in made})
+    df = df.withColumns({f"h_{n}": F.when(live[n], (F.col(f"h_{n}") - F.col(f"_m{n}")) / F.col(f"_s{n}")) for n in made})
+    return df.drop(*[f"_{x}{n}" for x in "ms" for n in made])
 
 
 def directional(n: Column, mean: Column, v0: Column, eta: Column) -> tuple[Column, Column]:
@@ -257,69 +206,147 @@ def long_run_factor(df: DataFrame) -> DataFrame:
 
     Bartlett weights on HAC_LAGS autocovariances; 1 with fewer than 2 * (HAC_LAGS + 1) rows or no variance.
     """
-    q = F.when(ref_rows(), F.pow(F.col("nz") - F.col("nz_mu"), 2) - F.col("nz_v0"))
-    df = df.withColumn("_q", q)
-    lags = {f"_q{g}": F.col("_q") * F.lag("_q", g).over(series().orderBy("k")) for g in range(1, HAC_LAGS + 1)} | {"_q0": F.col("_q") * F.col("_q")}
-    df = df.withColumns(lags)
-    m = F.count("_q").over(series())
-    total = F.sum("_q0").over(series())
+    df = df.withColumn("_q", F.when(ref_rows(), F.pow(F.col("nz") - F.col("nz_mu"), 2) - F.col("nz_v0")))
+    q, order = F.col("_q"), series().orderBy("k")
+    # the weighted sum of lag products of a row, so that one sum over the series is left
+    row = q * q
     for g in range(1, HAC_LAGS + 1):
-        total = total + 2 * (1 - g / (HAC_LAGS + 1)) * F.coalesce(F.sum(f"_q{g}").over(series()), F.lit(0.0))
-    df = df.withColumns({"_m": m, "_lrv": F.greatest(total / m, F.lit(0.0))})
-    eta = F.greatest(F.lit(1.0), F.try_divide(F.col("_lrv"), 2 * F.col("nz_v0") * F.col("nz_v0")))
-    ok = (F.col("_m") >= 2 * (HAC_LAGS + 1)) & (F.col("nz_v0") > 1e-16)
-    return df.withColumn("hac_eta", F.when(ok, eta).otherwise(1.0)).drop("_q", "_m", "_lrv", *lags)
-
-
-def likelihood_blocks(df: DataFrame, trajectory: bool = True) -> DataFrame:
-    """Adds l_plus, l_minus, their calibrated forms c_plus, c_minus, and with trajectory drawdown and trajectory_ewma."""
-    df = df.withColumn("_v", F.when(online(), F.pow(F.col("nz") - F.col("nz_mu"), 2)))
-    df = rolling_means(df, "_v", LONG_WINDOWS, "_b", "k")
-    pairs = [(F.col(f"_b_n{w}"), F.col(f"_b_w{w}")) for w in LONG_WINDOWS] + [(F.col("_b_nall"), F.col("_b_all"))]
-    for name, eta in (("l", F.lit(1.0)), ("c", F.col("hac_eta"))):
-        both = [directional(n, m, F.col("nz_v0"), eta) for n, m in pairs]
-        for k, side in enumerate(("plus", "minus")):
-            parts = [b[k] for b in both]
-            df = df.withColumn(f"{name}_{side}", F.when(online(), (F.greatest(*parts[:3]) + parts[3]) / 2))
-    df = df.drop("_v", *[x for x in df.columns if x.startswith("_b_")])
-    if trajectory:
-        df = df.withColumn("_cur", F.greatest("l_plus", "l_minus"))
-        df = df.withColumn("drawdown", F.when(online(), F.greatest(F.lit(0.0), F.max("_cur").over(upto("k"))) - F.col("_cur")))
-        df = decayed_sum(df, "_cur", 0.99, "_tr", "k")
-        df = df.withColumn("trajectory_ewma", F.when(online(), 0.01 * F.col("_tr"))).drop("_cur", "_tr")
-    return df
+        row = row + 2 * (1 - g / (HAC_LAGS + 1)) * F.coalesce(q * F.lag("_q", g).over(order), F.lit(0.0))
+    df = df.withColumn("_row", row)
+    df = df.withColumns({"_m": F.count("_q").over(series()), "_t": F.sum("_row").over(series())})
+    v0 = F.col("nz_v0")
+    eta = F.greatest(F.lit(1.0), F.try_divide(F.greatest(F.col("_t") / F.col("_m"), F.lit(0.0)), 2 * v0 * v0))
+    ok = (F.col("_m") >= 2 * (HAC_LAGS + 1)) & (v0 > 1e-16)
+    return df.withColumn("hac_eta", F.when(ok, eta).otherwise(1.0)).drop("_q", "_row", "_m", "_t")
+
+
+def references(df: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Adds <name>_rm and <name>_rs: mean and sd over C of each name's value column."""
+    ref = ref_rows()
+    cols = {}
+    for name, v in values.items():
+        cols |= {f"{name}_rm": over_history(F.avg, ref, F.col(v)), f"{name}_rs": floored_sd(ref, F.col(v))}
+    return df.withColumns(cols) if cols else df
+
+
+#: What each family of blocks is called; through names sets of them.
+FAMILIES = {"base": ("r", "i", "p", "d"), "scale": ("r", "i", "p", "d", "js", "jf", "jr", "ps"), "normal": ("r", "i", "p", "d", "js", "jf", "jr", "ps", "m", "l")}
 
 
-def features(df: DataFrame, through: str = "normal") -> DataFrame:
-    """Online rows with every block: "base" R, I, P, D; "scale" adds J and P_s; "normal" adds M, L and trajectory."""
-    df = sign_dependence(rank_block(innovation(autoregression(raw_energy(df)))))
-    if through in ("scale", "normal"):
-        for kind in SCALES:
-            df = conditional_scale(df, kind)
-        df = rank_block(df, "a_s", "blk_ps")
+def features(df: DataFrame, through: str = "normal", only: tuple[str, ...] | None = None) -> DataFrame:
+    """Online rows with evidence blocks: r (or rh, by the whole history), i, p, d, js, jf, jr, ps, m, l.
+
+    Everything that needs the history is worked out first; then references are
+    frozen, the history is dropped, and the stream goes through one window of
+    running sums and one of their lags, which give all rolling means at once.
+    """
+    want = set(only or FAMILIES[through])
+    keep = [c for c in df.columns if c not in ("cut", "period", "H", "n")]
+    values: dict[str, str] = {}
+    extra: list[str] = []
+    if "r" in want or "rh" in want:
+        df = raw_energy(df, "_vr", "rh" in want)
+        values["blk_r"] = "_vr"
+    if want - {"r", "rh"}:
+        df = autoregression(df).drop("ar_mu", "ar_sd", *[f"beta{i}" for i in range(ORDER + 1)])
+        df = innovation(df).drop("az")
+        extra += ["e", "r", "mse_ratio"]
+    if "i" in want:
+        df = df.withColumn("_vi", F.col("r") * F.col("r"))
+        values["blk_i"] = "_vi"
+    if "p" in want:
+        df = centred_ranks(df, "r", "_p")
+        values |= {"blk_p_location": "_p_v", "blk_p_energy": "_p_w"}
+    if "d" in want:
+        df = sign_pairs(df)
+    kinds = [k for k in SCALES if f"j{k}" in want or (k == "s" and want & {"ps", "m", "l"})]
+    if kinds:
+        df = scales(df, kinds)
+        extra += [f"{c}_{k}" for k in kinds for c in "vua"]
+        for k in kinds:
+            if f"j{k}" in want:
+                df = df.withColumn(f"_v{k}", F.pow(f"a_{k}", 2))
+                values[f"blk_j{k}"] = f"_v{k}"
+    if "ps" in want:
+        df = centred_ranks(df, "a_s", "_ps")
+        values |= {"blk_ps_location": "_ps_v", "blk_ps_energy": "_ps_w"}
+    if want & {"m", "l"}:
+        df = normal_scores(df)
+        extra.append("nz")
+    if "m" in want:
+        df = hermite_channels(df)
+    if "l" in want:
+        df = long_run_factor(df)
+        df = df.withColumn("_l", F.pow(F.col("nz") - F.col("nz_mu"), 2))
+        extra += ["nz_v0", "hac_eta"]
+    whole = "rh" in want and len(values) == 1
+    if whole:
+        df = df.withColumn("cut", F.lit(0))  # the whole history is the reference
+    df = references(df, values).filter("period = 2")
+
+    rolling: dict[str, tuple[str, tuple[int, ...], Column]] = {n: (v, WINDOWS, F.col("t") + 1) for n, v in values.items()}
+    if "m" in want:
+        rolling |= {m: (f"h_{m}", tuple(w - 1 for w in LONG_WINDOWS) if m == "m5" else LONG_WINDOWS, F.col("t") + (0 if m == "m5" else 1)) for m in MOMENTS}
+    if "l" in want:
+        rolling["l"] = ("_l", LONG_WINDOWS, F.col("t") + 1)
+    if "d" in want:
+        a, b = F.col("sg_a"), F.col("sg_b")
+        df = df.withColumns({f"_g{i}": x for i, x in enumerate((a, b, a * a, b * b, a * b))})
+        rolling |= {f"g{i}": (f"_g{i}", tuple(w - 1 for w in SIGN_WINDOWS), F.col("t")) for i in range(5)}
+    df, mean = rolling_sums(df, rolling)
+
+    out: dict[str, Column] = {}
+    for n in values:
+        parts = [evidence(c, F.try_divide(s, c), f"{n}_rm", f"{n}_rs") for s, c in mean[n]]
+        out |= {f"{n}{i + 1}": p for i, p in enumerate(parts)}
+    if "m" in want:
+        for m in MOMENTS:
+            few = FEWEST_PAIRS if m == "m5" else 1
+            parts = [F.when(c >= few, bounded(F.sqrt(c) * F.abs(F.try_divide(s, c)))).otherwise(0.0) for s, c in mean[m]]
+            out[m] = (F.greatest(*parts[:3]) + parts[3]) / 2
+    if "l" in want:
+        for n, eta in (("l", F.lit(1.0)), ("c", F.col("hac_eta"))):
+            both = [directional(c, F.try_divide(s, c), F.col("nz_v0"), eta) for s, c in mean["l"]]
+            for i, side in enumerate(("plus", "minus")):
+                parts = [x[i] for x in both]
+                out[f"{n}_{side}"] = (F.greatest(*parts[:3]) + parts[3]) / 2
+    if "d" in want:
+        for j, w in enumerate(SIGN_WINDOWS):
+            m = mean["g0"][j][1]
+            rho = correlation(m.cast("double"), *[F.coalesce(mean[f"g{i}"][j][0], F.lit(0.0)) for i in range(5)])
+            ok = (m >= FEWEST_PAIRS) & rho.isNotNull() & F.col("sg_ref").isNotNull()
+            out[f"blk_d{w}"] = F.when(ok, bounded(F.sqrt(m) * F.abs(rho - F.col("sg_ref")))).otherwise(0.0)
+    df = df.select(*keep, *extra, *[c.alias(n) for n, c in out.items()])
+    means = {n: _mean(*[F.col(f"{n}{i}") for i in range(1, 5)]) for n in values}
+    df = df.withColumns(means) if means else df
+    late: dict[str, Column] = {}
+    if "p" in want:
+        late["blk_p"] = _mean(F.col("blk_p_location"), F.col("blk_p_energy"))
+    if "ps" in want:
+        late["blk_ps"] = _mean(F.col("blk_ps_location"), F.col("blk_ps_energy"))
+    if "d" in want:
+        late["blk_d"] = _mean(*[F.col(f"blk_d{w}") for w in SIGN_WINDOWS])
+    df = df.withColumns(late) if late else df
+    if "i" in want:
         root = F.sqrt(F.lit(2.0))
-        df = df.withColumns({f"c_{k}": (F.col(f"blk_j{k}") - F.col("blk_i")) / root for k in SCALES} | {"k_s": (F.col("blk_ps") - F.col("blk_p")) / root})
-    if through == "normal":
-        df = likelihood_blocks(long_run_factor(moment_blocks(normal_scores(df))))
-    return df.filter("period = 2")
+        apart = {f"c_{k}": (F.col(f"blk_j{k}") - F.col("blk_i")) / root for k in kinds if f"j{k}" in want}
+        if {"p", "ps"} <= want:
+            apart["k_s"] = (F.col("blk_ps") - F.col("blk_p")) / root
+        df = df.withColumns(apart) if apart else df
+    if "l" in want:
+        df = df.withColumn("_cur", F.greatest("l_plus", "l_minus"))
+        df = df.withColumn("drawdown", F.greatest(F.lit(0.0), F.max("_cur").over(upto())) - F.col("_cur"))
+        df = decayed_sums(df, {"_tr": ("_cur", 0.99)}, "t").withColumn("trajectory_ewma", 0.01 * F.col("_tr")).drop("_cur", "_tr")
+    return df
 
 
 #: Blocks whose mean is an experiment's score.
 EXPERIMENTS = {
-    "E02": ("blk_r",), "E03": ("blk_r",), "E04": ("blk_i",), "E05": ("blk_r", "blk_i"),
-    "E06": ("blk_r", "blk_i", "blk_p"), "E07": ("blk_r", "blk_i", "blk_p", "blk_d"),
+    "E02": ("rh",), "E03": ("r",), "E04": ("i",), "E05": ("r", "i"), "E06": ("r", "i", "p"), "E07": ("r", "i", "p", "d"),
 }
 
 
 def experiment(df: DataFrame, name: str) -> DataFrame:
     """Online rows with prediction, the mean of the experiment's blocks."""
     used = EXPERIMENTS[name]
-    if "blk_r" in used:
-        df = raw_energy(df, whole_history=name == "E02")
-    if "blk_i" in used:
-        df = innovation(autoregression(df))
-    if "blk_p" in used:
-        df = rank_block(df)
-    if "blk_d" in used:
-        df = sign_dependence(df)
-    return df.filter("period = 2").withColumn("prediction", _mean(*[F.col(c) for c in used]))
+    return features(df, only=used).withColumn("prediction", _mean(*[F.col(f"blk_{b[0] if b == 'rh' else b}") for b in used]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.causal import bounded, decayed_sum, evidence, floored_sd, over_history, upto
+from ..functions.causal import bounded, decayed_sums, evidence, floored_sd, over_history, upto
 
 #: Fixed values of the detectors: decay and scale of the mean detector, slack of CUSUM, tolerance of Page-Hinkley.
 KEEP, KAPPA, SLACK, TOLERANCE = 0.95, 3.0, 0.5, 0.05
@@ -27,7 +27,7 @@ def standardised(df: DataFrame) -> DataFrame:
 
 def ewma(df: DataFrame) -> tuple[DataFrame, Column]:
     """tanh of a third of the decayed mean's distance from the history's, in standard errors."""
-    df = decayed_sum(df.withColumn("_y", F.col("value") - F.col("mu")), "_y", KEEP, "_d", "t")
+    df = decayed_sums(df.withColumn("_y", F.col("value") - F.col("mu")), {"_d": ("_y", KEEP)}, "t")
     n = (1 - F.pow(F.lit(KEEP), F.col("t") + 1)) / (1 - KEEP)
     se = F.greatest(F.col("sd") / F.sqrt(F.greatest(n, F.lit(1.0))), F.lit(1e-8))
     return df, F.tanh(F.abs((1 - KEEP) * F.col("_d") / se) / KAPPA)

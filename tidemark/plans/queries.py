@@ -162,35 +162,35 @@ register("detector_scores", detector_scores, " union all ".join(f"select '{c}' a
 
 # Blocks
 
-register("block_raw_full_history", lambda s, d: six(blocks.raw_energy(from_lineitem(s, d), True).filter("period = 2"), ["id", "t"], ["blk_r1", "blk_r2", "blk_r3", "blk_r4", "blk_r"]), sql_six("rawh", "id, t", ["blk_r1", "blk_r2", "blk_r3", "blk_r4", "blk_r"], "where period = 2"))
-register("block_raw", lambda s, d: six(blocks.raw_energy(from_lineitem(s, d)).filter("period = 2"), ["id", "t"], ["blk_r1", "blk_r2", "blk_r3", "blk_r4", "blk_r"]), sql_six("raw", "id, t", ["blk_r1", "blk_r2", "blk_r3", "blk_r4", "blk_r"], "where period = 2"))
+register("block_raw_full_history", lambda s, d: six(blocks.features(from_lineitem(s, d), only=("rh",)), ["id", "t"], ["blk_r1", "blk_r2", "blk_r3", "blk_r4", "blk_r"]), sql_six("rawh", "id, t", ["blk_r1", "blk_r2", "blk_r3", "blk_r4", "blk_r"], "where period = 2"))
+register("block_raw", lambda s, d: six(blocks.features(from_lineitem(s, d), only=("r",)), ["id", "t"], ["blk_r1", "blk_r2", "blk_r3", "blk_r4", "blk_r"]), sql_six("raw", "id, t", ["blk_r1", "blk_r2", "blk_r3", "blk_r4", "blk_r"], "where period = 2"))
 _AR = lambda s, d: blocks.autoregression(from_lineitem(s, d))
 register("ar_coefficients", lambda s, d: six(_AR(s, d).groupBy("id").agg(F.first("ar_mu").alias("ar_mu"), F.first("ar_sd").alias("ar_sd"), *[F.first(f"beta{i}").alias(f"b{i}") for i in range(6)]), ["id"], ["ar_mu", "ar_sd", *[f"b{i}" for i in range(6)]]), "select id, " + ", ".join(r6(f"any_value({c})", c) for c in ("ar_mu", "ar_sd", *[f"b{i}" for i in range(6)])) + " from ar group by id")
 register("ar_innovations", lambda s, d: six(_AR(s, d).filter("period = 2"), ["id", "t"], ["az", "e"]), sql_six("ar", "id, t", ["az", "e"], "where period = 2"))
 _INN = lambda s, d: blocks.innovation(_AR(s, d))
-register("block_innovation", lambda s, d: six(_INN(s, d).filter("period = 2"), ["id", "t"], ["r", "blk_i1", "blk_i2", "blk_i3", "blk_i4", "blk_i"]), sql_six("inn", "id, t", ["r", "blk_i1", "blk_i2", "blk_i3", "blk_i4", "blk_i"], "where period = 2"))
+register("block_innovation", lambda s, d: six(blocks.features(from_lineitem(s, d), only=("i",)), ["id", "t"], ["r", "blk_i1", "blk_i2", "blk_i3", "blk_i4", "blk_i"]), sql_six("inn", "id, t", ["r", "blk_i1", "blk_i2", "blk_i3", "blk_i4", "blk_i"], "where period = 2"))
 register("ar_mse_ratio", lambda s, d: six(_INN(s, d).groupBy("id").agg(F.first("mse_ratio").alias("mse_ratio")), ["id"], ["mse_ratio"]), f"select id, {r6('any_value(mse_ratio)', 'mse_ratio')} from inn group by id")
-register("block_rank", lambda s, d: six(blocks.rank_block(_INN(s, d)).filter("period = 2"), ["id", "t"], ["blk_p_location", "blk_p_energy", "blk_p"]), sql_six("rnk", "id, t", ["blk_p_location", "blk_p_energy", "blk_p"], "where period = 2"))
+register("block_rank", lambda s, d: six(blocks.features(from_lineitem(s, d), only=("p",)), ["id", "t"], ["blk_p_location", "blk_p_energy", "blk_p"]), sql_six("rnk", "id, t", ["blk_p_location", "blk_p_energy", "blk_p"], "where period = 2"))
 register("midrank_cdf", lambda s, d: six(blocks.midrank(_INN(s, d), "r", blocks.ref_rows(), "u"), ["id", "k"], ["u"]).filter("k >= 5"), "select id, k, " + r6("blk_p_u", "u") + " from rnk_u where k >= 5")
-register("block_sign_dependence", lambda s, d: six(blocks.sign_dependence(_INN(s, d)).filter("period = 2"), ["id", "t"], ["blk_d128", "blk_d256", "blk_d"]), f"select id, t, {r6('blk_d128')}, {r6('blk_d256')}, {r6('(blk_d128 + blk_d256) / 2', 'blk_d')} from sgn")
+register("block_sign_dependence", lambda s, d: six(blocks.features(from_lineitem(s, d), only=("d",)), ["id", "t"], ["blk_d128", "blk_d256", "blk_d"]), f"select id, t, {r6('blk_d128')}, {r6('blk_d256')}, {r6('(blk_d128 + blk_d256) / 2', 'blk_d')} from sgn")
 for _e, _mean in {"E03": "blk_r", "E04": "blk_i", "E05": "(blk_r + blk_i) / 2", "E06": "(blk_r + blk_i + blk_p) / 3", "E07": "(blk_r + blk_i + blk_p + blk_d) / 4"}.items():
     register(f"experiment_{_e}", lambda s, d, e=_e: six(blocks.experiment(from_lineitem(s, d), e), ["id", "t"], ["prediction"]), f"select id, t, {r6(_mean, 'prediction')} from base")
 register("experiment_E02", lambda s, d: six(blocks.experiment(from_lineitem(s, d), "E02"), ["id", "t"], ["prediction"]), f"select id, t, {r6('blk_r', 'prediction')} from rawh where period = 2")
 for _k, _name in (("s", "slow"), ("f", "fast"), ("r", "robust")):
-    register(f"block_scale_{_name}", lambda s, d, k=_k: six(blocks.conditional_scale(_INN(s, d), k).filter("period = 2"), ["id", "t"], [f"v_{k}", f"u_{k}", f"a_{k}", f"blk_j{k}"]), sql_six(f"sc{_k}", "id, t", [f"v_{_k}", f"u_{_k}", f"a_{_k}", f"blk_j{_k}"], "where period = 2"))
-register("block_scale_rank", lambda s, d: six(blocks.rank_block(blocks.conditional_scale(_INN(s, d), "s"), "a_s", "blk_ps").filter("period = 2"), ["id", "t"], ["blk_ps_location", "blk_ps_energy", "blk_ps"]), sql_six("rks", "id, t", ["blk_ps_location", "blk_ps_energy", "blk_ps"], "where period = 2"))
-register("contrasts", lambda s, d: six(blocks.features(from_lineitem(s, d), "scale"), ["id", "t"], ["c_s", "c_f", "c_r", "k_s"]), f"select id, t, {r6('(blk_js - blk_i) / sqrt(2.0::double)', 'c_s')}, {r6('(blk_jf - blk_i) / sqrt(2.0::double)', 'c_f')}, {r6('(blk_jr - blk_i) / sqrt(2.0::double)', 'c_r')}, {r6('(blk_ps - blk_p) / sqrt(2.0::double)', 'k_s')} from jall")
-_NZ = lambda s, d: blocks.normal_scores(blocks.conditional_scale(_INN(s, d), "s"))
+    register(f"block_scale_{_name}", lambda s, d, k=_k: six(blocks.features(from_lineitem(s, d), only=(f"j{k}",)), ["id", "t"], [f"v_{k}", f"u_{k}", f"a_{k}", f"blk_j{k}"]), sql_six(f"sc{_k}", "id, t", [f"v_{_k}", f"u_{_k}", f"a_{_k}", f"blk_j{_k}"], "where period = 2"))
+register("block_scale_rank", lambda s, d: six(blocks.features(from_lineitem(s, d), only=("ps",)), ["id", "t"], ["blk_ps_location", "blk_ps_energy", "blk_ps"]), sql_six("rks", "id, t", ["blk_ps_location", "blk_ps_energy", "blk_ps"], "where period = 2"))
+register("contrasts", lambda s, d: six(blocks.features(from_lineitem(s, d), only=("i", "p", "js", "jf", "jr", "ps")), ["id", "t"], ["c_s", "c_f", "c_r", "k_s"]), f"select id, t, {r6('(blk_js - blk_i) / sqrt(2.0::double)', 'c_s')}, {r6('(blk_jf - blk_i) / sqrt(2.0::double)', 'c_f')}, {r6('(blk_jr - blk_i) / sqrt(2.0::double)', 'c_r')}, {r6('(blk_ps - blk_p) / sqrt(2.0::double)', 'k_s')} from jall")
+_NZ = lambda s, d: blocks.normal_scores(blocks.scales(_INN(s, d), ["s"]))
 register("normal_scores", lambda s, d: six(_NZ(s, d).filter("k >= 5"), ["id", "k"], ["nz", "nz_mu", "nz_v0"]), sql_six("nz", "id, k", ["nz", "nz_mu", "nz_v0"], "where k >= 5"))
-register("moment_blocks", lambda s, d: six(blocks.moment_blocks(_NZ(s, d)).filter("period = 2"), ["id", "t"], list(blocks.MOMENTS)), f"select id, k - h as t, {', '.join(r6(m) for m in blocks.MOMENTS)} from " + " join ".join([f"mom_{m}" + (" using (id, k)" if i else "") for i, m in enumerate(blocks.MOMENTS)]) + " join (select id, k, h from nz where period = 2) using (id, k)")
-_LIK = lambda s, d: blocks.likelihood_blocks(blocks.long_run_factor(_NZ(s, d))).filter("period = 2")
+register("moment_blocks", lambda s, d: six(blocks.features(from_lineitem(s, d), only=("m",)), ["id", "t"], list(blocks.MOMENTS)), f"select id, k - h as t, {', '.join(r6(m) for m in blocks.MOMENTS)} from " + " join ".join([f"mom_{m}" + (" using (id, k)" if i else "") for i, m in enumerate(blocks.MOMENTS)]) + " join (select id, k, h from nz where period = 2) using (id, k)")
+_LIK = lambda s, d: blocks.features(from_lineitem(s, d), only=("l",))
 register("likelihood_blocks", lambda s, d: six(_LIK(s, d), ["id", "t"], ["l_plus", "l_minus", "c_plus", "c_minus"]), sql_six("lik", "id, t", ["l_plus", "l_minus", "c_plus", "c_minus"]))
 register("trajectory", lambda s, d: six(_LIK(s, d), ["id", "t"], ["drawdown", "trajectory_ewma"]), sql_six("traj", "id, t", ["drawdown", "trajectory_ewma"]))
 register("long_run_factor", lambda s, d: six(blocks.long_run_factor(_NZ(s, d)).groupBy("id").agg(F.first("hac_eta").alias("hac_eta")), ["id"], ["hac_eta"]), f"select id, {r6('hac_eta')} from hac")
 register("omnibus", lambda s, d: six(_LIK(s, d).withColumns({"l_max": F.greatest("l_plus", "l_minus"), "c_max": F.greatest("c_plus", "c_minus")}), ["id", "t"], ["l_max", "c_max"]), f"select id, t, {r6('greatest(l_plus, l_minus)', 'l_max')}, {r6('greatest(c_plus, c_minus)', 'c_max')} from lik")
 register(
     "endpoint_counts",
-    lambda s, d: blocks.midrank(blocks.conditional_scale(_INN(s, d), "s"), "u_s", blocks.ref_rows(), "p").withColumns({"lo": blocks.over_history(F.min, blocks.ref_rows(), F.col("u_s")), "hi": blocks.over_history(F.max, blocks.ref_rows(), F.col("u_s"))}).filter("period = 2").groupBy("id").agg(F.count(F.when(F.col("u_s") < F.col("lo"), 1)).alias("below"), F.count(F.when(F.col("u_s") > F.col("hi"), 1)).alias("above"), F.count(F.lit(1)).alias("rows")),
+    lambda s, d: blocks.midrank(blocks.scales(_INN(s, d), ["s"]), "u_s", blocks.ref_rows(), "p").withColumns({"lo": blocks.over_history(F.min, blocks.ref_rows(), F.col("u_s")), "hi": blocks.over_history(F.max, blocks.ref_rows(), F.col("u_s"))}).filter("period = 2").groupBy("id").agg(F.count(F.when(F.col("u_s") < F.col("lo"), 1)).alias("below"), F.count(F.when(F.col("u_s") > F.col("hi"), 1)).alias("above"), F.count(F.lit(1)).alias("rows")),
     f"select id, count(case when period = 2 and u_s < lo then 1 end) as below, count(case when period = 2 and u_s > hi then 1 end) as above, count(case when period = 2 then 1 end) as rows from (select *, min(case when period = 1 and k >= cut then u_s end) over ({P}) as lo, max(case when period = 1 and k >= cut then u_s end) over ({P}) as hi from scs) group by id",
 )
 
@@ -215,10 +215,10 @@ _W = "(select s.*, tm.weight / (select sum(weight) from terms)::double / tm.acti
 _wc = lambda x, y: f"(sum(rw * {x} * {y}) - sum(rw * {x}) * sum(rw * {y}) / sum(rw)) / sqrt((sum(rw * {x} * {x}) - sum(rw * {x}) * sum(rw * {x}) / sum(rw)) * (sum(rw * {y} * {y}) - sum(rw * {y}) * sum(rw * {y}) / sum(rw)))"
 register("weighted_correlations", lambda s, d: six(scoring.correlations(score_frame(s, d), ["candidate"], ["reference"]), ["feature", "against", "near"], ["raw_weighted", "age_centered"]), f"select 'candidate' as feature, 'reference' as against, abs({_wc('cc', 'rc')}) >= 0.98 as near, {r6(_wc('candidate', 'reference'), 'raw_weighted')}, {r6(_wc('cc', 'rc'), 'age_centered')} from {_W}")
 register("weight_milestones", lambda s, d: scoring.milestones(_terms(s, d)), "select share::double as share, min(t) + 1 as age from (select t, sum(weight) over (order by t) / sum(weight) over ()::double as c from terms), (select unnest([0.25, 0.5, 0.75, 0.9, 0.95]) as share) where c >= share group by share")
-register("subset_scores", lambda s, d: six(scoring.ts_auc(blocks.features(from_lineitem(s, d), "base").withColumn("subset", F.when(F.col("mse_ratio") < 0.9, "lt_0.9").when(F.col("mse_ratio") <= 1, "0.9_to_1.0").when(F.col("mse_ratio") > 1, "gt_1.0").otherwise("unsupported")).withColumn("p", F.round("blk_i", 6)), "p", ("subset",)), ["subset", "pair_weight", "eligible_ages"], ["ts_auc"]), f"select subset, {_TOT} from ({auc_terms('''(select *, case when mse_ratio < 0.9 then 'lt_0.9' when mse_ratio <= 1 then '0.9_to_1.0' when mse_ratio > 1 then 'gt_1.0' else 'unsupported' end as subset, round(blk_i, 6) as p from base)''', 'p', 'subset')}) group by subset")
+register("subset_scores", lambda s, d: six(scoring.ts_auc(blocks.features(from_lineitem(s, d), only=("i",)).withColumn("subset", F.when(F.col("mse_ratio") < 0.9, "lt_0.9").when(F.col("mse_ratio") <= 1, "0.9_to_1.0").when(F.col("mse_ratio") > 1, "gt_1.0").otherwise("unsupported")).withColumn("p", F.round("blk_i", 6)), "p", ("subset",)), ["subset", "pair_weight", "eligible_ages"], ["ts_auc"]), f"select subset, {_TOT} from ({auc_terms('''(select *, case when mse_ratio < 0.9 then 'lt_0.9' when mse_ratio <= 1 then '0.9_to_1.0' when mse_ratio > 1 then 'gt_1.0' else 'unsupported' end as subset, round(blk_i, 6) as p from base)''', 'p', 'subset')}) group by subset")
 register("block_scores", lambda s, d: six(scoring.ts_auc(blocks.features(from_lineitem(s, d), "base").select("id", "t", "target", F.explode(F.create_map(*[x for b in ("blk_r", "blk_i", "blk_p", "blk_p_location", "blk_p_energy", "blk_d") for x in (F.lit(b), F.round(F.col(b), 6))])).alias("block", "p")), "p", ("block",)), ["block", "pair_weight", "eligible_ages"], ["ts_auc"]), " union all ".join(f"select '{b}' as block, {_TOT} from ({auc_terms(f'(select t, target, round({b}, 6) as p from base)', 'p')})" for b in ("blk_r", "blk_i", "blk_p", "blk_p_location", "blk_p_energy", "blk_d")))
 _AB = ("energy_over_break", "energy_over_predictive", "predictive_over_break")
-register("break_absorption", lambda s, d: six(scoring.absorption(blocks.features(from_lineitem(s, d), "scale").withColumn("e2", F.col("e") * F.col("e"))), ["kind", "bin", "series", "observations"], [f"{c}_{q}" for c in _AB for q in ("q25", "median", "q75")]), "select kind, bin, count(*) as series, sum(n)::bigint as observations, " + ", ".join(r6(f"quantile_cont({c}, {v})", f"{c}_{q}") for c in _AB for q, v in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))) + " from (select kind, bin, id, count(*) as n, avg(e2 / base_) as energy_over_break, avg(e2 / v) as energy_over_predictive, avg(v / base_) as predictive_over_break from (select id, kind, e2, v, first_value(v) over (partition by id, kind order by t) as base_, case when t - tau_index + 1 <= 32 then '1-32' when t - tau_index + 1 <= 128 then '33-128' when t - tau_index + 1 <= 256 then '129-256' else '257+' end as bin from (" + " union all ".join(f"select id, t, tau_index, e2, '{k}' as kind, v_{k} as v from jall where tau_index >= 0 and t >= tau_index" for k in "sfr") + ")) group by kind, bin, id) group by kind, bin")
+register("break_absorption", lambda s, d: six(scoring.absorption(blocks.features(from_lineitem(s, d), only=("js", "jf", "jr")).withColumn("e2", F.col("e") * F.col("e"))), ["kind", "bin", "series", "observations"], [f"{c}_{q}" for c in _AB for q in ("q25", "median", "q75")]), "select kind, bin, count(*) as series, sum(n)::bigint as observations, " + ", ".join(r6(f"quantile_cont({c}, {v})", f"{c}_{q}") for c in _AB for q, v in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))) + " from (select kind, bin, id, count(*) as n, avg(e2 / base_) as energy_over_break, avg(e2 / v) as energy_over_predictive, avg(v / base_) as predictive_over_break from (select id, kind, e2, v, first_value(v) over (partition by id, kind order by t) as base_, case when t - tau_index + 1 <= 32 then '1-32' when t - tau_index + 1 <= 128 then '33-128' when t - tau_index + 1 <= 256 then '129-256' else '257+' end as bin from (" + " union all ".join(f"select id, t, tau_index, e2, '{k}' as kind, v_{k} as v from jall where tau_index >= 0 and t >= tau_index" for k in "sfr") + ")) group by kind, bin, id) group by kind, bin")
 
 # Folds, partitions, decisions
 
@@ -254,7 +254,7 @@ _ACF = [f"{n}_{g}" for n in profile.TRANSFORMS for g in profile.LAGS]
 _TR = {"acf": "value", "abs_acf": "abs(value)", "squared_acf": "value * value", "centered_abs_acf": "abs(value - med)", "centered_squared_acf": "pow(value - mu, 2)"}
 register("autocorrelations", lambda s, d: six(profile.autocorrelations(_PAST(s, d)), ["id"], _ACF), "select id, " + ", ".join(r6(f"corr({n}, {n}_{g})", f"{n}_{g}") for n in _TR for g in profile.LAGS) + " from (select *, " + ", ".join(f"lag({n}, {g}) over (partition by id order by k) as {n}_{g}" for n in _TR for g in profile.LAGS) + " from (select id, k, " + ", ".join(f"{x} as {n}" for n, x in _TR.items()) + f" from (select *, median(value) over ({P}) as med, avg(value) over ({P}) as mu from series where period = 1))) group by id")
 register("distribution_table", lambda s, d: six(profile.distribution(from_lineitem(s, d), ["value", "k", "tau_index"]), ["statistic", "count", "valid", "nonfinite"], [*profile.TABLE, "mean"]), " union all ".join(f"""select '{c}' as statistic, count(*) as "count", count({c}) as valid, 0 as nonfinite, """ + ", ".join(r6(f"quantile_cont({c}::double, {q})", f'"{n}"') for n, q in profile.TABLE.items()) + f", {r6(f'avg({c})', 'mean')} from series" for c in ("value", "k", "tau_index")))
-register("feature_quantiles", lambda s, d: blocks.features(from_lineitem(s, d), "base").select(F.explode(F.percentile("blk_i", F.array(*[F.lit(i / 20) for i in range(21)]))).alias("q")).select((F.round("q", 6) + 0.0).alias("q")), f"select {r6('q')} from (select unnest(quantile_cont(blk_i, [{', '.join(str(i / 20) for i in range(21))}])) as q from base)")
+register("feature_quantiles", lambda s, d: blocks.features(from_lineitem(s, d), only=("i",)).select(F.explode(F.percentile("blk_i", F.array(*[F.lit(i / 20) for i in range(21)]))).alias("q")).select((F.round("q", 6) + 0.0).alias("q")), f"select {r6('q')} from (select unnest(quantile_cont(blk_i, [{', '.join(str(i / 20) for i in range(21))}])) as q from base)")
 _SIG = ["mean_change", *[f"{q}_change" for q in profile.QUANTILES], "log_variance_ratio", "log_mad_ratio", "skewness_change", "excess_kurtosis_change", *[f"acf_{g}_change" for g in profile.LAGS], "tail_frequency_change"]
 
 
