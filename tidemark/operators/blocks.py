@@ -245,15 +245,15 @@ def features(df: DataFrame, through: str = "normal", only: tuple[str, ...] | Non
     values: dict[str, str] = {}
     extra: list[str] = []
     if "r" in want or "rh" in want:
-        df = raw_energy(df, "_vr", "rh" in want)
-        values["blk_r"] = "_vr"
+        df = raw_energy(df, "_raw2", "rh" in want)
+        values["blk_r"] = "_raw2"
     if want - {"r", "rh"}:
         df = autoregression(df).drop("ar_mu", "ar_sd", *[f"beta{i}" for i in range(ORDER + 1)])
         df = innovation(df).drop("az")
         extra += ["e", "r", "mse_ratio"]
     if "i" in want:
-        df = df.withColumn("_vi", F.col("r") * F.col("r"))
-        values["blk_i"] = "_vi"
+        df = df.withColumn("_inn2", F.col("r") * F.col("r"))
+        values["blk_i"] = "_inn2"
     if "p" in want:
         df = centred_ranks(df, "r", "_p")
         values |= {"blk_p_location": "_p_v", "blk_p_energy": "_p_w"}
