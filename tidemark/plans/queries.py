@@ -194,6 +194,9 @@ register(
     f"select id, count(case when period = 2 and u_s < lo then 1 end) as below, count(case when period = 2 and u_s > hi then 1 end) as above, count(case when period = 2 then 1 end) as rows from (select *, min(case when period = 1 and k >= cut then u_s end) over ({P}) as lo, max(case when period = 1 and k >= cut then u_s end) over ({P}) as hi from scs) group by id",
 )
 
+_ALL = ["blk_r", "blk_i", "blk_p", "blk_d", "blk_js", "blk_jf", "blk_jr", "blk_ps", *blocks.MOMENTS, "l_plus", "l_minus", "c_plus", "c_minus"]
+register("feature_frame", lambda s, d: six(blocks.features(from_lineitem(s, d), "normal"), ["id", "t"], _ALL), f"select jall.id, jall.t, {', '.join(r6(c) for c in _ALL)} from jall " + " ".join(f"join mom_{m} using (id, k)" for m in blocks.MOMENTS) + " join lik using (id, k)")
+
 # Scores
 
 _terms = lambda s, d: scoring.pair_terms(score_frame(s, d), "candidate")
