@@ -31,7 +31,7 @@ from .common import Scratch, words_of
 
 REPEAT_LIMIT = 2.0
 BLOCK_TOKENS = 1 << 20
-SLICE_DOCS = 2000
+SLICE_DOCS = 400
 STEPS = 5  # bisection steps that one aggregate answers
 
 
@@ -85,8 +85,7 @@ def schedule(
     d = d.filter("doc_id is not null").groupBy("doc_id").agg(F.min("source_key").alias("source_key"), F.sum("n_tokens").alias("n_tokens"))
     d = scratch.save(d, "tokens")
     sources = scratch.save(_sources(d), "sources")
-    x = sources.agg(F.sum("tokens").alias("tokens"), F.sum("n_docs").alias("n_docs")).first()
-    total, n_docs = x["tokens"] or 0, x["n_docs"] or 0
+    total = sources.agg(F.sum("tokens")).first()[0] or 0
     a = bisect_exponent(sources, total, target_entropy, repeat_limit) if total else 1.0
     p = F.col("tokens") / F.lit(float(total or 1))
     scale = sources.filter("tokens > 0").agg(F.sum(F.pow(p, F.lit(a))).alias("z"), F.max(F.pow(p, F.lit(1 - a))).alias("least")).first()
@@ -96,10 +95,11 @@ def schedule(
     budget = total * z * least if whole else float(budget)
     reps = F.when(F.col("tokens") == 0, 1.0).otherwise(F.pow(p, F.lit(a)) / F.lit(z) * F.lit(budget) / F.greatest("tokens", F.lit(1)))
     reps = F.round(F.greatest(reps, F.lit(1.0)) if whole else reps, 9)
-    mix = sources.select("source_key", reps.alias("reps"), F.when(F.col("tokens") > 0, F.pow(p, F.lit(a)) / F.lit(z)).otherwise(0.0).alias("weight"))
-    slices, blocks = max(1, math.ceil(n_docs / SLICE_DOCS)), max(1, math.ceil(budget / block_tokens))
+    slices = F.ceil(F.col("n_docs") / SLICE_DOCS).cast("int").alias("slices")  # by source, so that the largest one's are no larger
+    mix = sources.select("source_key", slices, reps.alias("reps"), F.when(F.col("tokens") > 0, F.pow(p, F.lit(a)) / F.lit(z)).otherwise(0.0).alias("weight"))
+    blocks = max(1, math.ceil(budget / block_tokens))
     u = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    d = d.join(mix, "source_key").withColumn("slice", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.lit(slices)))
+    d = d.join(mix, "source_key").withColumn("slice", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed + 1)), F.col("slices")))
     cell = W.partitionBy("source_key", "slice")
     ordered = cell.orderBy(u, "doc_id")
     before = F.sum("n_tokens").over(ordered.rowsBetween(W.unboundedPreceding, -1))
