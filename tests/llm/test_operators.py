@@ -456,6 +456,20 @@ def search_brute(rows, modulus=100, k=10):
     return sorted(out)
 
 
+def test_sql_gives_the_same_rows(spark, sf_dir):
+    duckdb = pytest.importorskip("duckdb")
+    from tidemark.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    for name, sql in ORACLE_SQL.items():
+        df = QUERIES[name](spark, sf_dir)
+        cur = con.execute(sql)
+        assert df.columns == [c[0] for c in cur.description]
+        assert sorted(map(tuple, df.collect())) == sorted(cur.fetchall())
+
+
 def test_search(spark, monkeypatch):
     r = np.random.default_rng(6)
     rows = [(i, r.normal(size=8).round(2).tolist()) for i in range(1000)]

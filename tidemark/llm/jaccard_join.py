@@ -197,7 +197,11 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, n_links (verified links used, at least), component_id for every row of docs."""
+    """doc_id, n_shingles, component_id for every row of docs.
+
+    Links are verified until each component is whole; those that would only add to
+    a component are not, so their number is not known and not returned.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -263,16 +267,10 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     found = scratch.save(_verified(pairs, docs, size, percent, scratch), "links")
     links = links.union(found)
     comp = scratch.save(components(links, scratch), "components")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = firsts.select("n", "whole", "rep").join(comp.join(degree, "node", "left"), F.col("rep") == F.col("node"), "left")
-    known = known.select("n", "whole", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = all_.join(known, ["n", "whole"], "left")
+    known = firsts.select("n", "whole", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("n", "whole", F.coalesce("component", "rep").alias("component_id"))
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return out.select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(alone, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-    )
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return all_.join(known, ["n", "whole"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component)
 
 
 def keep_first(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

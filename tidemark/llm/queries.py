@@ -59,8 +59,27 @@ QUERIES = {
     )
 }
 
-#: None of the ten is whole in SQL (a fitted model, a global packing, components of similarity, a permutation), but exact search is.
+#: What SQL can say whole: components of exact similarity, and exact search. The others hold a fitted model, a global packing or a permutation.
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+            from documents
+        ), s as (
+            select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: list_aggregate(w[i:i + 3], 'string_agg', ' ')) when len(w) > 0 then [list_aggregate(w, 'string_agg', ' ')] else [] end) as g
+            from w
+        ), n as (
+            select doc_id, count(*) as n from s group by doc_id
+        ), p as (
+            select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all
+        ), l as (
+            select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)
+        ), r(doc_id, c) as (
+            select doc_id, doc_id from documents union select l.b, r.c from r join l on r.doc_id = l.a
+        )
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(c) from r where r.doc_id = d.doc_id) as component_id
+        from documents d left join n on n.doc_id = d.doc_id
+    """,
     "op9_exact_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as e
