@@ -30,14 +30,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         """Write df and read it back."""
         path = f"{self.root}/{tag}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 

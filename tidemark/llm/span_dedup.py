@@ -30,7 +30,6 @@ from .common import Scratch
 RUN = 3
 WORDS = 8
 CUT = 16
-_M = (1 << 64) - 1
 _B, _C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so they have inverses modulo 2 ** 64
 
 
