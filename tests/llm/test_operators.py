@@ -256,6 +256,41 @@ def test_planted_passage_goes_but_the_first(docs):
     assert [i for i in hosts if inner in " ".join(got[i].split())] == [10]
 
 
+def test_repeated_short_lines_go(spark):
+    r = np.random.default_rng(21)
+    lines = "\n".join("".join(r.choice(list("klmnop"), 6)) for _ in range(60))
+    rows = [(k, f"{prose(50, 800 + k)}\n{lines}\n{prose(50, 810 + k)}") for k in range(3)] + [(3, lines), (4, prose(30, 820) + "\n" + "\n".join(lines.split("\n")[:9]))]
+    got = {x["doc_id"]: x["text"] for x in span_dedup.replace_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1]
+    for k in (1, 2, 3, 4):
+        assert not set(lines.split("\n")) & set(got[k].split()), k
+
+
+def test_span_dedup_with_lengthened_runs(docs):
+    cut, seen = span_dedup.Cutter(), {}
+    got = {r["doc_id"]: r for r in span_dedup.dedup_spans(docs, lengthen=True).collect()}
+    for d, t in all_rows():
+        _, b, _ = cut((t or "").encode())
+        words, n, gone = (t or "").encode().lower().split(), len(b) - 1, set()
+        long_enough = [(i, j) for i in range(n) for j in range(i + span_dedup.RUN, min(n, i + span_dedup.WORDS) + 1) if b[j] - b[i] >= span_dedup.WORDS]
+        for i, j in sorted({(i, min(j for k, j in long_enough if k == i)) for i in {p[0] for p in long_enough}} | {(max(i for i, k in long_enough if k == j), j) for j in {p[1] for p in long_enough}}) if n < 200 else ():
+            if seen.setdefault(tuple(words[b[i] : b[j]]), (d, i)) != (d, i):
+                gone |= set(range(i, j))
+        if n < 200:
+            assert got[d]["n_removed"] == len(gone), d
+    assert got[11]["n_removed"] == got[11]["n_sentences"]
+
+
+def test_runs_are_the_shortest_from_and_up_to_every_sentence():
+    r = np.random.default_rng(22)
+    for n in range(1, 40):
+        b = np.concatenate(([0], np.cumsum(r.choice([1, 1, 2, 9], n)))).tolist()
+        ok = [(i, j) for i in range(n) for j in range(i + span_dedup.RUN, n + 1) if b[j] - b[i] >= span_dedup.WORDS]
+        want = {min(p for p in ok if p[0] == i) for i, _ in ok} | {max(p for p in ok if p[1] == j) for _, j in ok}
+        i, j = span_dedup.sentences_of(span_dedup.runs_of(np.array(b)))
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(want)
+
+
 # Packing
 
 

@@ -3,10 +3,14 @@
 A text is cut into sentences: after a word that ends in . ! or ?, at a line
 feed, and, so that unpunctuated text has sentences too, after any word whose
 hash falls in one class of CUT. The cuts depend on the words alone, so a passage
-is cut alike wherever it stands. Every run of RUN consecutive sentences with WORDS words or
-more is hashed; runs are joined over the whole corpus by hash, and a sentence
+is cut alike wherever it stands. From every sentence on, and up to every
+sentence, the shortest run of at least RUN consecutive sentences and WORDS
+words is hashed; runs are joined over the whole corpus by hash, and a sentence
 goes if any run that covers it is not the first of its kind (least doc_id, then
-place).
+place). A passage of RUN or more sentences and WORDS or more words is so covered
+entirely, however short its sentences are. dedup_spans alone leaves out the runs
+of more than RUN sentences unless it is asked for them by lengthen; the query and
+the pipeline ask.
 
 Sentences are compared by their words, with A-Z lower-cased; white space does
 not matter. What stays of a text stays as it was, byte for byte.
@@ -30,6 +34,7 @@ from .common import Scratch
 RUN = 3
 WORDS = 8
 CUT = 16
+MORE = max(WORDS - RUN, 0).bit_length()  # bits for a run's sentences beyond RUN: WORDS sentences hold WORDS words
 _B, _C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so they have inverses modulo 2 ** 64
 
 
@@ -85,42 +90,64 @@ class Cutter:
         return start[bounds[:-1]], bounds, run
 
 
-def runs_of(bounds: np.ndarray) -> np.ndarray:
-    """First sentence of every run of RUN sentences that has at least WORDS words."""
-    return np.flatnonzero(bounds[RUN:] - bounds[:-RUN] >= WORDS)
+def runs_of(bounds: np.ndarray, lengthen: bool = True) -> np.ndarray:
+    """The shortest runs from and up to each sentence: first sentence above MORE bits, below them the sentences beyond RUN.
 
+    Without lengthen only those of RUN sentences.
+    """
+    n = len(bounds) - 1
+    if n < RUN:
+        return np.empty(0, np.int64)
+    enough = bounds[RUN:] - bounds[:-RUN] >= WORDS
+    runs = np.flatnonzero(enough) << MORE
+    short = np.flatnonzero(~enough)
+    if not lengthen or not len(short):
+        return runs
+    to = np.searchsorted(bounds, bounds[short] + WORDS)
+    since = np.searchsorted(bounds, bounds[short + RUN] - WORDS, "right") - 1
+    on, up = to <= n, since >= 0
+    first, last = np.concatenate((short[on], since[up])), np.concatenate((to[on], short[up] + RUN))
+    return np.unique(np.concatenate((runs, (first << MORE) + last - first - RUN)))
 
-def _runs(docs: DataFrame) -> DataFrame:
-    """o, ti, h for every hashed run: document in order, text's tag and first sentence, hash of the words."""
+
+def sentences_of(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First sentence of each run, and the one after its last."""
+    first = runs >> MORE
+    return first, first + RUN + (runs & ((1 << MORE) - 1))
+
+
+def _runs(docs: DataFrame, lengthen: bool) -> DataFrame:
+    """o, ti, h for every hashed run: document in order, text's tag and the run's sentences, hash of the words."""
 
     def work(batches):
         cutter = Cutter()
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 b = big.slice(at, 500)
-                which, h, first = [], [], []
+                which, h, place = [], [], []
                 for r, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
                     _, bounds, run = cutter(t or b"")
-                    if len(bounds) > RUN and len(i := runs_of(bounds)):
-                        first.append(i)
-                        h.append(run(bounds[i], bounds[i + RUN]))
-                        which.append(np.full(len(i), r))
+                    if len(runs := runs_of(bounds, lengthen)):
+                        i, j = sentences_of(runs)
+                        place.append(runs)
+                        h.append(run(bounds[i], bounds[j]))
+                        which.append(np.full(len(runs), r))
                 if which:
                     rows = np.concatenate(which)
-                    ti = b.column("tag").to_numpy()[rows] + np.concatenate(first)
+                    ti = b.column("tag").to_numpy()[rows] + np.concatenate(place)
                     yield pa.RecordBatch.from_arrays([b.column("o").take(pa.array(rows)), pa.array(ti), pa.array(np.concatenate(h).view(np.int64))], ["o", "ti", "h"])
 
     return docs.select("o", "tag", "text").mapInArrow(work, "o long, ti long, h long")
 
 
-def _with_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """Each row of docs with the first sentences of its late runs, under spans."""
+def _with_spans(docs: DataFrame, carry: list[str], lengthen: bool = True) -> DataFrame:
+    """Each row of docs with its late runs, as runs_of gives them, under spans."""
     scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
-    # order of documents, null last; a tag that keeps texts of one doc_id apart, above 32 bits for the sentence
+    # order of documents, null last; a tag that keeps texts of one doc_id apart, above 32 bits for the run
     tag = F.shiftleft(F.pmod(F.xxhash64("text"), F.lit((1 << 31) - 1)), 32)
     d = d.withColumn("o", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("tag", tag)
-    runs = scratch.save(_runs(d), "runs")
+    runs = scratch.save(_runs(d, lengthen), "runs")
     again = runs.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     shared = scratch.save(runs.join(again, "h"), "shared")
     first = shared.groupBy("h").agg(F.min(F.struct("o", "ti")).alias("first"))
@@ -131,9 +158,9 @@ def _with_spans(docs: DataFrame, carry: list[str]) -> DataFrame:
     return d.join(gone, ["o", "tag"], "left").select("doc_id", "text", *carry, "spans")
 
 
-def dedup_spans(docs: DataFrame) -> DataFrame:
+def dedup_spans(docs: DataFrame, lengthen: bool = False) -> DataFrame:
     """doc_id, text (what is left), n_sentences, n_removed, removed_words for every row of docs (doc_id, text)."""
-    return _cut(_with_spans(docs, []), [])
+    return _cut(_with_spans(docs, [], lengthen), [])
 
 
 def replace_texts(docs: DataFrame) -> DataFrame:
@@ -158,9 +185,9 @@ def _cut(x: DataFrame, carry: list[str]) -> DataFrame:
                     starts, bounds, _ = cutter(t or b"")
                     n = len(starts)
                     gone = np.zeros(n + 1, np.int64)
-                    for i in spans or ():
-                        gone[i] += 1
-                        gone[i + RUN] -= 1
+                    i, j = sentences_of(np.array(spans or (), np.int64))
+                    np.add.at(gone, i, 1)
+                    np.add.at(gone, j, -1)
                     gone = np.cumsum(gone)[:n] > 0
                     if gone.any():
                         ends = np.append(starts[1:], len(t))
