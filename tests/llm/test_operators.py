@@ -291,6 +291,33 @@ def test_runs_are_the_shortest_from_and_up_to_every_sentence():
         assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == sorted(want)
 
 
+@pytest.mark.parametrize("stops", ["", "."])
+def test_repeated_passages_of_51_to_60_words_go(spark, stops):
+    r = np.random.default_rng(23)
+
+    def words(n):
+        return ["".join(r.choice(list("abcdefghijkl"), 7)) + (stops if r.random() < 0.06 else "") for _ in range(n)]
+
+    passages = [words(n) for n in range(51, 61) for _ in range(8)]
+    rows = [(copy * 1000 + k, " ".join([*words(40), *p, *words(40)])) for copy in (0, 1) for k, p in enumerate(passages)]
+    got = {x["doc_id"]: x["text"] for x in span_dedup.replace_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, p in enumerate(passages):
+        assert got[k] == rows[k][1]
+        left = set(got[1000 + k].split())
+        there = [w in left for w in p]
+        gone = there.index(False), there[::-1].index(False)
+        assert max(gone) < 2 * span_dedup.LONGEST and not any(there[gone[0] : len(p) - gone[1]]), (k, gone)
+        assert len(left) >= 80
+
+
+def test_no_sentence_is_longer_than_the_bound():
+    r = np.random.default_rng(24)
+    for n in (1, 7, 8, 9, 500):
+        for text in (" ".join("".join(r.choice(list("abcdefghijkl"), 7)) for _ in range(n)), "word " * n):
+            _, bounds, _ = span_dedup.Cutter()(text.encode())
+            assert bounds[-1] == n and 1 <= np.diff(bounds).min() <= np.diff(bounds).max() <= span_dedup.LONGEST
+
+
 # Packing
 
 

@@ -2,8 +2,11 @@
 
 A text is cut into sentences: after a word that ends in . ! or ?, at a line
 feed, and, so that unpunctuated text has sentences too, after any word whose
-hash falls in one class of CUT. The cuts depend on the words alone, so a passage
-is cut alike wherever it stands. From every sentence on, and up to every
+hash falls in one class of CUT, and, in any LONGEST words in a row without such an
+end, after the last of those of least hash. No sentence is longer than LONGEST
+words. The cuts depend on the words of LONGEST words in a row alone, so a passage
+is cut alike wherever it stands but for LONGEST - 1 words at each end: of any
+passage of 46 words or more, at most 2 * LONGEST - 1 words at each end stay. From every sentence on, and up to every
 sentence, the shortest run of at least RUN consecutive sentences and WORDS
 words is hashed; runs are joined over the whole corpus by hash, and a sentence
 goes if any run that covers it is not the first of its kind (least doc_id, then
@@ -34,6 +37,7 @@ from .common import Scratch
 RUN = 3
 WORDS = 8
 CUT = 16
+LONGEST = 8
 MORE = max(WORDS - RUN, 0).bit_length()  # bits for a run's sentences beyond RUN: WORDS sentences hold WORDS words
 _B, _C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so they have inverses modulo 2 ** 64
 
@@ -78,6 +82,14 @@ class Cutter:
         lines = np.concatenate(([0], np.cumsum(x == 10)))
         cut = (last == 46) | (last == 33) | (last == 63) | ((h >> np.uint64(20)) % np.uint64(CUT) == 0)
         cut[:-1] |= lines[start[1:]] > lines[end[:-1]]
+        ends = np.concatenate(([0], np.cumsum(cut)))
+        free = np.flatnonzero(ends[LONGEST:] == ends[:-LONGEST])  # LONGEST words from here on end no sentence
+        at, least = free.copy(), h[free]
+        for k in range(1, LONGEST):
+            x = h[free + k]
+            lower = x <= least
+            at[lower], least[lower] = free[lower] + k, x[lower]
+        cut[at] = True
         cut[-1] = True
         bounds = np.concatenate(([0], np.flatnonzero(cut) + 1))
         t = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * self.c[0][:n])))
@@ -150,6 +162,7 @@ def _with_spans(docs: DataFrame, carry: list[str], lengthen: bool = True) -> Dat
     runs = scratch.save(_runs(d, lengthen), "runs")
     again = runs.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     shared = scratch.save(runs.join(again, "h"), "shared")
+    scratch.drop(runs)
     first = shared.groupBy("h").agg(F.min(F.struct("o", "ti")).alias("first"))
     late = shared.join(first, "h").filter(F.struct("o", "ti") != F.col("first")).select("o", "ti").distinct()
     tagged = F.shiftleft(F.shiftright("ti", 32), 32)
