@@ -157,3 +157,14 @@ def test_related_series(spark):
     g = {x["id"]: x["group"] for x in decisions.groups(df.select("id").distinct(), spark.createDataFrame(list(near), ["a", "b"])).collect()}
     assert g[10] == 0 and g[11] == 1 and g[2] == 2
     assert {(b["a"], b["b"], b["blocks"]) for b in profile.repeated_blocks(df).collect()} == {(0, 10, 2)}
+
+
+def test_boosted_query_fits_as_long_as_the_operator(monkeypatch):
+    from tidemark.plans import queries
+
+    asked = []
+    monkeypatch.setattr(queries, "_frame", lambda s, d, through: through)
+    monkeypatch.setattr(queries.models, "boosted", lambda df, **settings: asked.append((df, settings)))
+    monkeypatch.setattr(queries.scoring, "pooled_and_folds", lambda df: df)
+    queries.QUERIES["model_E13_boosted"](None, "")
+    assert asked == [("base", {})]

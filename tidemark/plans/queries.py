@@ -315,7 +315,7 @@ def model_scores(s: SparkSession, d: str, experiment: str, through: str) -> Data
 
 for _e, _through in {"E08": "base", "E09": "base", "E10": "base", "E11": "base", "E12": "base", "E14": "scale", "E15": "scale", "E16": "scale", "E17": "scale", "E18": "normal", "E19": "normal", "E20": "normal", "E21": "normal"}.items():
     register(f"model_{_e}", lambda s, d, e=_e, th=_through: model_scores(s, d, e, th))
-register("model_E13_boosted", lambda s, d: scoring.pooled_and_folds(models.boosted(_frame(s, d, "base"), maxIter=10)))
+register("model_E13_boosted", lambda s, d: scoring.pooled_and_folds(models.boosted(_frame(s, d, "base"))))
 
 
 def full_fit(s: SparkSession, d: str) -> DataFrame:
