@@ -161,6 +161,72 @@ def test_jaccard_edges(spark, docs, empty):
     assert {r["doc_id"] for r in kept.collect()} == firsts | {None}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_rows_that_share_an_id(spark, seed):
+    """Ids with two rows of unlike texts, each with near copies elsewhere, rows without id, and exact copies of all of them."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for i in range(12):
+        for half in (0, 1):
+            t = prose(60, 10_000 * seed + 2 * i + half)
+            rows += [(100 + i, t), (int(r.integers(200, 10_000)), edited(t, [int(r.integers(55))], r)), (int(r.integers(200, 10_000)), t)]
+    lone = prose(60, 77 * seed)
+    rows += [(None, lone), (50_000, edited(lone, [3], r)), (None, "none like it at all here"), (100, ""), (100, None), (7, ""), rows[0], rows[0]]
+    sets = [shingle_set(t, 4) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            same = sets[i] and sets[j] and rows[i][0] is not None and rows[i][0] == rows[j][0]
+            if same or (both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both)):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    reach = collections.defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        reach[find(k)].append(i)
+    want = [(i, len(sets[k]), min((x for x in reach[find(k)] if x is not None), default=None)) for k, (i, _) in enumerate(rows)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_components(d).collect()]
+    key = lambda x: tuple((v is None, v or 0) for v in x)
+    assert sorted(got, key=key) == sorted(want, key=key)
+    kept = jaccard_join.keep_first(d.withColumn("r", F.lit(1)).withColumn("_c0", F.lit(2)))
+    assert kept.columns == ["doc_id", "text", "r", "_c0"]
+    groups = len({find(k) for k in range(len(rows)) if sets[k]}) + sum(not x for x in sets)
+    assert kept.count() == groups
+
+
+def test_jaccard_heavy_rows_and_long_lists_are_split(spark, monkeypatch):
+    """A cluster around one text, and many texts that share a passage and are not alike, with small bounds of the splits."""
+    monkeypatch.setattr(jaccard_join, "HEAVY", 1)
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 8)
+    r = np.random.default_rng(3)
+    passage = prose(70, 31)
+    rows = [edited(BASE, r.choice(100, int(r.integers(1, 4)), replace=False), r) for _ in range(150)]
+    rows += [passage + " " + " ".join("".join(r.choice(list("uvwxyz"), 6)) for _ in range(14)) for _ in range(40)]
+    sets = [shingle_set(t, 4) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 def test_components_of_a_long_chain(spark):
     from tidemark.llm.common import Scratch
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,12 +14,16 @@ from pyspark.sql import functions as F
 #: Bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: No more keys than this are broadcast as hot ones.
+PARTS = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share. Without one, a cluster is an error; where all is one process, a temporary one is set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, where, True)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -26,26 +31,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
+    """Tables written to the shared folder: they cut lineage and outlive lost executors, and go when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+        where, files = self._files(self.root)
+        files.deleteOnExit(where)
+
+    def _files(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def save(self, df: DataFrame, tag: str) -> DataFrame:
         """Write df and read it back."""
         path = f"{self.root}/{tag}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that nothing reads any more."""
-        path = getattr(df, "_scratch_path", None)
-        if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for df in tables:
+            path = getattr(df, "_scratch_path", None)
+            if path:
+                where, files = self._files(path)
+                files.delete(where, True)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], count: str, level: float | None = None) -> DataFrame:
+    """rows joined to table (one row a key; count says how many of rows have it), with no task bound to a hot key.
+
+    Keys of more rows than level, by default a PARTS-th of all, are broadcast: there
+    are fewer than PARTS of them. The others are joined as Spark sees fit.
+    """
+    keys = [key] if isinstance(key, str) else key
+    if level is None:
+        level = max((table.agg(F.sum(count)).first()[0] or 0) / PARTS, 64)
+    hot = table.filter(F.col(count) > level)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.filter(F.col(count) <= level), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold).drop(count)
 
 
 def words_of(text: Column) -> Column:

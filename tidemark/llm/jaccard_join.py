@@ -1,5 +1,7 @@
 """Grouped prefix join: exact Jaccard links between documents, and their components.
 
+Rows are saved once with a key of their own, so rows that share a doc_id stay apart.
+
 1. Every text becomes the set of 64-bit hashes of its distinct word shingles.
    A sketch counts shingles in 2 ** SKETCH_BITS buckets (a fixed size, whatever
    the corpus); (bucket count, hash) is the global order that puts rare shingles
@@ -12,31 +14,38 @@
    components. Then groups are expanded, and a posting list pairs members of
    different components, the lesser ones against all; pairs that pass the filters
    are verified on whole sets. A list of N near copies so costs about N pairs, and
-   still no link between components is missed.
+   still no link between components is missed. Keys that hold many pairs (a
+   cluster's pivot, a hot posting list, a hub) are split: by salts, by blocks of
+   one side, or by broadcasting the few hottest.
 4. Components come from alternating large-star and small-star steps, which are
-   joins and grouped minima; nothing is collected.
+   joins and grouped minima; nothing is collected. They run until nothing changes.
 
 Defined results: null, empty or wordless text has an empty set and no links;
-fewer words than a shingle give one shingle of all words; doc_id names a
-document, so rows that repeat it belong together and each is returned; a null
-doc_id has no links and a null component_id; an
-empty table gives an empty result; other columns are ignored.
+fewer words than a shingle give one shingle of all words; every row has its own
+set and links, and rows with words that share a doc_id belong together, so the
+id has the links of all of them; a row without doc_id links like others, and its
+component_id is the least doc_id it reaches, null if there is none; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_counted
 
 SKETCH_BITS = 20
 BITS = 512
 ODD = [f"o{i}" for i in range(BITS // 64)]
 PARTS = 64  # slices in which the sketch is summed
 KINDS = 0x9E3779B97F4A7C15
+HEAVY = 1 << 16  # at most twice as many rows are salted one by one
+LIST_BLOCK = 1024  # members of lesser components that one task meets of a list
 
 
 class _Words(dict):
@@ -110,7 +119,7 @@ def _rows(batches, names: list[str], types: list[pa.DataType], make):
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
-    """doc_id, n, whole (digest of the set), lead (digest of prefix and size), prefix in the global order, and ODD.
+    """r, doc_id, n, whole (digest of the set), lead (digest of prefix and size), prefix in the global order, and ODD.
 
     ODD are BITS bits: whether the set has an odd number of hashes in each of
     BITS classes. Two sets differ in at least as many elements as their bits do.
@@ -134,31 +143,54 @@ def _prefixes(docs: DataFrame, size: int, percent: int, sketch) -> DataFrame:
                 prefix.append(p.view(np.int64))
                 lead.append(hashlib.blake2b(p.tobytes() + len(s).to_bytes(8, "little"), digest_size=16).digest())
             packed = np.packbits(odd, axis=1).view(np.int64)
-            return [b.column("doc_id"), n, whole, lead, prefix, *packed.T.copy()]
+            return [b.column("r"), b.column("doc_id"), n, whole, lead, prefix, *packed.T.copy()]
 
-        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())] + [pa.int64()] * len(ODD)
-        yield from _rows(batches, ["doc_id", "n", "whole", "lead", "prefix", *ODD], types, make)
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())] + [pa.int64()] * len(ODD)
+        yield from _rows(batches, ["r", "doc_id", "n", "whole", "lead", "prefix", *ODD], types, make)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, whole binary, lead binary, prefix array<long>, " + ", ".join(f"{c} long" for c in ODD))
+    return docs.select("r", "doc_id", "text").mapInArrow(run, "r long, doc_id long, n int, whole binary, lead binary, prefix array<long>, " + ", ".join(f"{c} long" for c in ODD))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id, s: whole sorted sets of the documents asked for."""
+def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """r, salt, s: the whole sorted set of each row that wanted (r, salts) asks for, once for each salt."""
 
     def run(batches):
         words = _Words()
-        yield from _rows(batches, ["doc_id", "s"], [pa.int64(), pa.binary()], lambda b: [b.column("doc_id"), [shingles(t, size, words).tobytes() for t in _texts(b)]])
+        for big in batches:
+            for at in range(0, big.num_rows, 64):
+                b = big.slice(at, 64)
+                for r, salts, t in zip(b.column("r").to_pylist(), b.column("salts").to_pylist(), _texts(b), strict=True):
+                    s = shingles(t, size, words).tobytes()
+                    for k in range(0, len(salts), 64):
+                        part = salts[k : k + 64]
+                        yield pa.RecordBatch.from_arrays([pa.array([r] * len(part), pa.int64()), pa.array(part, pa.int32()), pa.array([s] * len(part), pa.binary())], ["r", "salt", "s"])
 
-    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "doc_id long, s binary")
+    return docs.select("r", "text").join(wanted, "r").mapInArrow(run, "r long, salt int, s binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+    """The pairs (a, b) of rows whose whole sets are similar enough.
+
+    A row in many pairs is salted, so that no task meets all its partners' sets: of n
+    pairs, those of a heavy row are dealt to about sqrt(n) tasks, each with a copy of its set.
+    """
     pairs = scratch.save(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.save(_sets(docs, ids, size), "sets")
-    x = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    x = x.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+    n = pairs.count()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("r"))
+    heavy = scratch.save(ends.groupBy("r").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > max(64, n / HEAVY)).select("r"), "heavy")
+    salts = max(1, math.ceil(math.sqrt(n)))
+
+    def salted(p: DataFrame, end: str, other: str) -> DataFrame:
+        flag = F.broadcast(heavy.select(F.col("r").alias(end), F.lit(True).alias("_h")))  # 2 * HEAVY rows at most
+        salt = F.when(F.col("_h"), F.pmod(F.xxhash64(other), F.lit(salts))).otherwise(0).cast("int")
+        return p.join(flag, end, "left").withColumn(f"salt_{end}", salt).drop("_h")
+
+    p = salted(salted(pairs, "a", "b"), "b", "a")
+    wanted = p.select(F.explode(F.array(F.struct(F.col("a").alias("r"), F.col("salt_a").alias("salt")), F.struct(F.col("b").alias("r"), F.col("salt_b").alias("salt")))).alias("x")).select("x.*")
+    wanted = wanted.groupBy("r").agg(F.collect_set("salt").alias("salts"))  # sqrt(n) at most
+    sets = scratch.save(_sets(docs, wanted, size), "sets")
+    x = p.join(sets.select(F.col("r").alias("a"), F.col("salt").alias("salt_a"), F.col("s").alias("sa")), ["a", "salt_a"])
+    x = x.join(sets.select(F.col("r").alias("b"), F.col("salt").alias("salt_b"), F.col("s").alias("sb")), ["b", "salt_b"]).select("a", "b", "sa", "sb")
 
     def run(batches):
         for big in batches:
@@ -173,68 +205,69 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratc
                     keep.append(100 * both >= percent * (len(p) + len(q) - both) and both > 0)
                 yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return x.mapInArrow(run, "a long, b long")
+    links = scratch.save(x.mapInArrow(run, "a long, b long"), "links")
+    scratch.drop(pairs, heavy, sets)
+    return links
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
-    """node, component (the least node reachable), for every node of edges (a, b)."""
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component (the least node reachable), for every node of edges (a, b) but the least of each component."""
     e = scratch.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
-    for _ in range(most):
+
+    def meet(rows: DataFrame, least: DataFrame) -> DataFrame:
+        """rows joined to least on u, hubs apart where there are any."""
+        return rows.join(least.drop("k"), "u") if n <= 8 * LIST_BLOCK else join_counted(rows, least, "u", "k", max(2 * n / 1024, LIST_BLOCK))
+
+    n, mark, turn = e.count(), None, 0
+    while True:
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        top = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(top, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k")).select("u", F.least("u", "m").alias("m"), "k")
+        large = meet(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        top = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("k"))
+        small = meet(large, top).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         new = scratch.save(small.select("x.u", "x.v").filter("u <> v").distinct(), "edges")
         scratch.drop(e)
         e = new
         x = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (x["n"], x["h"]) == mark:
-            break
-        mark = (x["n"], x["h"])
-    return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+            return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+        n, mark, turn = x["n"], (x["n"], x["h"]), turn + 1
+        if turn > 500:  # the steps end after about the square of the number's logarithm
+            raise RuntimeError("components do not settle")
 
 
-def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
-
-    Links are verified until each component is whole; those that would only add to
-    a component are not, so their number is not known and not returned.
-    """
+def _labels(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """r, doc_id, n, label (of the component), component_id for every row of docs (r, doc_id, text), a saved table."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = spark.sparkContext.broadcast(_sketch(docs, size))
     all_ = scratch.save(_prefixes(docs, size, percent, sketch), "prefixes")
-    # Same set: one stands for all. Same prefix and size: one posts for all.
-    firsts = all_.filter("n > 0 and doc_id is not null").groupBy("n", "whole", "lead").agg(F.min("doc_id").alias("rep"))
+    # Same set: one row stands for all. Same prefix and size: one posts for all.
+    firsts = all_.filter("n > 0").groupBy("n", "whole", "lead").agg(F.min("r").alias("rep"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
     firsts = scratch.save(firsts, "firsts")
     groups = firsts.groupBy("n", "lead").agg(F.min("rep").alias("g"), F.count(F.lit(1)).alias("members"))
     member = firsts.join(groups.filter("members > 1").select("n", "lead", "g"), ["n", "lead"], "left").select("rep", F.coalesce("g", "rep").alias("g"), "n")
-    bits = all_.select(F.col("doc_id").alias("rep"), *ODD).dropDuplicates(["rep"])
-    member = scratch.save(member.join(bits, "rep"), "members")
-    leads = groups.select(F.col("g").alias("doc_id"), "members")
-    reps = scratch.save(all_.select("doc_id", "n", "prefix").dropDuplicates(["doc_id"]).join(leads, "doc_id"), "reps")
+    member = scratch.save(member.join(all_.select(F.col("r").alias("rep"), *ODD), "rep"), "members")
+    leads = groups.select(F.col("g").alias("r"), "members")
+    reps = scratch.save(all_.select("r", "n", "prefix").join(leads, "r"), "reps")
     size_at = (F.col("n").cast("long") * (1 << 32)).alias("size")
-    posts = reps.select(F.col("doc_id").alias("g"), "members", size_at, F.posexplode("prefix").alias("at", "token"))
-    # Only lists that could hold a link: two members or more.
-    lists = posts.groupBy("token").agg(F.sum("members").alias("len")).filter("len > 1")
+    posts = reps.select(F.col("r").alias("g"), "members", size_at, F.posexplode("prefix").alias("at", "token"))
+    # Only lists that could hold a link: two members or more. Saved, so that the join below can be split where a list is hot.
+    lists = scratch.save(posts.groupBy("token").agg(F.sum("members").alias("len")).filter("len > 1"), "lists")
     shared = posts.select("token", "g", (F.col("size") + F.col("at")).alias("na")).join(lists, "token")
     shared = shared.select("token", "g", "len", F.shiftright("na", 32).cast("int").alias("n"), F.col("na").bitwiseAND((1 << 32) - 1).cast("int").alias("at"))
     shared = scratch.save(shared, "shared")
-    scratch.drop(reps)
+    scratch.drop(reps, lists)
 
-    def sizes(x: str, y: str):
+    def sizes(n1: Column, at1: Column, n2: Column, at2: Column) -> Column:
         """Size and position filters: what must hold if the sets are similar enough."""
-        n1, n2, left = F.col(f"{x}.n"), F.col(f"{y}.n"), F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+        left = F.least(n1 - at1, n2 - at2)
         return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * left.cast("long") >= percent * (n1 + n2))
 
-    def bits_near(x: str, y: str):
+    def bits_near(x: str, y: str) -> Column:
         """The same for the bits."""
         return (100 + percent) * apart(x, y) <= (100 - percent) * (F.col(f"{x}.n") + F.col(f"{y}.n"))
 
-    def apart(x: str, y: str):
+    def apart(x: str, y: str) -> Column:
         out = F.lit(0)
         for c in ODD:
             out = out + F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
@@ -244,36 +277,74 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     # those it tries the nearest by bits; other members try the first of their group.
     company = shared.groupBy("g").agg(F.sum("len").alias("company"))
     x = shared.join(company, "g")
-    pivots = x.groupBy("token").agg(F.max(F.struct("company", "g", "n", "at")).alias("p")).select("token", F.col("p.g").alias("g"), F.col("p.n").alias("n"), F.col("p.at").alias("at"))
-    a, b = shared.alias("a"), pivots.alias("b")
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.g") != F.col("b.g")) & sizes("a", "b"))
-    met = met.select(F.col("a.g").alias("ag"), F.col("b.g").alias("bg")).distinct()
+    pivots = x.groupBy("token").agg(F.max(F.struct("company", "g", "n", "at")).alias("p"))
+    pivots = scratch.save(pivots.select("token", F.col("p.g").alias("pg"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat")), "pivots")
+    met = shared.join(pivots, "token").filter((F.col("g") != F.col("pg")) & sizes(F.col("n"), F.col("at"), F.col("pn"), F.col("pat")))
+    met = met.select(F.col("g").alias("ag"), F.col("pg").alias("bg")).distinct()
     of_group = member.select("rep", "n", *ODD)
     met = met.join(of_group.alias("a"), F.col("ag") == F.col("a.rep")).join(of_group.alias("b"), F.col("bg") == F.col("b.rep")).filter(bits_near("a", "b"))
     best = met.groupBy(F.col("ag").alias("a")).agg(F.min(F.struct(apart("a", "b").alias("d"), F.col("bg").alias("b"))).alias("s")).select("a", "s.b")
     inner = member.filter("rep <> g").select(F.col("rep").alias("a"), F.col("g").alias("b"))
-    links = scratch.save(_verified(best.union(inner), docs, size, percent, scratch), "links")
+    links = _verified(best.union(inner), docs, size, percent, scratch)
+    scratch.drop(pivots)
+    # Sets of rows with one doc_id belong together.
+    named = all_.filter("n > 0 and doc_id is not null").withColumn("w", F.xxhash64("n", "whole"))
+    several = named.groupBy("doc_id").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).filter("lo <> hi").select("doc_id")
+    several = scratch.save(several, "several")
+    if not several.isEmpty():
+        own = named.select("doc_id", "n", "whole").join(several, "doc_id").distinct().join(firsts.select("n", "whole", "rep"), ["n", "whole"]).select("doc_id", "rep")
+        own = scratch.save(own, "own")
+        links = links.union(join_counted(own, own.groupBy("doc_id").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("k")), "doc_id", "k").select(F.col("rep").alias("a"), "b"))
     comp = scratch.save(components(links, scratch), "components")
     # Round two: every member of a list of several components meets those of others, the lesser components
     # each of the others, the main one none of its own. No candidate is left out.
     m = member.join(comp, member["rep"] == comp["node"], "left").select("rep", "g", F.coalesce("component", "rep").alias("c"), *ODD)
     kinds = shared.join(m.select("g", "c"), "g").groupBy("token", "c").agg(F.count(F.lit(1)).alias("k"))
-    main = kinds.groupBy("token").agg(F.max(F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("token", F.col("main.c").alias("main"))
-    x = scratch.save(shared.join(main, "token").join(m, "g").select("token", "rep", "n", "at", "c", "main", *ODD), "open")
-    few, many = x.filter("c <> main").alias("f"), x.alias("m")
+    main = kinds.groupBy("token").agg(F.max(F.struct("k", "c")).alias("main"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    main = scratch.save(main.select("token", F.col("main.c").alias("main"), F.ceil((F.col("all") - F.col("main.k")) / LIST_BLOCK).cast("int").alias("blocks")), "main")
+    x = scratch.save(shared.join(main, "token").join(m, "g").select("token", "rep", "n", "at", "c", "main", "blocks", *ODD), "open")
+    # A long list is dealt out: its lesser members in blocks, each block meeting all.
+    few = x.filter("c <> main").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).alias("f")
+    many = x.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("m")
     # Two that are both of lesser components would meet from both sides; one side is enough.
-    cross = (F.col("f.token") == F.col("m.token")) & (F.col("f.c") != F.col("m.c")) & ((F.col("m.c") == F.col("m.main")) | (F.col("f.rep") > F.col("m.rep")))
-    pairs = few.join(many, cross & sizes("f", "m") & bits_near("f", "m")).select(F.greatest("f.rep", "m.rep").alias("a"), F.least("f.rep", "m.rep").alias("b")).distinct()
-    found = scratch.save(_verified(pairs, docs, size, percent, scratch), "links")
-    links = links.union(found)
-    comp = scratch.save(components(links, scratch), "components")
-    known = firsts.select("n", "whole", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("n", "whole", F.coalesce("component", "rep").alias("component_id"))
-    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    return all_.join(known, ["n", "whole"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), component)
+    cross = (F.col("f.token") == F.col("m.token")) & (F.col("f.block") == F.col("m.block")) & (F.col("f.c") != F.col("m.c")) & ((F.col("m.c") == F.col("m.main")) | (F.col("f.rep") > F.col("m.rep")))
+    near = sizes(F.col("f.n"), F.col("f.at"), F.col("m.n"), F.col("m.at")) & bits_near("f", "m")
+    pairs = few.join(many, cross & near).select(F.greatest("f.rep", "m.rep").alias("a"), F.least("f.rep", "m.rep").alias("b")).distinct()
+    found = _verified(pairs, docs, size, percent, scratch)
+    comp = components(links.union(found), scratch)
+    comp = comp.union(comp.select("component", "component").distinct())  # the least node is its own
+    comp = scratch.save(comp, "components")
+    scratch.drop(x, main, shared, member, found)
+    ends = comp.join(firsts.select(F.col("rep").alias("node"), "least"), "node")
+    least = ends.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k"))
+    comp = scratch.save(join_counted(comp, least, "component", "k"), "components")
+    known = firsts.join(comp, F.col("rep") == F.col("node"), "left").select("n", "whole", "rows", F.coalesce("component", "rep").alias("label"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    known = scratch.save(known, "known")
+    rows = join_counted(all_.filter("n > 0").select("r", "doc_id", "n", "whole"), known, ["n", "whole"], "rows").select("r", "doc_id", "n", "label", "component_id")
+    return rows.unionByName(all_.filter("n = 0").select("r", "doc_id", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id")))
+
+
+def _keyed(docs: DataFrame, scratch: Scratch, *carry: Column) -> DataFrame:
+    """docs saved with a key r of each row."""
+    return scratch.save(docs.select(F.monotonically_increasing_id().alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry), "rows")
+
+
+def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of docs.
+
+    Links are verified until each component is whole; those that would only add to
+    a component are not, so their number is not known and not returned.
+    """
+    scratch = Scratch(docs.sparkSession)
+    return _labels(_keyed(docs, scratch), size, percent, scratch).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def keep_first(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of docs that stand first in their component; wordless rows and rows without an id stay."""
-    part = jaccard_components(docs, size, percent).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c")).filter("_id <> _c").distinct()
-    return docs.join(part, docs["doc_id"] == part["_id"], "left_anti")
+    """One row of docs of each component: that of the least doc_id (a missing one comes last), then the first row; wordless rows stay."""
+    scratch = Scratch(docs.sparkSession)
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = _keyed(docs, scratch, *[docs[c].alias(n) for c, n in names.items()])
+    part = scratch.save(_labels(rows, size, percent, scratch).filter("label is not null"), "labels")
+    first = part.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "r")).alias("x"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    late = join_counted(part.select("label", "r"), first.select("label", F.col("x.r").alias("kept"), "k"), "label", "k").filter("r <> kept").select("r")
+    return rows.join(late, "r", "left_anti").select(*[F.col(n).alias(c) for c, n in names.items()])
