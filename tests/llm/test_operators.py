@@ -118,6 +118,33 @@ def test_expectation_maximisation_finds_the_reliable_rule(spark):
     assert min(rates[:4]) > 0.55 and max(rates[4:]) < 0.25
 
 
+def test_every_step_raises_the_likelihood():
+    r = np.random.default_rng(2)
+    names = list(quality_rules.RULES)
+    for _ in range(5):
+        patterns = [(tuple(int(v) for v in r.integers(-1, 2, len(names))), int(r.integers(1, 500))) for _ in range(60)]
+        model, path = quality_rules.maximise(patterns, names)
+        assert len(path) < quality_rules.ITERATIONS
+        assert min(np.diff(path)) > -1e-6 * sum(n for _, n in patterns)
+        assert all(x[0] <= min(x[1], quality_rules.FALSE_ALARMS) + 1e-12 and 0 < x[2] < 1 - x[0] for x in model["rules"].values())
+    assert quality_rules.maximise([], names)[0]["prior"] == 0.8
+
+
+def test_posterior_is_that_of_the_model(docs):
+    """Every row's posterior and verdict from a plain evaluation of the model fitted to all rows' votes."""
+    got = quality_rules.quality_rules(docs).toPandas()
+    names = list(quality_rules.RULES)
+    votes = [tuple(int(got[f"v_{k}"][i]) for k in names) for i in range(len(got))]
+    model, _ = quality_rules.maximise(list(collections.Counter(votes).items()), names)
+    for i, v in enumerate(votes):
+        good, bad = model["prior"], 1 - model["prior"]
+        for k, x in zip(names, v, strict=True):
+            bg, bb, gg, gb = model["rules"][k]
+            good, bad = good * {-1: bg, 0: 1 - bg - gg, 1: gg}[x], bad * {-1: bb, 0: 1 - bb - gb, 1: gb}[x]
+        assert got.posterior[i] == pytest.approx(good / (good + bad), rel=1e-6)
+        assert got.kept[i] == (not got.base_failed[i] and got.posterior[i] >= 0.5)
+
+
 # Jaccard join
 
 

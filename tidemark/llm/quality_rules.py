@@ -2,8 +2,9 @@
 
 Rules vote good (+1), bad (-1) or abstain (0). Documents are counted by vote
 pattern, of which there are at most 3 ** len(RULES) whatever the corpus size;
-expectation-maximisation over those counts estimates how often each rule is
-right on good and on bad documents, and the posterior of "good" decides.
+expectation-maximisation over those counts, a few sums on the driver until
+convergence, estimates how often each rule votes good, bad or not at all on good
+and on bad documents, and the posterior of "good" decides.
 
 Defined results: a null or empty text has no words and fails the base rules;
 repeated rows each give a row; a null doc_id is kept as null; an empty table
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, words_of
 
 WINDOW = 8
-ITERATIONS = 12
+ITERATIONS = 5000
 
 
 def _features(docs: DataFrame) -> DataFrame:
@@ -85,41 +86,91 @@ RULES = {
     "variety": ("n_words >= 50 and 100 * n_distinct < 15 * n_words", "100 * n_distinct >= 25 * n_words"),
 }
 
-#: name -> (P(bad vote | good), P(bad vote | bad), P(good vote | good), P(good vote | bad)) before the first step.
-START = (0.02, 0.3, 0.9, 0.7)
+#: P(bad vote | good), P(bad vote | bad), P(good vote | good), P(good vote | bad) of every rule before the first step.
+START = (0.002, 0.3, 0.9, 0.65)
+#: What a rule is written for: it votes bad on no more than this share of good documents. Without such a bound a rule
+#: whose faults no other rule sees would count as noise.
+FALSE_ALARMS = 0.003
+
+
+def _outcomes(rates: tuple[float, ...]) -> dict[int, float]:
+    """Log of P(outcome | good) / P(outcome | bad) for a bad vote, an abstention and a good vote."""
+    bad_good, bad_bad, good_good, good_bad = rates
+    return {-1: math.log(bad_good / bad_bad), 0: math.log((1 - bad_good - good_good) / (1 - bad_bad - good_bad)), 1: math.log(good_good / good_bad)}
 
 
 def _posterior(model: dict) -> Column:
-    """Probability that a document with these votes is good, under the model. An abstention says nothing."""
+    """Probability that a document with these votes is good, under the model."""
     out = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for r, (bad_good, bad_bad, good_good, good_bad) in model["rules"].items():
-        down, up = min(0.0, math.log(bad_good / bad_bad)), max(0.0, math.log(good_good / good_bad))
-        out = out + F.when(F.col(f"v_{r}") == 1, up).when(F.col(f"v_{r}") == -1, down).otherwise(0.0)
+    for r, rates in model["rules"].items():
+        odds = _outcomes(rates)
+        out = out + F.when(F.col(f"v_{r}") == 1, odds[1]).when(F.col(f"v_{r}") == -1, odds[-1]).otherwise(odds[0])
     return 1 / (1 + F.exp(-out))
 
 
-def fit(votes: DataFrame, iterations: int = ITERATIONS) -> dict:
-    """Expectation-maximisation over counted vote patterns (columns v_<rule>, n).
+def _ordered(high: tuple[float, float], low: tuple[float, float], most: float = 1.0) -> tuple[float, float]:
+    """The likeliest rates of two counts (hits, tries), the first not below the second and the second not above most."""
+    rate = lambda h, n: (h + 0.5) / (n + 1)
+    a, b = rate(*high), rate(*low)
+    if a < b:
+        a = b = rate((high[0] + low[0]) / 2, (high[1] + low[1]) / 2)
+        if b > most:
+            a = max(rate(*high), most)
+    return a, min(b, most)
+
 
-    Each step is one aggregate whose single row is the next model: the prior of
-    good, and for each rule how often it votes rightly and wrongly on either
-    class. Rates are smoothed by one vote in two; no rule counts as worse than chance.
+def maximise(patterns: list[tuple[tuple[int, ...], int]], names: list[str], iterations: int = ITERATIONS) -> tuple[dict, list[float]]:
+    """The model of greatest penalised likelihood found from START, and the likelihood after each step.
+
+    A rule has three outcomes: it votes bad, or else good, or else abstains. Both
+    steps are estimated for either class, with the only bounds that a bad document
+    is no less likely to be voted bad, and no more likely to be voted good when it
+    is not, and that of FALSE_ALARMS; half a document in one smooths. Each step raises the penalised
+    likelihood; they end when a document's share of it rises by less than 1e-10.
     """
-    model = {"prior": 0.8, "rules": dict.fromkeys(RULES, START)}
-    rate = lambda a, b: ((a or 0) + 0.5) / (b + 1)
+    model = {"prior": 0.8, "rules": dict.fromkeys(names, START)}
+    total, path = sum(n for _, n in patterns), []
+    if not total:
+        return model, path
     for _ in range(iterations):
-        e = votes.withColumn("g", F.col("n") * _posterior(model)).withColumn("b", F.col("n") - F.col("g"))
-        aggs = [F.sum(c).alias(c) for c in ("n", "g", "b")]
-        for r in RULES:
-            aggs += [F.sum(F.when(F.col(f"v_{r}") == v, F.col(c))).alias(f"{r}{v}{c}") for v in (-1, 1) for c in ("g", "b")]
-        x = e.agg(*aggs).first()
-        if not x["n"]:
-            return model
-        model = {
-            "prior": min(0.98, max(0.5, (x["g"] + 1) / (x["n"] + 2))),
-            "rules": {r: tuple(rate(x[f"{r}{v}{c}"], x[c]) for v in (-1, 1) for c in ("g", "b")) for r in RULES},
-        }
-    return model
+        tables = [({v: math.log(p) for v, p in ((-1, r[0]), (0, 1 - r[0] - r[2]), (1, r[2]))}, {v: math.log(p) for v, p in ((-1, r[1]), (0, 1 - r[1] - r[3]), (1, r[3]))}) for r in model["rules"].values()]
+        lg, lb = math.log(model["prior"]), math.log(1 - model["prior"])
+        seen = [{(v, c): 0.0 for v in (-1, 0, 1) for c in "gb"} for _ in names]
+        good = likelihood = 0.0
+        for votes, n in patterns:
+            g = lg + sum(t[0][v] for t, v in zip(tables, votes, strict=True))
+            b = lb + sum(t[1][v] for t, v in zip(tables, votes, strict=True))
+            top = max(g, b)
+            both = top + math.log(math.exp(g - top) + math.exp(b - top))
+            likelihood += n * both
+            share = n * math.exp(g - both)
+            good += share
+            for s, v in zip(seen, votes, strict=True):
+                s[v, "g"] += share
+                s[v, "b"] += n - share
+        # what the half documents add, so that the whole rises with every step
+        likelihood += math.log(model["prior"]) + math.log(1 - model["prior"])
+        for r in model["rules"].values():
+            for bad, up in ((r[0], r[2]), (r[1], r[3])):
+                likelihood += 0.5 * (math.log(bad) + math.log(1 - bad) + math.log(up / (1 - bad)) + math.log(1 - up / (1 - bad)))
+        path.append(likelihood)
+        if len(path) > 1 and path[-1] - path[-2] < 1e-10 * total:
+            break
+        rules = {}
+        for name, s in zip(names, seen, strict=True):
+            n = {c: sum(s[v, c] for v in (-1, 0, 1)) for c in "gb"}
+            bad_bad, bad_good = _ordered((s[-1, "b"], n["b"]), (s[-1, "g"], n["g"]), FALSE_ALARMS)
+            up_good, up_bad = _ordered((s[1, "g"], n["g"] - s[-1, "g"]), (s[1, "b"], n["b"] - s[-1, "b"]))
+            rules[name] = (bad_good, bad_bad, up_good * (1 - bad_good), up_bad * (1 - bad_bad))
+        model = {"prior": (good + 1) / (total + 2), "rules": rules}
+    return model, path
+
+
+def fit(votes: DataFrame, iterations: int = ITERATIONS) -> dict:
+    """The model of counted vote patterns (columns v_<rule>, n), of which there are 3 ** len(RULES) at most."""
+    names = list(RULES)
+    rows = votes.select(*[f"v_{r}" for r in names], "n").collect()
+    return maximise([(tuple(x[:-1]), x[-1]) for x in rows], names, iterations)[0]
 
 
 def quality_rules(docs: DataFrame, iterations: int = ITERATIONS, threshold: float = 0.5) -> DataFrame:
@@ -128,8 +179,7 @@ def quality_rules(docs: DataFrame, iterations: int = ITERATIONS, threshold: floa
     f = _features(docs)
     f = f.select("*", *[_vote(F.expr(b), F.expr(g)).alias(f"v_{r}") for r, (b, g) in RULES.items()])
     f = scratch.save(f, "features")
-    votes = scratch.save(f.groupBy(*[f"v_{r}" for r in RULES]).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "votes")
-    model = fit(votes, iterations)
+    model = fit(f.groupBy(*[f"v_{r}" for r in RULES]).agg(F.count(F.lit(1)).alias("n")), iterations)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return f.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
