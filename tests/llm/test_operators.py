@@ -291,6 +291,57 @@ def test_sparse_sites_shrink(spark):
     assert share[1]["kept"] and not share[0]["kept"]
 
 
+def strength_brute(groups):
+    """Pseudo-count by moments of groups (n, good, mean)."""
+    g = [x for x in groups if x[0] > 0]
+    spread = sum(n * (k / n - m) ** 2 for n, k, m in g)
+    chance, room = sum(m * (1 - m) for _, _, m in g), sum((n - 1) * m * (1 - m) for n, _, m in g)
+    if room <= 0:
+        return 10.0
+    rho = (spread - chance) / room
+    return min(1e4, max(1.0, 1 / rho - 1)) if rho > 0 else 1e4
+
+
+def test_site_quality_against_brute_force(spark):
+    """Shares and scores from the own evidence, each row left out of its site; null hosts, repeated rows and sites of one row among them."""
+    r = np.random.default_rng(12)
+    junk = lambda k: " ".join(f"$$$ ### {x}" for x in r.integers(0, 99, k))
+    rows, lab = [], []
+    for i in range(400):
+        bad = r.random() < (0.7 if i % 5 == 0 else 0.1)
+        host = None if i % 7 == 0 else f"h{i % 5}" if i < 380 else f"lone{i}"
+        rows.append((i, junk(30) if bad else prose(60, 5000 + i), host, None if i % 11 == 0 else f"p{i % 3}", 1.0, 2))
+        lab.append((i, int(not bad)))
+    rows += [rows[3], rows[3], (500, None, "h1", "p1", 1.0, 2), (501, " ", "new", "p", 1.0, 2), (None, prose(50, 1), "h2", "p0", 1.0, 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, host string, path string, own double, n int")
+    got = site_quality.site_quality(d, spark.createDataFrame(lab, "doc_id long, quality int")).toPandas()
+    assert len(got) == len(rows)
+    own = {None if pd.isna(a) else int(a): None if pd.isna(b) else b for a, b in zip(got.doc_id, got.own, strict=True)}
+    step = site_quality.STEP
+    bins = collections.Counter(math.floor(abs(own[x[0]]) / step + 0.5) * (1 if own[x[0]] > 0 else -1) for x in rows if own[x[0]] is not None)
+    p = 0.5
+    for _ in range(3000):
+        p = (sum(n / (1 + math.exp(-k * step) * (1 - p) / p) for k, n in bins.items()) + 0.5) / (sum(bins.values()) + 1)
+    good = {i: 0.0 if z is None else 1 / (1 + math.exp(-z) * (1 - p) / p) for i, z in own.items()}
+    one = {i: int(z is not None) for i, z in own.items()}
+    hosts, paths = collections.defaultdict(lambda: [0, 0.0]), collections.defaultdict(lambda: [0, 0.0])
+    for i, _, h, q, *_ in rows:
+        for s in (hosts[h], paths[h, q]):
+            s[0] += one[i]
+            s[1] += good[i]
+    kh = strength_brute([(n, g, p) for n, g in hosts.values()])
+    kp = strength_brute([(n, g, (hosts[h][1] + kh * p) / (hosts[h][0] + kh)) for (h, _), (n, g) in paths.items()])
+    by = {None if pd.isna(x.doc_id) else int(x.doc_id): x for x in got.itertuples()}
+    for i, _, h, q, *_ in rows:
+        hs = max(hosts[h][1] - good[i] + kh * p, 0) / (hosts[h][0] - one[i] + kh)
+        ps = max(paths[h, q][1] - good[i] + kp * hs, 0) / (paths[h, q][0] - one[i] + kp)
+        score = 1 / (1 + math.exp(-(own[i] or 0.0)) * (1 - ps) / ps)
+        assert (by[i].host_share, by[i].path_share, by[i].score) == pytest.approx((hs, ps, score), rel=1e-6, abs=1e-9), i
+        assert by[i].kept == (own[i] is not None and score >= 0.5)
+    held_out = [i for i, _ in lab if held(i, 5, 0)]
+    assert np.mean([by[i].kept == dict(lab)[i] for i in held_out]) > 0.95
+
+
 # Span dedup
 
 
