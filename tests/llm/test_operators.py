@@ -425,6 +425,30 @@ def test_span_dedup_with_lengthened_runs(docs):
     assert got[11]["n_removed"] == got[11]["n_sentences"]
 
 
+def test_short_copies_and_rows_without_id(spark, monkeypatch):
+    """Texts too short for a run, many rows without an id, one id with many texts, and passages in many places."""
+    monkeypatch.setattr(span_dedup, "LEAST_HOT", 5)
+    monkeypatch.setattr(span_dedup, "PARTS", 4)
+    r = np.random.default_rng(31)
+    body = [prose(60, 700 + k) for k in range(40)]
+    line = " ".join("".join(r.choice(list("klmnop"), 6)) for _ in range(30))
+    rows = [(k, "Yes, indeed.") for k in range(3)] + [(3, "yes,  INDEED. "), (4, "One."), (5, ""), (6, None)]
+    rows += [(None, f"{b} {k}") for k, b in enumerate(body)] + [(None, body[0] + " 0"), (10, body[1] + " 1")]
+    rows += [(11, f"{prose(20, 900 + k)}\n{line}\n{prose(20, 950 + k)}") for k in range(60)]
+    got = collections.defaultdict(list)
+    for x in span_dedup.dedup_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), lengthen=True, short=True).collect():
+        got[x["doc_id"]].append(x)
+    assert [got[k][0]["text"].strip() for k in (0, 1, 2, 3, 4, 5)] == ["Yes, indeed.", "", "", "", "One.", ""] and got[6][0]["text"] is None
+    assert got[10][0]["n_removed"] == 0
+    late = sorted((x["n_removed"] > 0 for x in got[None]))
+    assert len(got[None]) == 41 and late == [False] * 40 + [True]  # only the text that an id has too
+    # one id: the first place in order keeps the passage, all others lose it
+    whole = [x for x in got[11] if line in " ".join(x["text"].split())]
+    assert len(got[11]) == 60 and len(whole) == 1
+    words = set(line.split())
+    assert sorted(len(words & set(x["text"].split())) for x in got[11])[-2] <= 2 * (2 * span_dedup.LONGEST - 1)
+
+
 def test_runs_are_the_shortest_from_and_up_to_every_sentence():
     r = np.random.default_rng(22)
     for n in range(1, 40):

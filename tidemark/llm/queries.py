@@ -24,7 +24,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return span_dedup.dedup_spans(table(spark, sf_dir, "documents"), lengthen=True)
+    return span_dedup.dedup_spans(table(spark, sf_dir, "documents"), lengthen=True, short=True)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

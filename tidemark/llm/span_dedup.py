@@ -11,18 +11,20 @@ sentence, the shortest run of at least RUN consecutive sentences and WORDS
 words is hashed; runs are joined over the whole corpus by hash, and a sentence
 goes if any run that covers it is not the first of its kind (least doc_id, then
 place). A passage of RUN or more sentences and WORDS or more words is so covered
-entirely, however short its sentences are. dedup_spans alone leaves out the runs
-of more than RUN sentences unless it is asked for them by lengthen; the query and
-the pipeline ask.
+entirely, however short its sentences are. A text that has words but no such run
+is hashed whole, as one run. dedup_spans alone leaves out the runs of more than
+RUN sentences unless it is asked for them by lengthen, and whole short texts
+unless by short; the query and the pipeline ask for both.
 
 Sentences are compared by their words, with A-Z lower-cased; white space does
 not matter. What stays of a text stays as it was, byte for byte.
 
 Defined results: null text stays null and empty text empty, nothing removed;
-of exact copies with different ids all but the first lose every sentence in a
-run; rows that repeat both doc_id and text are one occurrence and are treated
-alike; a null doc_id comes after all others; an empty table gives an empty
-result; other columns are not looked at.
+of exact copies with different ids all but the first lose every sentence; rows
+that repeat both doc_id and text are one occurrence and are treated alike; rows
+without doc_id come after all others (ids are taken to be less than 2 ** 62),
+and those of one text are one occurrence; an empty table gives an empty result;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import PARTS, Scratch
 
 RUN = 3
 WORDS = 8
 CUT = 16
 LONGEST = 8
+WHOLE = -1  # stands for a whole text that has no run
+LEAST_HOT = 256  # a run in fewer places is never treated as a hot one
 MORE = max(WORDS - RUN, 0).bit_length()  # bits for a run's sentences beyond RUN: WORDS sentences hold WORDS words
 _B, _C = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so they have inverses modulo 2 ** 64
 
@@ -128,8 +132,8 @@ def sentences_of(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, first + RUN + (runs & ((1 << MORE) - 1))
 
 
-def _runs(docs: DataFrame, lengthen: bool) -> DataFrame:
-    """o, ti, h for every hashed run: document in order, text's tag and the run's sentences, hash of the words."""
+def _runs(docs: DataFrame, lengthen: bool, short: bool) -> DataFrame:
+    """o, tag, i, h for every hashed run: document in order, text's tag, the run's sentences, hash of the words."""
 
     def work(batches):
         cutter = Cutter()
@@ -139,41 +143,54 @@ def _runs(docs: DataFrame, lengthen: bool) -> DataFrame:
                 which, h, place = [], [], []
                 for r, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
                     _, bounds, run = cutter(t or b"")
-                    if len(runs := runs_of(bounds, lengthen)):
+                    runs = runs_of(bounds, lengthen)
+                    if short and not len(runs) and len(bounds) > 1:
+                        place.append(np.array([WHOLE]))
+                        h.append(run(bounds[:1], bounds[-1:]))
+                        which.append(np.array([r]))
+                    elif len(runs):
                         i, j = sentences_of(runs)
                         place.append(runs)
                         h.append(run(bounds[i], bounds[j]))
                         which.append(np.full(len(runs), r))
                 if which:
-                    rows = np.concatenate(which)
-                    ti = b.column("tag").to_numpy()[rows] + np.concatenate(place)
-                    yield pa.RecordBatch.from_arrays([b.column("o").take(pa.array(rows)), pa.array(ti), pa.array(np.concatenate(h).view(np.int64))], ["o", "ti", "h"])
+                    rows = pa.array(np.concatenate(which))
+                    yield pa.RecordBatch.from_arrays([b.column("o").take(rows), b.column("tag").take(rows), pa.array(np.concatenate(place), pa.int32()), pa.array(np.concatenate(h).view(np.int64))], ["o", "tag", "i", "h"])
 
-    return docs.select("o", "tag", "text").mapInArrow(work, "o long, ti long, h long")
+    return docs.select("o", "tag", "text").mapInArrow(work, "o long, tag long, i int, h long")
 
 
-def _with_spans(docs: DataFrame, carry: list[str], lengthen: bool = True) -> DataFrame:
-    """Each row of docs with its late runs, as runs_of gives them, under spans."""
+def _with_spans(docs: DataFrame, carry: list[str], lengthen: bool = True, short: bool = True) -> DataFrame:
+    """Each row of docs with its late runs, as runs_of gives them, under spans.
+
+    Runs that many places share are few: those of more than a PARTS-th of all
+    places are met by broadcast, so no task holds all places of one passage.
+    """
     scratch = Scratch(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
-    # order of documents, null last; a tag that keeps texts of one doc_id apart, above 32 bits for the run
-    tag = F.shiftleft(F.pmod(F.xxhash64("text"), F.lit((1 << 31) - 1)), 32)
-    d = d.withColumn("o", F.coalesce("doc_id", F.lit((1 << 63) - 1))).withColumn("tag", tag)
-    runs = scratch.save(_runs(d, lengthen), "runs")
-    again = runs.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    shared = scratch.save(runs.join(again, "h"), "shared")
-    scratch.drop(runs)
-    first = shared.groupBy("h").agg(F.min(F.struct("o", "ti")).alias("first"))
-    late = shared.join(first, "h").filter(F.struct("o", "ti") != F.col("first")).select("o", "ti").distinct()
-    tagged = F.shiftleft(F.shiftright("ti", 32), 32)
-    gone = late.select("o", tagged.alias("tag"), (F.col("ti") - tagged).cast("int").alias("i"))
-    gone = gone.groupBy("o", "tag").agg(F.collect_list("i").alias("spans"))  # no more than one text has sentences
+    # A row's key is its place in order and a tag of its text. Rows without an id come last, in an order of their texts.
+    last = F.lit(1 << 62) + F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 62))
+    d = d.withColumn("o", F.coalesce("doc_id", last)).withColumn("tag", F.xxhash64("text"))
+    runs = scratch.save(_runs(d, lengthen, short), "runs")
+    again = scratch.save(runs.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "again")
+    level = max((again.agg(F.sum("n")).first()[0] or 0) / PARTS, LEAST_HOT)
+    hot = F.broadcast(again.filter(F.col("n") > level).select("h"))  # fewer than PARTS
+    place = F.struct("o", "tag", "i")
+
+    def late(shared: DataFrame, few: bool) -> DataFrame:
+        first = shared.groupBy("h").agg(F.min(place).alias("first"))
+        return shared.join(F.broadcast(first) if few else first, "h").filter(place != F.col("first")).select("o", "tag", "i")
+
+    cold = scratch.save(runs.join(hot, "h", "left_anti").join(again.filter(F.col("n") <= level).select("h"), "h"), "shared")
+    gone = late(cold, False).unionByName(late(scratch.save(runs.join(hot, "h"), "hot"), True)).distinct()
+    gone = scratch.save(gone.groupBy("o", "tag").agg(F.collect_list("i").alias("spans")), "gone")  # no more than one text has runs
+    scratch.drop(runs, again, cold)
     return d.join(gone, ["o", "tag"], "left").select("doc_id", "text", *carry, "spans")
 
 
-def dedup_spans(docs: DataFrame, lengthen: bool = False) -> DataFrame:
+def dedup_spans(docs: DataFrame, lengthen: bool = False, short: bool = False) -> DataFrame:
     """doc_id, text (what is left), n_sentences, n_removed, removed_words for every row of docs (doc_id, text)."""
-    return _cut(_with_spans(docs, [], lengthen), [])
+    return _cut(_with_spans(docs, [], lengthen, short), [])
 
 
 def replace_texts(docs: DataFrame) -> DataFrame:
@@ -198,9 +215,12 @@ def _cut(x: DataFrame, carry: list[str]) -> DataFrame:
                     starts, bounds, _ = cutter(t or b"")
                     n = len(starts)
                     gone = np.zeros(n + 1, np.int64)
-                    i, j = sentences_of(np.array(spans or (), np.int64))
-                    np.add.at(gone, i, 1)
-                    np.add.at(gone, j, -1)
+                    if spans == [WHOLE]:
+                        gone[0] = 1
+                    elif spans:
+                        i, j = sentences_of(np.array(spans, np.int64))
+                        np.add.at(gone, i, 1)
+                        np.add.at(gone, j, -1)
                     gone = np.cumsum(gone)[:n] > 0
                     if gone.any():
                         ends = np.append(starts[1:], len(t))
