@@ -514,6 +514,18 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_equal_rows_are_packed_each(spark, monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(packing, "RANK", 7)
+    rows = [(None, "")] * 50 + [(1, "one and the same")] * 40 + [(2, prose(3000, 8))] * 3
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).toPandas()
+    assert len(got) == 90 + 3 * got[got.doc_id == 2].piece.nunique()
+    assert not got.duplicated(["sequence_id", "offset"]).any()
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == np.cumsum([0, *g["length"][:-1]]).tolist()
+        assert g["length"].sum() <= 2048
+
+
 def test_plan_is_tight_and_whole():
     r = np.random.default_rng(5)
     for counts in (collections.Counter(r.integers(1, 2049, 5000).tolist()), {2048: 7}, {700: 5}, {1365: 3, 683: 3}, {1: 5000}, {}, collections.Counter(r.integers(650, 1400, 999).tolist())):
@@ -721,19 +733,87 @@ def test_search(spark, monkeypatch):
 
 def test_mixing(spark, docs, empty):
     s = mixing.schedule(docs, repeat_limit=1.5).toPandas()
-    rows = docs.filter("doc_id is not null").toPandas()
-    assert set(s.doc_id) == set(rows.doc_id)  # none is lost
+    natural = mixing.schedule(docs).toPandas()
+    rows = docs.toPandas()
+    assert set(s.doc_id.dropna()) == set(rows.doc_id.dropna()) and s.doc_id.isna().any()  # none is lost
     tokens = rows.assign(n=[len(WORD.findall(t or "")) for t in rows.text]).groupby("source").n.sum()
     share = s.groupby("source").n_tokens.sum() / s.n_tokens.sum()
     reps = s.groupby("source").n_tokens.sum() / tokens
     assert reps.max() <= 1.75 and reps.min() >= 0.95
     assert share["hot"] <= tokens["hot"] / tokens.sum() + 1e-9
     assert sorted(s.groupby("block").place.apply(lambda p: sorted(p) == list(range(len(p))))) == [True] * s.block.nunique()
-    assert not s.duplicated(["doc_id", "copy"]).any()
+    assert not s.duplicated(["row", "copy"]).any()
     assert mixing.schedule(empty).count() == 0
     m = mixing.mix(docs)
-    assert m.columns == docs.columns and m.filter("doc_id is null").count() == 1
-    assert m.count() == len(mixing.schedule(docs).collect()) + 1
+    assert m.columns == docs.columns and m.filter("doc_id is null").count() == natural.doc_id.isna().sum() >= 1
+    assert m.count() == len(natural) >= len(rows)
+
+
+def test_budget_keeps_the_repeat_limit(spark):
+    """A budget far above the tokens there are, and one that binds: no row is repeated more often than the limit."""
+    r = np.random.default_rng(14)
+    rows = [(i, prose(int(r.integers(20, 60)), 300 + i), "big" if i % 8 else "small") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    total = sum(len(t.split()) for _, t, _ in rows)
+    for budget, limit in ((5 * total, 2.0), (1.5 * total, 2.0), (0.5 * total, 2.0), (1.2 * total, 3.0)):
+        s = mixing.schedule(d, budget=budget, repeat_limit=limit).toPandas()
+        assert s.groupby("row").copy.count().max() <= math.ceil(limit)
+        assert s.n_tokens.sum() == pytest.approx(min(budget, limit * total), rel=0.1)
+    share = lambda s: s[s.source == "small"].n_tokens.sum() / s.n_tokens.sum()
+    few, many = (mixing.schedule(d, budget=b * total).toPandas() for b in (0.5, 1.9))
+    assert share(few) > share(many)
+
+
+def test_mixing_equal_rows_null_ids_and_empty_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE_DOCS", 10)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 25)
+    monkeypatch.setattr(mixing, "PARTS", 8)
+    rows = [(None, "", "hot")] * 60 + [(1, "a b c", "x")] * 30 + [(1, "d e f g", "y"), (2, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    s = mixing.schedule(d).toPandas()
+    assert s.row.nunique() == len(rows) and s.block.nunique() > 2
+    m = mixing.mix(d.withColumn("copies", F.lit(5)).withColumn("_c0", F.lit("k")).withColumn("row", F.lit(0)))
+    assert m.columns == ["doc_id", "text", "source", "copies", "_c0", "row"]
+    assert m.filter("source = 'hot'").count() == 60 and m.filter("source is null").count() == 1
+    blank = spark.createDataFrame([(i, None, "s") for i in range(100)], "doc_id long, text string, source string")
+    s = mixing.schedule(blank).toPandas()
+    assert sorted(s.doc_id) == list(range(100)) and s.groupby("block").doc_id.count().max() <= 60
+
+
+def test_schedule_against_brute_force(spark):
+    """Weights, repetitions and every row's copies from the row order that the schedule states."""
+    r = np.random.default_rng(15)
+    rows = [(i, prose(int(r.integers(5, 90)), 600 + i), str(r.choice(["a", "b", "c"], p=[0.8, 0.15, 0.05]))) for i in range(300)]
+    s = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string"), repeat_limit=2.0).toPandas()
+    n = pd.Series({i: len(t.split()) for i, t, _ in rows})
+    src = pd.Series({i: x for i, _, x in rows})
+    p = n.groupby(src).sum() / n.sum()
+
+    def weights(a):
+        return p**a / (p**a).sum()
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        reps = weights(mid) / p
+        lo, hi = (lo, mid) if reps.max() <= 2.0 * reps.min() else (mid, hi)
+    w = weights(hi)
+    reps = (w / p) / (w / p).min()
+    assert s.groupby("source").weight.first().to_dict() == pytest.approx(w.to_dict(), rel=1e-6)
+    copies = s.groupby("doc_id").copy.count()
+    assert copies.index.size == 300 and copies.max() <= 2
+    for x in p.index:  # one slice for each source of fewer than SLICE_DOCS rows
+        extra = n[[i for i in copies.index if src[i] == x and copies[i] == 2]].sum()
+        assert abs(extra - (reps[x] - 1) * n[src == x].sum()) <= 90
+
+
+def test_target_entropy_below_the_natural_one(spark):
+    src = spark.createDataFrame([("a", 500, 1), ("b", 300, 1), ("c", 200, 1)], "source_key string, tokens long, n_docs long")
+    p = np.array([0.5, 0.3, 0.2])
+    w = p**3.7 / (p**3.7).sum()
+    assert mixing.bisect_exponent(src, 1000, -(w * np.log(w)).sum(), 0) == pytest.approx(3.7, abs=1e-5)
+    even = spark.createDataFrame([("a", 500, 1), ("b", 500, 1)], "source_key string, tokens long, n_docs long")
+    assert mixing.bisect_exponent(even, 1000, 0.1, 0) == mixing.MOST
 
 
 def test_exponent_meets_the_target(spark):

@@ -7,7 +7,9 @@ a sequence, each with the largest partner that still fits; smaller pieces, in
 falling order, go to the tightest gap that holds them, and open sequences only
 where no gap does. Equal sequences are planned as one pattern with a count.
 A piece finds its place from its rank among pieces of its length; ranks come
-from counts of (length, bucket), so no length is a hot key.
+from counts of (length, bucket), as many buckets of RANK pieces as a length
+needs, dealt by a number that each piece got when it was written, so neither a
+length nor equal rows are a hot key.
 
 Defined results: a null text is an empty one, whose tokens are the end token
 alone; repeated rows are packed each; a null doc_id is packed like others; an
@@ -28,6 +30,7 @@ from pyspark.sql.window import Window as W
 from .common import Scratch
 
 CAPACITY = 2048
+RANK = 4000
 END = 0
 
 
@@ -63,7 +66,7 @@ def public_encoder():
 
 
 def pieces(docs: DataFrame, make_encoder=public_encoder, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, bucket. Only documents over the capacity are cut; their first piece is the shorter one."""
+    """doc_id, piece, start, length, ids_crc32. Only documents over the capacity are cut; their first piece is the shorter one."""
 
     def work(batches):
         encode = make_encoder()
@@ -161,7 +164,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, li
 def pack(docs: DataFrame, make_encoder=public_encoder, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every row of docs."""
     scratch = Scratch(docs.sparkSession)
-    p = scratch.save(pieces(docs, make_encoder, capacity), "pieces")
+    p = scratch.save(pieces(docs, make_encoder, capacity).withColumn("serial", F.monotonically_increasing_id()), "pieces")
     n = p.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity rows
     counts = {r["length"]: r["n"] for r in n}
     # For each length: first rank, how many sequences, first sequence, offset, of each pattern that uses it.
@@ -176,11 +179,12 @@ def pack(docs: DataFrame, make_encoder=public_encoder, capacity: int = CAPACITY)
             offset += length * each
         sequence += many
     table = {k: np.array(v, np.int64).reshape(-1, 4) for k, v in runs.items()}
-    buckets = max(1, sum(counts.values()) // 4000)
-    b = p.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    buckets = docs.sparkSession.createDataFrame([(k, -(-n // RANK)) for k, n in counts.items()], "length long, buckets int")
+    b = p.join(F.broadcast(buckets), "length")  # at most capacity rows
+    b = b.withColumn("bucket", F.pmod(F.xxhash64("serial"), F.col("buckets")).cast("int")).drop("buckets")
     per = b.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("k"))
     before = per.select("length", "bucket", (F.sum("k").over(W.partitionBy("length").orderBy("bucket")) - F.col("k")).alias("before"))
-    inside = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
+    inside = F.row_number().over(W.partitionBy("length", "bucket").orderBy("serial")) - 1
     ranked = b.withColumn("inside", inside).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("inside"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
 
