@@ -692,9 +692,10 @@ def test_windows_cover_every_word():
 def search_brute(rows, modulus=100, k=10):
     ok = [(i, np.floor(1024 * np.array(e, float)).astype(np.int64)) for i, e in rows if i is not None and e and all(v is not None and math.isfinite(v) for v in e)]
     out = []
-    for q, x in {i: x for i, x in ok if i % modulus == 0}.items():
-        s = sorted(((-int(x @ c), i) for i, c in ok if i != q and len(c) == len(x)))[:k]
-        out += [(q, r + 1, i, -v) for r, (v, i) in enumerate(s)]
+    for a, (q, x) in enumerate(ok):
+        if q % modulus == 0:
+            s = sorted((-int(x @ c), i) for b, (i, c) in enumerate(ok) if a != b and len(c) == len(x))[:k]
+            out += [(q, r + 1, i, -v) for r, (v, i) in enumerate(s)]
     return sorted(out)
 
 
@@ -718,16 +719,42 @@ def test_search(spark, monkeypatch):
     rows += [(2000 + i, rows[5][1]) for i in range(30)]  # ties
     rows += [(5000, None), (5001, []), (5002, [1.0, None] + [0.0] * 6), (5003, [float("nan")] * 8), (5004, [float("inf")] * 8), (5100, [0.0] * 8), (5200, [1e9] * 8), (5300, [1.0, 2.0]), (None, [1.0] * 8)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows += [(100, rows[7][1]), (100, rows[100][1]), (200, [0.5] * 8), (7, rows[7][1])]  # rows of one id
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = search_brute(rows)
     got = lambda: sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in topk.top_k(d).collect())
     assert got() == want
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(topk, "VECTOR_BLOCK", 100)
+    monkeypatch.setattr(topk, "SLICE", 20)
+    assert got() == want
+    monkeypatch.setattr(topk, "CELLS", 40)
     assert got() == want
     assert topk.top_k(d.limit(0)).count() == 0
     assert len(topk.top_k(d.filter("vec_id < 6")).collect()) == 5
 
 
+def test_search_sends_queries_where_the_bound_allows(spark, monkeypatch):
+    """Clustered vectors: the result is exact though most slices are never asked."""
+    monkeypatch.setattr(topk, "SLICE", 50)
+    monkeypatch.setattr(topk, "PIVOTS", 8)
+    r = np.random.default_rng(16)
+    centres = r.normal(size=(12, 6)) * 20
+    rows = [(i, (centres[i % 12] + r.normal(size=6) * 0.2).tolist()) for i in range(2400)]
+    calls = []
+    save = topk.Scratch.save
+
+    def watch(self, df, tag):
+        out = save(self, df, tag)
+        if tag == "sent":
+            calls.append(out.count())
+        return out
+
+    monkeypatch.setattr(topk.Scratch, "save", watch)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in got) == search_brute(rows)
+    assert calls[0] < 24 * 2400 / 50 / 2
+
+
 # Mixing
 
 
