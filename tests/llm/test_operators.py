@@ -604,6 +604,35 @@ def test_forward_sums_all_segmentations():
     assert np.abs(langid.forward(words, p, table) - [[brute(w, 0), brute(w, 1)] for w in words]).max() < 1e-9
 
 
+def test_expected_counts_are_over_all_segmentations():
+    p = langid.Pieces(["▁", "a", "b", "ab", "▁a", "bab", "c"])
+    table = np.random.default_rng(3).random(8)
+
+    def cuts(s):
+        if not s:
+            yield []
+        for j in range(1, len(s) + 1):
+            if s[:j] in p.pieces or j == 1:
+                for rest in cuts(s[j:]):
+                    yield [p.pieces.index(s[:j]) if s[:j] in p.pieces else 7, *rest]
+
+    words, n, want = ["ab", "babab", "xa", "abcxbab", "ba"], np.array([1.0, 2.0, 5.0, 1.0, 3.0]), np.zeros(8)
+    for w, k in zip(words, n, strict=True):
+        ways = list(cuts("▁" + w))
+        weight = np.array([np.prod(table[x]) for x in ways])
+        for x, v in zip(ways, k * weight / weight.sum(), strict=True):
+            np.add.at(want, x, v)
+    assert langid.expected(words, n, p, np.log(table)) == pytest.approx(want, rel=1e-9)
+
+
+def test_marks_alone_are_no_letters(spark):
+    pytest.importorskip("public_tokenizers")
+    rows = [(i, "the house with green water " * 3, "en") for i in range(20)] + [(100, "\u0301\u0302 \u0301", "en"), (101, "\u0301\u0302 a\u0301", "en")] + [(3, "the house", "en")] * 2
+    got = [(x["doc_id"], x["lang_pred"], x["score"]) for x in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()]
+    assert (100, "und", 0.0) in got and [x[1] for x in got if x[0] == 101] == ["en"]
+    assert len([x for x in got if x[0] == 3]) == 3
+
+
 def test_language_id(spark, empty):
     pytest.importorskip("public_tokenizers")
     r = np.random.default_rng(8)
