@@ -677,10 +677,29 @@ def test_toxicity_held_out(spark, empty):
     right = [got[i]["predicted"] == y[i] for i in test]
     assert np.mean(right) > 0.9
     assert all(r["held_out"] == held(i, 5, 0) and r["predicted"] == (r["score"] >= 0.5) for i, r in got.items())
-    assert got[9000]["score"] == got[9001]["score"] == 0
+    learnt = [v for i, v in enumerate(y) if not held(i, 5, 0)]
+    assert got[9000]["score"] == got[9001]["score"] == pytest.approx(np.mean(learnt))  # no evidence: the share of label 1
     assert got[None]["score"] == pytest.approx(got[0]["score"], abs=1e-5)
     assert toxicity.toxicity(empty, lab).count() == 0
     assert {r["score"] for r in toxicity.toxicity(d, lab.filter("toxic = 0")).collect()} == {0.0}
+    assert {(r["score"], r["predicted"]) for r in toxicity.toxicity(d, lab.filter("toxic = 1")).collect()} == {(1.0, 1)}
+    assert {r["score"] for r in toxicity.toxicity(d, lab.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_rows_of_one_id_are_scored_and_dropped_by_themselves(spark):
+    t, y = toxic_texts()
+    rows = [*enumerate(t), (1, t[0]), (0, t[1]), (0, t[0]), (None, t[0]), (None, t[1])]
+    d = spark.createDataFrame([(i, x, k, 0.5) for k, (i, x) in enumerate(rows)], "doc_id long, text string, n int, score double")
+    lab = spark.createDataFrame([(i + 1000, v) for i, v in enumerate(y)] + [(5000, 1)], "doc_id long, toxic int")
+    lab = lab.withColumn("doc_id", F.col("doc_id") - 1000)
+    out = toxicity.clean(d, lab)
+    assert out.columns == d.columns
+    kept = {r["n"] for r in out.collect()}
+    n = len(t)
+    assert {n + 1, n + 4} <= kept and not {n, n + 2, n + 3} & kept
+    texts, labels_, share = toxicity.sample(d, lab, most=20, chars=3000)
+    assert len(texts) == len(labels_) and all(sum(len(x) for x, v in zip(texts, labels_, strict=True) if v == k) <= 3000 for k in (0, 1))
+    assert 0 < share < 0.5 and set(labels_) == {0.0, 1.0}
 
 
 def test_gradient_of_the_network():

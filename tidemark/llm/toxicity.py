@@ -14,13 +14,16 @@ therefore runs in rounds: at first every window has its text's label, later a
 toxic text's windows count only as far as the last round's network found them
 toxic, at least the highest one.
 
-fit() uses at most SAMPLE texts of each class, chosen by hash, and at most
-TEXT_WINDOWS windows of each, also chosen by hash; scoring reads whole texts.
-
-Defined results: null, empty and wordless text scores 0; repeated rows are
-scored each; a null doc_id is scored like others and counts as not held out; an
-empty table gives an empty result; with no labels of one class every score is 0;
-other columns are ignored.
+The network is fitted on all windows of whole sampled texts: at most SAMPLE texts
+of each class, chosen by hash, and no more of them, in the order of the hash,
+than CHARS characters of each class hold; scoring reads whole texts.
+
+Defined results: null, empty and wordless texts have no window and score the
+share of label 1 among the labels learnt from; so does every text where those
+labels are of one class only, and 0 is the share without labels; a labelled
+doc_id with several texts gives one of them to the fit; repeated rows are scored
+each; a null doc_id is scored like others and counts as not held out; an empty
+table gives an empty result; other columns are ignored, and kept by clean().
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import lang_split
 
 SAMPLE = 1500
-TEXT_WINDOWS = 24
+CHARS = 6_000_000
 WINDOW, STRIDE = 32, 16
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 14, 1 << 16
 DIM, HIDDEN, ATTEND = 16, 8, 8
@@ -216,8 +219,6 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: tuple[int, ...] = (2,
         if not w:
             continue
         starts = windows_of(len(w))
-        if len(starts) > TEXT_WINDOWS:
-            starts = starts[np.random.default_rng(k).permutation(len(starts))[:TEXT_WINDOWS]]
         a = np.array(w + [0] * max(0, WINDOW - len(w)))
         ids.append(a[starts[:, None] + np.arange(WINDOW)])
         owner += [k] * len(starts)
@@ -237,16 +238,9 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: tuple[int, ...] = (2,
     m = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items() if k not in ("word", "gram")}
     sq = {"word": np.full(WORD_BUCKETS, 1e-8, np.float32), "gram": np.full(GRAM_BUCKETS, 1e-8, np.float32)}
     step = 0
-    for turn, epochs in enumerate(rounds):
+    for epochs in rounds:
         for _ in range(epochs):
-            pos, neg = np.flatnonzero((y == 1) & (weight > 0)), np.flatnonzero(y == 0)
-            some = max(3 * len(pos), 2000)
-            if turn:  # half of them those that look most toxic
-                neg = neg[np.argsort(-z[neg], kind="stable")]
-                neg = np.concatenate((neg[: some // 2], r.permutation(neg[some // 2 :])[: some // 2]))
-            else:
-                neg = r.permutation(neg)[:some]
-            order = r.permutation(np.concatenate((pos, neg)))
+            order = r.permutation(np.flatnonzero(weight > 0))
             for part in np.array_split(order, max(1, len(order) // 384)):
                 step += 1
                 used, local = np.unique(ids[part], return_inverse=True)
@@ -350,41 +344,74 @@ class Scorer:
                 np.maximum.at(high, owner[i : i + 2048], logits(self.p, *self.gates, ids))
         return high
 
-    def __call__(self, texts: list[bytes | None]) -> list[float]:
+    def __call__(self, texts: list[bytes | None], empty: float) -> list[float]:
         high = self.highest(texts)
         z = np.clip(self.p["scale"] * high + self.p["shift"], -500, 500)
-        return np.where(np.isfinite(high), 1 / (1 + np.exp(-z)), 0.0).tolist()
+        return np.where(np.isfinite(high), 1 / (1 + np.exp(-z)), empty).tolist()
 
 
-def sample(docs: DataFrame, labels: DataFrame, modulus: int = 5, most: int = SAMPLE) -> tuple[list[bytes], np.ndarray]:
-    """Whole texts and labels of about most texts of each class that are not held out, chosen by hash."""
+def sample(docs: DataFrame, labels: DataFrame, modulus: int = 5, most: int = SAMPLE, chars: int = CHARS) -> tuple[list[bytes], np.ndarray, float]:
+    """Whole texts and labels of the sample, and the share of label 1 among all labels that are not held out."""
     lab = labels.filter("doc_id is not null and toxic is not null and toxic in (0, 1)").filter(~lang_split(F.col("doc_id"), modulus, 0))
     lab = lab.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     share = F.when(F.col("toxic") == 1, most / max(n.get(1, 0), 1)).otherwise(most / max(n.get(0, 0), 1))
     some = lab.filter(u < share).limit(3 * most)  # the limit cannot bind unless the hash fails; it bounds the broadcast
-    x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id")
-    rows = x.orderBy("doc_id").select("text", "toxic").collect()
-    return [(r["text"] or "").encode() for r in rows], np.array([r["toxic"] for r in rows], np.float32)
-
-
-def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tag = F.xxhash64("text").alias("tag")
+    found = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(tag, F.coalesce(F.length("text"), F.lit(0)).alias("n"))).alias("x"))
+    taken, room = [], {0: chars, 1: chars}
+    for r in found.select("doc_id", "toxic", "x.tag", "x.n", u.alias("u")).orderBy("u", "doc_id").collect():  # numbers, 3 * most rows
+        room[r["toxic"]] -= r["n"]
+        if room[r["toxic"]] >= 0:
+            taken.append((r["doc_id"], r["tag"], r["toxic"]))
+    total = sum(n.values())
+    base = n.get(1, 0) / total if total else 0.0
+    if not taken:
+        return [], np.empty(0, np.float32), base
+    keys = docs.sparkSession.createDataFrame(taken, "doc_id long, tag long, toxic int")
+    x = texts.withColumn("tag", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "tag"]).dropDuplicates(["doc_id"])
+    rows = x.orderBy("doc_id").select("text", "toxic").collect()  # 2 * chars characters
+    return [(r["text"] or "").encode() for r in rows], np.array([r["toxic"] for r in rows], np.float32), base
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    """"net" (weights, or None unless both labels occur) and "empty" (the score of a text without words)."""
+    texts, y, base = sample(docs, labels)
+    return {"net": train(texts, y), "empty": base}
+
+
+def _scored(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
+    """carry and score of every row of docs (text, carry)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        scorer = Scorer(held.value) if held.value else None
+        m = held.value
+        scorer = Scorer(m["net"]) if m["net"] else None
         for big in batches:
             for at in range(0, big.num_rows, 128):
                 b = big.slice(at, 128)
-                s = scorer(b.column("text").cast(pa.binary()).to_pylist()) if scorer else [0.0] * b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "score"])
+                s = scorer(b.column("text").cast(pa.binary()).to_pylist(), m["empty"]) if scorer else [m["empty"]] * b.num_rows
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(s, pa.float64())], [*carry, "score"])
+
+    d = docs.select("text", *carry)
+    return d.mapInArrow(work, ", ".join([*[f"{c} {t}" for c, t in d.dtypes if c in carry], "score double"]))
 
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    s = d.mapInArrow(work, "doc_id long, score double")
+    s = _scored(d, model, ["doc_id"])
     return s.select("doc_id", lang_split(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, train(*sample(docs, labels)))
+    return score(docs, fit(docs, labels))
+
+
+def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, each by itself, whose score is less than a half; the same columns."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    d = docs.select(F.col("text").cast("string").alias("text"), *[docs[c].alias(n) for c, n in names.items()])
+    return _scored(d, fit(docs, labels), list(names.values())).filter("score < 0.5").select(*[F.col(n).alias(c) for c, n in names.items()])
