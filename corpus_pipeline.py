@@ -1,4 +1,9 @@
-"""The training-data pipeline: five stages over documents, each reading what the one before kept."""
+"""The training-data pipeline: five stages over documents, each reading what the one before kept.
+
+Columns of documents other than the five known ones are dropped by the first
+stage. Rows are taken one by one: a null in any column, a repeated row and a row
+without doc_id are treated as each stage says; empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +17,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network rejects go; a document without an id stays."""
-    bad = toxicity.toxicity(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(bad, docs["doc_id"] == F.col("_id"), "left_anti")
+    """Rows that the toxicity network rejects go, each by itself, with an id or without."""
+    return toxicity.clean(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates by five-word shingles at a similarity of 0.8: the least doc_id of each component stays."""
+    """Near duplicates by five-word shingles at a similarity of 0.8: one row of each component stays, that of the least doc_id; wordless rows stay."""
     return jaccard_join.keep_first(docs.select(*COLUMNS), size=5, percent=80)
 
 
@@ -33,6 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row in pieces of at most 2048 tokens, dealt to sequences; a null text is an empty one."""
     return packing.pack(docs)
 
 
