@@ -564,6 +564,52 @@ def test_language_model(docs, empty, monkeypatch):
     assert lm.score(empty).count() == 0
 
 
+def test_language_model_score_against_brute_force(spark, docs, monkeypatch):
+    """Every text's score from the two tables of the networks and plain counts; repeated rows count and score each."""
+    for k, v in (("FREQUENT", 200), ("WORDS", 60), ("OWN", 12), ("SUFFIXES", 8), ("STEPS", 50)):
+        monkeypatch.setattr(lm, k, v)
+    made = {}
+    for name in ("train", "train_outputs"):
+        monkeypatch.setattr(lm, name, lambda *a, name=name, f=getattr(lm, name): made.setdefault(name, f(*a)))
+    d = docs.select("doc_id", "text").unionByName(docs.filter("doc_id in (10, 30)").select("doc_id", "text"))
+    got = [(r["doc_id"], r["score"], r["n_tokens"]) for r in lm.score(d).collect()]
+    rows = [*all_rows(), (10, TEXTS[10]), (30, TEXTS[30])]
+    words = [("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")).encode().split() for _, t in rows]
+    count = collections.Counter(w for (i, _), ws in zip(rows, words, strict=True) if not held(i, 7, 2) for w in ws)
+    order = sorted(count, key=lambda w: (-count[w], w))
+    own = order[:12]
+    ends = collections.Counter()
+    for w in order[12:]:
+        ends[w[-2:]] += count[w]
+    endings = sorted(ends, key=lambda e: (-ends[e], e))[:8]
+    kind = lambda w: own.index(w) + 1 if w in own else 13 + endings.index(w[-2:]) if w[-2:] in endings else 21
+    outputs = order[:60]
+    room = collections.Counter()
+    for w in order[60:]:
+        room[kind(w)] += count[w] + 1
+    table, inner = made["train"], made["train_outputs"]
+    kinds = np.array([kind(w) for w in outputs] + list(range(22)))
+    for k in range(22):
+        if not 1 <= k <= 12:
+            assert np.abs(np.exp(inner[:, kinds == k].astype(float)).sum(1) - 1).max() < 1e-4
+    want = []
+    for (i, _), ws in zip(rows, words, strict=True):
+        a = b = 0
+        s = 0.0
+        for w in [*ws, None]:
+            k = kind(w) if w is not None else 0
+            s += float(table[a * 22 + b, k]) / math.log(10)
+            if w in outputs:
+                s += float(inner[b, outputs.index(w)]) / math.log(10)
+            elif w is not None:
+                s += float(inner[b, 60 + k]) / math.log(10) + math.log10((count[w] + 1) / (room[k] + 1))
+            a, b = b, k
+        want.append((i, s, len(ws) + 1))
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    for x, y in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert x[0] == y[0] and x[2] == y[2] and x[1] == pytest.approx(y[1], rel=1e-5, abs=1e-4)
+
+
 def test_class_model_is_normalised_and_learns():
     r = np.random.default_rng(2)
     size = 12
