@@ -19,7 +19,7 @@ def test_prepare_is_immutable(spark, tmp_path):
     y.limit(5).coalesce(1).write.mode("append").parquet(paths[1])
     with pytest.raises(ValueError, match="changed"):
         artifacts.prepare(spark, *paths, str(tmp_path / "cache"))
-    with pytest.raises(ValueError, match="duplicate y"):
+    with pytest.raises(ValueError, match="twice_y"):
         artifacts.prepare(spark, *paths, str(tmp_path / "other"))
 
 

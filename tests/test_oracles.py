@@ -6,6 +6,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
+import tidemark.plans.audits  # noqa: E402, F401
 from tidemark.plans.queries import ORACLE_SQL, QUERIES  # noqa: E402
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

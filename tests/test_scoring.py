@@ -110,10 +110,11 @@ def test_bootstrap_equals_physical_copies(spark):
     df = spark.createDataFrame(f)
     m = spark.createDataFrame(pd.DataFrame({"id": range(40), "stratum": [decisions.STRATA[i % 2] for i in range(40)]}))
     got = decisions.paired_bootstrap(df, m, "prediction", "reference", replicates=3, seed=5).toPandas().set_index("replicate")["delta"]
-    order = m.orderBy(F.col("id").cast("string")).toPandas()
-    draws = decisions.multiplicities(order, 3, 5)
+    draws = {r["id"]: r["w"] for r in decisions.multiplicities(m, 3, 5).collect()}
     for b in range(3):
-        rows = pd.concat([f[f.id == i] for i, k in zip(order.id, draws[:, b], strict=True) for _ in range(k)])
+        for parity in (0, 1):  # a stratum's series are drawn as often as it has some
+            assert sum(w[b] for i, w in draws.items() if i % 2 == parity) == 20
+        rows = pd.concat([f[f.id == i] for i, w in draws.items() for _ in range(w[b])])
         want = brute(rows) - brute(rows.assign(prediction=rows.reference))
         assert got[b] == pytest.approx(want, abs=1e-12)
 
@@ -134,7 +135,7 @@ def test_gates():
 def test_synthetic_tables_are_sound_and_faults_are_found(spark):
     x, y, i = source.synthetic(spark)
     integrity.require_sound(x, y, i)
-    with pytest.raises(ValueError, match="duplicate y"):
+    with pytest.raises(ValueError, match="twice_y"):
         integrity.require_sound(x, y.union(y.limit(1)), i)
     s = source.from_long(x, y, i)
     a = integrity.label_alignment(s).toPandas()
@@ -168,3 +169,43 @@ def test_boosted_query_fits_as_long_as_the_operator(monkeypatch):
     monkeypatch.setattr(queries.scoring, "pooled_and_folds", lambda df: df)
     queries.QUERIES["model_E13_boosted"](None, "")
     assert asked == [("base", {})]
+
+
+def test_near_candidates_lose_no_near_pair(spark):
+    """All pairs within the limit, by brute force, are among the candidates; lists longer than any fixed number of neighbours too."""
+    r = np.random.default_rng(3)
+    base = [r.normal(size=203) for _ in range(4)]
+    x = {i: base[i % 4] + r.normal(size=203) * r.choice([1e-3, 5e-3, 9e-3, 0.02]) for i in range(36)}
+    rows = [(i, k, float(v), 203, 203, 1) for i, s in x.items() for k, v in enumerate(s)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "k", "value", "n", "H", "period"]))
+    z = {i: (s - s.mean()) / s.std() for i, s in x.items()}
+    want = {(a, b) for a in x for b in x if a < b and np.sqrt(((z[a] - z[b]) ** 2).mean()) <= profile.NEAR_RMS}
+    assert len(want) > 40
+    candidates = profile.near_candidates(df)
+    assert want <= {(p["a"], p["b"]) for p in candidates.collect()}
+    assert {(p["a"], p["b"]) for p in profile.verify_near(df, candidates).collect()} == want
+
+
+def test_joins_and_frames_that_are_not_whole_fail(spark):
+    from tidemark.operators import audits
+
+    a = spark.createDataFrame([(1, 0, 1, 0.5), (1, 1, 0, 0.25)], "id int, t int, target int, prediction double")
+    assert audits.one_to_one(a, a.select("id", "t", F.lit(1).alias("n")), ["id", "t"]).count() == 2
+    for other in (a.limit(1), a.union(a.limit(1))):
+        with pytest.raises(ValueError, match="keys"):
+            audits.one_to_one(a, other.select("id", "t", F.lit(1).alias("n")), ["id", "t"])
+    assert scoring.expected(a, a.select("id", "t")).count() == 2
+    with pytest.raises(ValueError, match="missing"):
+        scoring.expected(a.limit(1), a.select("id", "t"))
+    with pytest.raises(Exception, match="no partition"):
+        decisions.in_partition(a, spark.createDataFrame([(2, "A")], "id int, partition string")).collect()
+
+
+def test_ranges_of_scores_give_the_same_terms(spark, monkeypatch):
+    f = random_frame(11)
+    f["prediction"] = f["prediction"] * 4 - 1.5  # scores outside the unit interval too
+    df = spark.createDataFrame(f)
+    one = lambda: sorted(tuple(r) for r in scoring.pair_terms(df).collect())
+    many = one()
+    monkeypatch.setattr(scoring, "RANGES", 1)
+    assert one() == many

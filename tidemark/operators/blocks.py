@@ -241,13 +241,16 @@ def features(df: DataFrame, through: str = "normal", only: tuple[str, ...] | Non
     running sums and one of their lags, which give all rolling means at once.
     """
     want = set(only or FAMILIES[through])
-    keep = [c for c in df.columns if c not in ("cut", "period", "H", "n")]
+    ready = "nz" in df.columns  # normal scores are there already: only m and l may be wanted
+    if ready and want - {"m", "l"}:
+        raise ValueError("a frame with normal scores gives the blocks m and l alone")
+    keep = [c for c in df.columns if c not in ("cut", "period", "H", "n", "nz", "nz_mu", "nz_v0")]
     values: dict[str, str] = {}
     extra: list[str] = []
     if "r" in want or "rh" in want:
         df = raw_energy(df, "_raw2", "rh" in want)
         values["blk_r"] = "_raw2"
-    if want - {"r", "rh"}:
+    if want - {"r", "rh"} and not ready:
         df = autoregression(df).drop("ar_mu", "ar_sd", *[f"beta{i}" for i in range(ORDER + 1)])
         df = innovation(df).drop("az")
         extra += ["e", "r", "mse_ratio"]
@@ -260,7 +263,7 @@ def features(df: DataFrame, through: str = "normal", only: tuple[str, ...] | Non
     if "d" in want:
         df = sign_pairs(df)
     kinds = [k for k in SCALES if f"j{k}" in want or (k == "s" and want & {"ps", "m", "l"})]
-    if kinds:
+    if kinds and not ready:
         df = scales(df, kinds)
         extra += [f"{c}_{k}" for k in kinds for c in "vua"]
         for k in kinds:
@@ -271,7 +274,7 @@ def features(df: DataFrame, through: str = "normal", only: tuple[str, ...] | Non
         df = centred_ranks(df, "a_s", "_ps")
         values |= {"blk_ps_location": "_ps_v", "blk_ps_energy": "_ps_w"}
     if want & {"m", "l"}:
-        df = normal_scores(df)
+        df = df if ready else normal_scores(df)
         extra.append("nz")
     if "m" in want:
         df = hermite_channels(df)
@@ -340,6 +343,13 @@ def features(df: DataFrame, through: str = "normal", only: tuple[str, ...] | Non
     return df
 
 
+def historical_null(df: DataFrame) -> DataFrame:
+    """The blocks m and l of C itself, from the start: C's normal scores as if they were the stream, against references from the same C."""
+    d = normal_scores(scales(innovation(autoregression(df)), ["s"])).select("id", "k", "H", "cut", "period", "t", "nz", "nz_mu", "nz_v0")
+    c = d.filter(ref_rows()).withColumns({"t": F.col("k") - F.col("cut"), "period": F.lit(2)}).withColumn("k", F.col("H") + F.col("t"))
+    return features(d.filter(past()).unionByName(c), only=("m", "l"))
+
+
 #: Blocks whose mean is an experiment's score.
 EXPERIMENTS = {
     "E02": ("rh",), "E03": ("r",), "E04": ("i",), "E05": ("r", "i"), "E06": ("r", "i", "p"), "E07": ("r", "i", "p", "d"),

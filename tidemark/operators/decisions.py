@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.artifacts import shared_dir
+from .scoring import RANGES, score_range
+
 FOLDS = 5
+RANGE_SERIES = 4096
 STRATA = ("no_break", "break_1_64", "break_65_128", "break_129_256", "break_257_512", "break_513_plus")
 #: Fixed value: what precedes an id in the digest that orders a partition's cells.
 PARTITION_SALT = "stage5_v1|20260924|"
@@ -23,8 +29,19 @@ def manifest(df: DataFrame) -> DataFrame:
     """One row a series: id, tau_index, lengths, has_break, stratum, and fold, balanced within each stratum by digest order."""
     m = df.groupBy("id").agg(F.max("tau_index").alias("tau_index"), F.count(F.when(F.col("period") == 1, 1)).alias("history_length"), F.count(F.when(F.col("period") == 2, 1)).alias("online_length"))
     m = m.withColumn("has_break", (F.col("tau_index") >= 0).cast("int")).withColumn("stratum", stratum())
-    digest = F.sha2(F.col("id").cast("string"), 256)
-    return m.withColumn("fold", (F.row_number().over(W.partitionBy("stratum").orderBy(digest, "id")) - 1) % FOLDS)
+    return manifest_folds(m, F.col("id").cast("string"))
+
+
+def manifest_folds(m: DataFrame, name: Column) -> DataFrame:
+    """m with folds, dealt within each stratum in the order of the names' digests."""
+    return m.withColumn("fold", (F.row_number().over(W.partitionBy("stratum").orderBy(F.sha2(name, 256), "id")) - 1) % FOLDS)
+
+
+def in_partition(df: DataFrame, halves: DataFrame) -> DataFrame:
+    """df with each series' half; a series without one fails the query."""
+    x = df.join(halves.select("id", "partition"), "id", "left")
+    missing = F.raise_error(F.concat(F.lit("no partition for series "), F.col("id").cast("string"))).cast("string")
+    return x.withColumn("partition", F.coalesce("partition", missing))
 
 
 def fold_balance(m: DataFrame) -> DataFrame:
@@ -52,49 +69,6 @@ def partition(m: DataFrame) -> DataFrame:
     return x.withColumn("partition", F.when((F.col("before") + F.col("inside")) % 2 == 0, "A").otherwise("B")).drop("inside", "before")
 
 
-def multiplicities(m: pd.DataFrame, replicates: int, seed: int) -> np.ndarray:
-    """How often each series (row of m, ordered) is drawn in each replicate, whole series within their stratum."""
-    r = np.random.default_rng(seed)
-    out = np.zeros((len(m), replicates), np.int32)
-    rows = [np.flatnonzero((m["stratum"] == s).to_numpy()) for s in STRATA]
-    for b in range(replicates):
-        for i in rows:
-            out[:, b] += np.bincount(r.choice(i, len(i), replace=True), minlength=len(m)).astype(np.int32)
-    return out
-
-
-def paired_bootstrap(df: DataFrame, m: DataFrame, candidate: str, reference: str, replicates: int = 999, seed: int = 20260922, block: int = 64) -> DataFrame:
-    """replicate, delta: difference of the two columns' scores when series are drawn anew.
-
-    The multiplicities (series times replicates, 4 bytes each) go out in blocks of
-    replicates; the products by age run where the age's rows are.
-    """
-    spark = df.sparkSession
-    order = m.select("id", "stratum").orderBy(F.col("id").cast("string")).toPandas()
-    draws = multiplicities(order, replicates, seed)
-    number = spark.createDataFrame(pd.DataFrame({"id": order["id"], "series": np.arange(len(order), dtype=np.int64)}))
-    x = df.select("id", "t", "target", F.col(candidate).alias("a"), F.col(reference).alias("b")).join(number, "id")
-    held = spark.sparkContext.broadcast(draws)
-
-    def terms(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        o = np.argsort(score, kind="stable")
-        first = np.flatnonzero(np.diff(score[o], prepend=np.nan) != 0)
-        pos = np.add.reduceat(w[o] * y[o, None], first, axis=0)
-        neg = np.add.reduceat(w[o] * (1 - y[o, None]), first, axis=0)
-        return (pos * (np.cumsum(neg, 0) - neg / 2)).sum(0), pos.sum(0) * neg.sum(0)
-
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        y, parts = pdf["target"].to_numpy(float), []
-        for at in range(0, held.value.shape[1], block):
-            w = held.value[pdf["series"].to_numpy(), at : at + block].astype(float)
-            (ua, z), (ub, _) = terms(pdf["a"].to_numpy(), y, w), terms(pdf["b"].to_numpy(), y, w)
-            parts.append(pd.DataFrame({"replicate": np.arange(at, at + len(z)), "u": ua - ub, "z": z}))
-        return pd.concat(parts)
-
-    g = x.groupBy("t").applyInPandas(work, "replicate long, u double, z double")
-    return g.groupBy("replicate").agg(F.coalesce(F.try_divide(F.sum("u"), F.sum("z")), F.lit(0.0)).alias("delta"))
-
-
 def gate(pooled: float, folds: list[float], late: float | None, early: float | None, least: float = 0.002, positive: int = 4, early_floor: float = -0.005) -> dict[str, bool]:
     """Conditions of an advance: pooled gain, folds that gain, no late loss, a bounded early loss."""
     return {"pooled": pooled >= least, "folds": sum(d > 0 for d in folds) >= positive, "late": late is not None and late >= 0, "early": early is not None and early >= early_floor}
@@ -145,18 +119,84 @@ def expand(wanted: list[str], needs: dict[str, list[str]]) -> list[str]:
     return out
 
 
-def groups(nodes: DataFrame, pairs: DataFrame, most: int = 40) -> DataFrame:
-    """id, group (least id linked to it): alternating grouped minima, for pairs (a, b) of related series."""
-    e = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    label = nodes.select("id", F.col("id").alias("group"))
-    for _ in range(most):
+def groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, group (least id linked to it): alternating grouped minima, for pairs (a, b) of related series, until nothing changes."""
+    root = f"{shared_dir(nodes.sparkSession)}/groups-{uuid.uuid4().hex}"
+
+    def saved(df: DataFrame, turn: int) -> DataFrame:
+        """df written and read back: plans do not grow, and lost executors lose nothing."""
+        df.write.parquet(f"{root}/{turn}")
+        return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{turn}")
+
+    e = saved(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), 0)
+    label = saved(nodes.select("id", F.col("id").alias("group")), 1)
+    turn = 1
+    while True:
+        turn += 1
         near = e.join(label, e["b"] == label["id"]).groupBy("a").agg(F.min("group").alias("g"))
         new = label.join(near, label["id"] == near["a"], "left").select("id", F.least("group", "g").alias("group"))
         # a label's own label: paths halve
         own = new.select(F.col("id").alias("i"), F.col("group").alias("gg"))
-        new = new.join(own, new["group"] == own["i"]).select("id", F.least("group", "gg").alias("group"))
-        changed = new.join(label.withColumnRenamed("group", "old"), "id").filter("`group` <> old").limit(1).count()
-        label = new if not changed else new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new
-        if not changed:
-            break
-    return label
+        new = saved(new.join(own, new["group"] == own["i"]).select("id", F.least("group", "gg").alias("group")), turn)
+        if new.join(label.withColumnRenamed("group", "old"), "id").filter("`group` <> old").isEmpty():
+            return new
+        label = new
+
+
+def bootstrap_terms(df: DataFrame, weights: DataFrame, replicates: int, columns: tuple[str, ...]) -> DataFrame:
+    """replicate, u_<column>, z: Mann-Whitney sums and pairs over all ages, each row counting weights' times for its series.
+
+    df has id, t, target and the columns; weights has id and w, a byte for each
+    replicate. Nothing is collected or broadcast: rows carry their bytes to (age,
+    column, range of scores), ranges give sums for every replicate, and the ranges of
+    an age, one for RANGE_SERIES series and RANGES at most, are put together in order.
+    """
+    ranges = max(1, min(RANGES, -(-weights.count() // RANGE_SERIES)))
+    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("p")) for i, c in enumerate(columns)])).alias("x")
+    x = df.select("id", "t", "target", parts).select("id", "t", "target", "x.c", "x.p").join(weights, "id").withColumn("r", F.floor(score_range(F.col("p")) * ranges / RANGES).cast("int"))
+
+    def inside(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        w = np.frombuffer(b"".join(pdf["w"]), np.uint8).reshape(len(pdf), -1)[:, :replicates]
+        score, y = pdf["p"].to_numpy(), pdf["target"].to_numpy(float)
+        o = np.argsort(score, kind="stable")
+        first = np.flatnonzero(np.diff(score[o], prepend=np.nan) != 0)
+        u, pos, neg = [], [], []
+        for at in range(0, replicates, 64):
+            k = w[o, at : at + 64].astype(float)
+            a, b = np.add.reduceat(k * y[o, None], first, axis=0), np.add.reduceat(k * (1 - y[o, None]), first, axis=0)
+            u.append((a * (np.cumsum(b, 0) - b / 2)).sum(0))
+            pos.append(a.sum(0))
+            neg.append(b.sum(0))
+        t, c, r = key
+        return pd.DataFrame({"t": [t], "c": [c], "r": [r], "u": [np.concatenate(u)], "pos": [np.concatenate(pos)], "neg": [np.concatenate(neg)]})
+
+    def ages(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("r")
+        u, pos, neg = (np.stack(pdf[c]) for c in ("u", "pos", "neg"))
+        below = np.cumsum(neg, 0) - neg
+        return pd.DataFrame({"c": key[1], "replicate": np.arange(replicates), "u": (u + pos * below).sum(0), "z": pos.sum(0) * neg.sum(0)})
+
+    summed = x.groupBy("t", "c", "r").applyInPandas(inside, "t int, c int, r int, u array<double>, pos array<double>, neg array<double>")
+    each = summed.groupBy("t", "c").applyInPandas(ages, "c int, replicate long, u double, z double")
+    own = [F.sum(F.when(F.col("c") == i, F.col("u"))).alias(f"u_{c}") for i, c in enumerate(columns)]
+    return each.groupBy("replicate").agg(*own, F.sum(F.when(F.col("c") == 0, F.col("z"))).alias("z"))
+
+
+def multiplicities(m: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """id, w: how often each series is drawn in each replicate (a byte each, from 0), as many draws as its stratum has series, from that stratum.
+
+    Draw j of a stratum's replicate is a hash, so the draws are the same wherever they are made.
+    """
+    ranked = m.select("id", "stratum", (F.row_number().over(W.partitionBy("stratum").orderBy(F.col("id").cast("string"), "id")) - 1).alias("j"), F.count(F.lit(1)).over(W.partitionBy("stratum")).alias("n"))
+    drawn = ranked.select("stratum", "j", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
+    drawn = drawn.select("stratum", "b", F.pmod(F.xxhash64("stratum", "j", "b", F.lit(seed)), F.col("n")).alias("j"))
+    times = drawn.groupBy("stratum", "j", "b").agg(F.count(F.lit(1)).alias("k")).groupBy("stratum", "j").agg(F.map_from_entries(F.collect_list(F.struct("b", "k"))).alias("k"))  # replicates entries at most
+    hexes = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda b: F.lpad(F.hex(F.least(F.coalesce(F.col("k")[b], F.lit(0)), F.lit(255))), 2, "0"))
+    return ranked.join(times, ["stratum", "j"], "left").select("id", F.unhex(F.array_join(hexes, "")).alias("w"))
+
+
+def paired_bootstrap(df: DataFrame, m: DataFrame, candidate: str, reference: str, replicates: int = 999, seed: int = 20260922) -> DataFrame:
+    """replicate, delta: difference of the two columns' scores when series are drawn anew, whole and within their strata."""
+    both = df.select("id", "t", "target", F.col(candidate).alias("a"), F.col(reference).alias("b"))
+    g = bootstrap_terms(both, multiplicities(m, replicates, seed), replicates, ("a", "b"))
+    return g.select("replicate", F.coalesce(F.try_divide(F.col("u_a") - F.col("u_b"), "z"), F.lit(0.0)).alias("delta"))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .scoring import training_weights, weighted_moments
 
 PENALTY = 0.01
+GRADIENT = 1e-6  # no entry of the loss's gradient may be larger after a fit
+LEAST_LEAF = 10_000  # rows in a leaf of a boosted tree
 BASE = ("blk_r", "blk_i", "blk_p", "blk_d")
 _R2, _R6, _R12 = 2**0.5, 6**0.5, 12**0.5
 
@@ -78,9 +80,17 @@ def fit(df: DataFrame, experiment: str) -> dict:
             pre["extra"] = {r["column"][3:]: (r["mean"], r["std"]) for r in e.collect()}
         ready = VectorAssembler(inputCols=inputs(experiment), outputCol="features").transform(prepare(x, pre)).select("features", F.col("target").cast("double").alias("label"), "omega")
         lr = LogisticRegression(regParam=PENALTY, elasticNetParam=0.0, standardization=False, weightCol="omega", maxIter=1000, tol=1e-12).fit(ready)
+        # the penalised loss must be flat where the fit stopped
+        slopes = [float(v) for v in lr.coefficients]
+        f = vector_to_array("features")
+        p = 1 / (1 + F.exp(-sum((f[i] * v for i, v in enumerate(slopes)), F.lit(float(lr.intercept)))))
+        err = F.col("omega") * (p - F.col("label"))
+        flat = ready.agg(F.sum(err), *[F.sum(err * f[i]) + PENALTY * v for i, v in enumerate(slopes)]).first()
+        if max(abs(v) for v in flat) > GRADIENT:
+            raise RuntimeError(f"the fit of {experiment} did not converge: gradient {max(abs(v) for v in flat):.2e}")
     finally:
         x.unpersist()
-    return pre | {"intercept": float(lr.intercept), "slopes": dict(zip(inputs(experiment), map(float, lr.coefficients), strict=True))}
+    return pre | {"intercept": float(lr.intercept), "slopes": dict(zip(inputs(experiment), slopes, strict=True))}
 
 
 def predict(df: DataFrame, model: dict, name: str = "prediction") -> DataFrame:
@@ -101,8 +111,8 @@ def out_of_fold(df: DataFrame, experiment: str, folds: int = 5) -> DataFrame:
 
 
 def boosted(df: DataFrame, folds: int = 5, **settings) -> DataFrame:
-    """Out-of-fold boosted trees on the base four: shallow, slow, many bins. Not the numbers of another library's trees."""
-    params = {"maxDepth": 2, "maxIter": 100, "stepSize": 0.05, "maxBins": 64, "seed": 20260923} | settings
+    """Out-of-fold boosted trees on the base four: shallow, slow, many bins, no small leaves. Not the numbers of another library's trees."""
+    params = {"maxDepth": 2, "maxIter": 100, "stepSize": 0.05, "maxBins": 64, "minInstancesPerNode": LEAST_LEAF, "seed": 20260923} | settings
     out = []
     make = VectorAssembler(inputCols=list(BASE), outputCol="features")
     for k in range(folds):

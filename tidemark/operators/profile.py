@@ -15,7 +15,7 @@ QUANTILES = {"q01": 0.01, "q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q9
 TABLE = {"min": 0.0, "p1": 0.01, "p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "max": 1.0}
 NEAR_RMS = 0.01
 BINS = 16
-BLOCK, MOST_BLOCKS = 128, 16
+BLOCK = 128
 
 
 def _finite(x: Column) -> Column:
@@ -161,26 +161,45 @@ def break_ages(manifest: DataFrame) -> DataFrame:
     return manifest.filter("tau_index >= 0").groupBy(case.alias("age_range")).agg(F.count(F.lit(1)).alias("breaks"))
 
 
-def _digest(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """keys and a digest of the ordered values; negative zero counts as zero. The array lives only inside its group."""
-    v = F.when(F.col(value) == 0, 0.0).otherwise(F.col(value).cast("double"))
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), v.alias("v")))).alias("a"), F.countDistinct(value).alias("kinds"), F.count(F.lit(1)).alias("size"))
-    return g.select(*keys, F.transform("a", lambda x: x["v"]).alias("values"), "kinds", "size")
+def _digest(df: DataFrame, keys: list[str], order: str, *values: str) -> DataFrame:
+    """keys, d (two 64-bit hashes of the ordered values), kinds of the first value, and size; negative zero counts as zero.
+
+    The hashes are sums over rows of hashes of (place, values), so rows are summed where they are.
+    """
+    first = F.col(order) - F.min(order).over(W.partitionBy(*keys))
+    clean = [F.when(F.col(v) == 0, F.lit(0).cast(t)).otherwise(F.col(v)) for v, t in df.dtypes if v in values]
+    hashes = [F.xxhash64(F.lit(s), first, *clean).cast("decimal(38,0)") for s in (1, 2)]
+    x = df.select(*keys, values[0], *[h.alias(f"_h{i}") for i, h in enumerate(hashes)])
+    g = x.groupBy(*keys).agg(*[F.sum(f"_h{i}").alias(f"_h{i}") for i in (0, 1)], F.countDistinct(values[0]).alias("kinds"), F.count(F.lit(1)).alias("size"))
+    return g.select(*keys, F.struct("_h0", "_h1", "size").alias("d"), "kinds", "size")
+
+
+def _same(df: DataFrame, order: str, pairs: DataFrame, *values: str) -> DataFrame:
+    """The pairs (id, first) whose rows are equal value by value: what equal hashes only suggest."""
+    clean = [F.when(F.col(v) == 0, F.lit(0).cast(t)).otherwise(F.col(v)) for v, t in df.dtypes if v in values]
+    row = F.struct(order, *clean)
+    a = df.select("id", F.col(order).alias("_o"), row.alias("_a")).join(pairs, "id")
+    b = df.select(F.col("id").alias("first"), F.col(order).alias("_o"), row.alias("_b"))
+    apart = a.join(b, ["first", "_o"], "left").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("id").distinct()
+    return pairs.join(apart, "id", "left_anti")
+
+
+def _firsts(d: DataFrame) -> DataFrame:
+    """id, first, kinds, size for what has the digest of a lesser id."""
+    first = d.groupBy("d").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return d.join(first, "d").filter("id <> first").select("id", "first", "kinds", "size")
 
 
 def duplicate_histories(df: DataFrame) -> DataFrame:
     """id, first: series whose history equals, value by value, that of a series with a lesser id; informative if at least 16 long and 8 values."""
-    d = _digest(df.filter("period = 1"), ["id"], "k", "value")
-    first = d.groupBy("values").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return d.join(first, "values").filter("id <> first").select("id", "first", ((F.col("size") >= 16) & (F.col("kinds") >= 8)).alias("informative"))
+    past = df.filter("period = 1")
+    pairs = _same(past, "k", _firsts(_digest(past, ["id"], "k", "value")), "value")
+    return pairs.select("id", "first", ((F.col("size") >= 16) & (F.col("kinds") >= 8)).alias("informative"))
 
 
 def duplicate_series(df: DataFrame) -> DataFrame:
     """id, first: series equal to one of lesser id in values and periods."""
-    v = F.when(F.col("value") == 0, 0.0).otherwise(F.col("value").cast("double"))
-    g = df.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", v.alias("v"), "period"))), lambda x: F.struct(x["v"], x["period"])).alias("values"))
-    first = g.groupBy("values").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return g.join(first, "values").filter("id <> first").select("id", "first")
+    return _same(df, "k", _firsts(_digest(df, ["id"], "k", "value", "period")), "value", "period").select("id", "first")
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
@@ -194,20 +213,25 @@ def fingerprints(df: DataFrame) -> DataFrame:
     return g
 
 
-def near_candidates(df: DataFrame, k: int = 4, cell: float = 0.5) -> DataFrame:
-    """Pairs (a < b) of equally long histories among each other's k nearest fingerprints.
+def near_candidates(df: DataFrame, limit: float = NEAR_RMS) -> DataFrame:
+    """Pairs (a < b) of equally long histories whose fingerprints are as near as an rms of limit between them implies.
 
-    Candidates share a cell of the first two bins' grid or a neighbouring one, so
-    no length's series all meet; within cells the nearest k are kept by a window.
+    Of two standardised histories within that rms, the means of a bin of n of H values
+    differ by limit * sqrt(H / n) at most (Cauchy-Schwarz), and fingerprints weighed by
+    their bins' shares by limit at most in all. So neighbouring cells of that width in
+    the first four bins hold every such pair, and none is left out.
     """
     f = fingerprints(df).groupBy("id", "length").agg(F.array_sort(F.collect_list(F.struct("bin", "v"))).alias("a")).select("id", "length", F.transform("a", lambda x: x["v"]).alias("f"))
-    f = f.withColumns({"cx": F.floor(F.get("f", 0) / cell), "cy": F.floor(F.get("f", 1) / cell)})
-    shift = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
-    b = f.select(F.col("id").alias("b"), "length", F.col("f").alias("g"), "cx", "cy", shift).select("b", "length", "g", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
+    cell = limit * F.sqrt(F.col("length") / F.floor(F.col("length") / BINS)) * (1 + 1e-9)
+    axes = [f"c{i}" for i in range(4)]
+    f = f.withColumns({c: F.floor(F.get("f", i) / cell) for i, c in enumerate(axes)})
+    near = [F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])).alias(c) for c in axes]
+    b = f.select(F.col("id").alias("b"), "length", F.col("f").alias("g"), *axes)
+    for c, e in zip(axes, near, strict=True):
+        b = b.select("b", "length", "g", *[x for x in axes if x != c], e)
     d = F.aggregate(F.zip_with("f", "g", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    p = f.join(b, ["length", "cx", "cy"]).filter("id <> b").select("id", "b", d.alias("d"))
-    near = p.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy("d", "b"))).filter(F.col("r") <= k)
-    return near.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    p = f.join(b, ["length", *axes]).filter("id < b").filter(d * F.floor(F.col("length") / BINS) <= limit * limit * F.col("length") * (1 + 1e-9))
+    return p.select(F.col("id").alias("a"), "b").distinct()
 
 
 def verify_near(df: DataFrame, pairs: DataFrame, limit: float = NEAR_RMS) -> DataFrame:
@@ -221,12 +245,9 @@ def verify_near(df: DataFrame, pairs: DataFrame, limit: float = NEAR_RMS) -> Dat
 def repeated_blocks(df: DataFrame) -> DataFrame:
     """a, b, blocks: pairs of series (the first that holds a block, another) and how many aligned blocks they share.
 
-    At most MOST_BLOCKS blocks of BLOCK rows a history, spread from first to last; blocks of under 16 values are left out.
+    All blocks of BLOCK rows of a history are compared, by two 64-bit hashes; blocks of under 16 values are left out.
     """
     h = df.filter("period = 1").withColumns({"block": F.floor(F.col("k") / BLOCK).cast("int"), "blocks": F.floor(F.col("H") / BLOCK).cast("int")}).filter("block < blocks")
-    step = (F.col("blocks") - 1) / F.lit(float(MOST_BLOCKS - 1))
-    chosen = F.transform(F.sequence(F.lit(0), F.lit(MOST_BLOCKS - 1)), lambda i: F.floor(i * step).cast("int"))
-    h = h.filter((F.col("blocks") <= MOST_BLOCKS) | F.array_contains(chosen, F.col("block")))
     d = _digest(h, ["id", "block"], "k", "value").filter("kinds >= 16")
-    first = d.groupBy("values").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return d.join(first, "values").filter("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.countDistinct("values").alias("blocks"))
+    first = d.groupBy("d").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return d.join(first, "d").filter("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.countDistinct("d").alias("blocks"))

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: Ranges of scores that an age is cut into.
+RANGES = 256
 #: First and last age (from 1) of each bucket.
 BUCKETS = ((1, 8), (9, 16), (17, 32), (33, 64), (65, 128), (129, 256), (257, 512), (513, None))
 
@@ -30,18 +32,27 @@ def violations(df: DataFrame, prediction: str = "prediction") -> DataFrame:
     return rows.crossJoin(twice)  # one row by one row
 
 
+def score_range(p: Column) -> Column:
+    """Which of RANGES a score falls in, in the scores' order; what is outside [0, 1] is in the first or last."""
+    return F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), F.floor(p * RANGES))).cast("int")
+
+
 def pair_terms(df: DataFrame, prediction: str = "prediction", by: tuple[str, ...] = ()) -> DataFrame:
     """For each age (and by): active, positive, negative, weight, u (the Mann-Whitney statistic).
 
-    Rows are first counted by score, so a window sees one row a distinct score and
-    no age is bound to hold a row for every series.
+    Rows are counted by score; a window orders the scores of one age and range, and
+    another the ranges of an age, so that no task holds an age's scores whole.
     """
     keys = [*by, "t"]
+    before = W.unboundedPreceding, -1
     ties = df.groupBy(*keys, F.col(prediction).alias("_p")).agg(F.sum("target").alias("pos"), F.count(F.lit(1)).alias("rows"))
-    ties = ties.withColumn("neg", F.col("rows") - F.col("pos"))
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(*keys).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ties = ties.withColumn("neg", F.col("rows") - F.col("pos")).withColumn("_r", score_range(F.col("_p")))
+    below = F.coalesce(F.sum("neg").over(W.partitionBy(*keys, "_r").orderBy("_p").rowsBetween(*before)), F.lit(0))
     ties = ties.withColumn("u", F.col("pos") * (below + F.col("neg") / 2))
-    g = ties.groupBy(*keys).agg(F.sum("rows").alias("active"), F.sum("pos").alias("positive"), F.sum("neg").alias("negative"), F.sum("u").alias("u"))
+    r = ties.groupBy(*keys, "_r").agg(F.sum("rows").alias("rows"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("u").alias("u"))
+    under = F.coalesce(F.sum("neg").over(W.partitionBy(*keys).orderBy("_r").rowsBetween(*before)), F.lit(0))
+    r = r.withColumn("u", F.col("u") + F.col("pos") * under)
+    g = r.groupBy(*keys).agg(F.sum("rows").alias("active"), F.sum("pos").alias("positive"), F.sum("neg").alias("negative"), F.sum("u").alias("u"))
     return g.withColumn("weight", F.col("positive") * F.col("negative"))
 
 
@@ -67,6 +78,16 @@ def ts_auc(df: DataFrame, prediction: str = "prediction", by: tuple[str, ...] =
     return total(pair_terms(df, prediction, by), *by)
 
 
+def expected(df: DataFrame, keys: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """df, if it is a valid frame over exactly these keys (id, t); otherwise an error that says what is wrong."""
+    found = violations(df, prediction).first().asDict()
+    found["missing"] = keys.join(df, ["id", "t"], "left_anti").count()
+    found["unexpected"] = df.join(keys, ["id", "t"], "left_anti").count()
+    if wrong := {k: v for k, v in found.items() if v}:
+        raise ValueError(f"not a valid score frame: {wrong}")
+    return df
+
+
 def age_bucket() -> Column:
     out = None
     for lo, hi in BUCKETS:

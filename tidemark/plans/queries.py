@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocks, decisions, detectors, integrity, models, profile, scoring
+from ..sources import artifacts
 from ..sources.series import from_events, from_lineitem, table
 from ..streaming import scorer
 from .sql import P, auc_terms, query, r6
@@ -34,8 +34,7 @@ def sql_six(source: str, keys: str, values: list[str], where: str = "") -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{where.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+    return f"{artifacts.shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
 
 
 # Sources and checks
@@ -70,16 +69,16 @@ _I = "(select o_orderkey as id, o_custkey % 50 - 3 as tau_index from orders)"
 register(
     "integrity_checks",
     lambda s, d: integrity.checks(*_triple(s, d)),
-    f"""select 'duplicate X keys' as "check", count(*) as failures from (select id, time from {_X} group by all having count(*) > 1)
-    union all select 'duplicate y keys', count(*) from (select id, time from {_Y} group by all having count(*) > 1)
-    union all select 'duplicate metadata ids', count(*) from (select id from {_I} group by all having count(*) > 1)
-    union all select 'invalid X keys or period', count(*) from {_X} where id is null or time is null or period is null or period not in (1, 2)
-    union all select 'invalid y', count(*) from {_Y} where id is null or time is null or target is null or target not in (0, 1)
-    union all select 'invalid tau_index', count(*) from {_I} where id is null or tau_index is null or tau_index < -1 or tau_index <> floor(tau_index)
-    union all select 'labels without X', count(*) from {_Y} a where not exists (select 1 from {_X} b where a.id = b.id and a.time = b.time)
-    union all select 'online X without labels', count(*) from {_X} a where period = 2 and not exists (select 1 from {_Y} b where a.id = b.id and a.time = b.time)
-    union all select 'X without metadata', count(*) from {_X} a where not exists (select 1 from {_I} b where a.id = b.id)
-    union all select 'metadata without X', count(*) from {_I} a where not exists (select 1 from {_X} b where a.id = b.id)""",
+    f"""select 'twice_x' as "check", count(*) as failures from (select id, time from {_X} group by all having count(*) > 1)
+    union all select 'twice_y', count(*) from (select id, time from {_Y} group by all having count(*) > 1)
+    union all select 'twice_index', count(*) from (select id from {_I} group by all having count(*) > 1)
+    union all select 'bad_x', count(*) from {_X} where id is null or time is null or period is null or period not in (1, 2)
+    union all select 'bad_y', count(*) from {_Y} where id is null or time is null or target is null or target not in (0, 1)
+    union all select 'bad_index', count(*) from {_I} where id is null or tau_index is null or tau_index < -1 or tau_index <> floor(tau_index)
+    union all select 'y_without_x', count(*) from {_Y} a where not exists (select 1 from {_X} b where a.id = b.id and a.time = b.time)
+    union all select 'x_without_y', count(*) from {_X} a where period = 2 and not exists (select 1 from {_Y} b where a.id = b.id and a.time = b.time)
+    union all select 'x_without_index', count(*) from {_X} a where not exists (select 1 from {_I} b where a.id = b.id)
+    union all select 'index_without_x', count(*) from {_I} a where not exists (select 1 from {_X} b where a.id = b.id)""",
 )
 register("duplicate_keys", lambda s, d: integrity.duplicates(table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("time")), "id", "time"), "select l_orderkey as id, l_linenumber as time, count(*) as rows from lineitem group by all having count(*) > 1")
 register(
@@ -230,7 +229,7 @@ register("fold_balance", lambda s, d: decisions.fold_balance(decisions.manifest(
 _CELL = "case stratum " + " ".join(f"when '{s}' then {i}" for i, s in enumerate(decisions.STRATA)) + " end"
 _PART = f"(select *, case when (row_number() over (order by {_CELL}, fold, sha256('{decisions.PARTITION_SALT}' || id::varchar), id::varchar) - 1) % 2 = 0 then 'A' else 'B' end as partition_ from manifest)"
 register("partition_halves", lambda s, d: decisions.partition(decisions.manifest(from_lineitem(s, d))).select("id", "stratum", "fold", "partition"), f'select id, stratum, fold, partition_ as "partition" from {_PART}')
-register("partition_scores", lambda s, d: six(scoring.ts_auc(score_frame(s, d).join(decisions.partition(decisions.manifest(from_lineitem(s, d))).select("id", "partition"), "id"), "candidate", ("partition",)), ["partition", "pair_weight", "eligible_ages"], ["ts_auc"]), f'select partition_ as "partition", {_TOT} from ({auc_terms(f"(select s.*, p.partition_ from scores s join {_PART} p using (id))", "candidate", "partition_")}) group by partition_')
+register("partition_scores", lambda s, d: six(scoring.ts_auc(decisions.in_partition(score_frame(s, d), decisions.partition(decisions.manifest(from_lineitem(s, d)))), "candidate", ("partition",)), ["partition", "pair_weight", "eligible_ages"], ["ts_auc"]), f'select partition_ as "partition", {_TOT} from ({auc_terms(f"(select s.*, p.partition_ from scores s join {_PART} p using (id))", "candidate", "partition_")}) group by partition_')
 register("winner", lambda s, d: decisions.winner(detector_scores(s, d).select(F.col("detector").alias("experiment"), "ts_auc", F.length("detector").alias("inputs"), (F.col("ts_auc") > 0.3).alias("advances")), "none"), "select detector as experiment from (" + " union all ".join(f"select '{c}' as detector, round(sum(u) / sum(weight), 6) as v from ({auc_terms(f'(select *, round(score, 6) + 0.0 as sc from d_{c})', 'sc')})" for c in scorer.SCORES) + ") order by v desc, length(detector), detector limit 1")
 register(
     "related_groups",

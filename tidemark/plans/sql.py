@@ -292,6 +292,11 @@ for _name, _eta in (("l", "1.0"), ("c", "hac_eta")):
 step("lik", f"select id, k, t, hac_eta, {', '.join(_sides)} from lik_3")
 step("traj", f"select *, greatest(0.0, max(cur) over {CUM}) - cur as drawdown, 0.01::double * pow(0.99::double, t) * sum(cur * pow(0.99::double, -t)) over {CUM} as trajectory_ewma from (select *, greatest(l_plus, l_minus) as cur from lik)")
 
+# The same blocks of C itself, as if it were the stream.
+step("null_nz", f"select id, k, t, h, cut, period, nz, nz_mu, nz_v0 from nz where period = 1 union all select id, h + k - cut as k, k - cut as t, h, cut, 2 as period, nz, nz_mu, nz_v0 from nz where {REF}")
+for _n in [n for n in STEPS if re.match(r"(mom|hac|lik)", n)]:
+    step(f"null_{_n}", re.sub(r"\b(from|join) (nz|mom_\w+|hac\w*|lik\w*)\b", r"\1 null_\2", STEPS[_n]))
+
 # Scores that the scoring queries rank: two detectors, to six decimals, with folds.
 STRATUM = "case when tau_index = -1 then 'no_break' when tau_index + 1 <= 64 then 'break_1_64' when tau_index + 1 <= 128 then 'break_65_128' when tau_index + 1 <= 256 then 'break_129_256' when tau_index + 1 <= 512 then 'break_257_512' else 'break_513_plus' end"
 step("man_1", "select id, max(tau_index) as tau_index, count(case when period = 1 then 1 end) as history_length, count(case when period = 2 then 1 end) as online_length from series group by id")

@@ -6,10 +6,14 @@ not at all; small files on the driver are written aside and renamed.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
 import os
 import platform
+import re
+import shutil
+import tempfile
 import zipfile
 from pathlib import Path
 
@@ -32,6 +36,18 @@ def digest(obj) -> str:
     return hashlib.sha256(canonical(obj)).hexdigest()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Without one, a cluster is an error; where all is one process, a temporary one is set."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, where, True)
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 def write_json(path: str | Path, obj, indent: int | None = None) -> None:
     path = Path(path)
     data = json.dumps(obj, sort_keys=True, indent=indent, allow_nan=False).encode() + b"\n" if indent else canonical(obj)
@@ -158,11 +174,14 @@ def package(folder: str | Path, out: str | Path, allow: tuple[str, ...]) -> None
             z.writestr(info, (folder / name).read_bytes())
 
 
-def report(path: str | Path, title: str, tables: dict[str, DataFrame]) -> None:
-    """A Markdown report of small result tables."""
+def report(path: str | Path, title: str, tables: dict[str, DataFrame], most: int = 200) -> None:
+    """A Markdown report of small result tables; a longer one shows its first rows and says how many it has."""
     out = [f"# {title}"]
     for name, df in tables.items():
-        rows = df.limit(200).collect()
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            rows = rows[:most]
+            name = f"{name} (the first {most} of {df.count()} rows)"
         out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
     Path(path).write_text("\n".join(out) + "\n")
