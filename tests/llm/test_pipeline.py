@@ -61,3 +61,24 @@ def test_run_equals_the_stages(spark, sf_dir, stages):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     a, b = (pd.DataFrame(x[key]).sort_values(key, ignore_index=True) for x in (got, stages["packing"]))
     pd.testing.assert_frame_equal(a, b)
+
+
+def test_nulls_repeated_rows_extra_columns_and_empty_tables(spark, tmp_path):
+    """Every stage takes nulls in any column, rows without id, repeated rows and columns of clashing names; and empty tables."""
+    good = "the quick brown fox jumps over the lazy dog and runs far away from the old barn at dusk today"
+    rows = [(k, f"{good} number {k} of many {k * 7} words", None if k % 3 else "en", None if k % 2 else "s", None) for k in range(30)]
+    rows += [(None, good, None, None, None), (None, good, None, None, None), (3, rows[3][1], "en", "s", 5), (40, None, None, None, None), (41, "", "en", "s", 0), (42, "word " * 3000, "en", "s", 1), rows[4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 as r", "2 as copies", "'x' as _c0", "0.5 as score")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(30)] + [(None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = pipe.run(spark, str(tmp_path)).toPandas()
+    assert {*range(30), 40, 41, 42} >= set(out.doc_id.dropna().astype(int)) and out.doc_id.isna().any()
+    assert {40, 41, 42} <= set(out.doc_id.dropna())
+    for name, stage in pipe.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == list(pipe.COLUMNS), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    kept = pipe.one_of_each_group(spark, docs, str(tmp_path))
+    assert kept.filter("doc_id is null").count() == 1 and kept.filter("doc_id = 3").count() == 1  # one row of each group
+    assert pipe.pack(spark, docs.limit(0), str(tmp_path)).count() == 0
