@@ -30,7 +30,7 @@ from pyspark.sql.window import Window as W
 from .common import Scratch
 
 CAPACITY = 2048
-RANK = 4000
+RANK = 500
 END = 0
 
 
