@@ -73,6 +73,17 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], count:
     return rows.join(F.broadcast(hot), keys).unionByName(cold).drop(count)
 
 
+def kept(name: str, make):
+    """What make() gives, made once in a Python worker and used by all its later tasks, which are given these functions anew."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept"))
+    if not hasattr(held, name):
+        setattr(held, name, make())
+    return getattr(held, name)
+
+
 def words_of(text: Column) -> Column:
     """Array of the maximal runs of non-space characters; none for null."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

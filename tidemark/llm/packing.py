@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import Scratch
+from .common import Scratch, kept
 
 CAPACITY = 2048
 RANK = 500
@@ -62,7 +62,7 @@ def encoder(json_path: str, ranks_path: str, pattern: str):
 def public_encoder():
     import public_tokenizers as p
 
-    return encoder(p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    return kept("byte_bpe_50k", lambda: encoder(p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN))
 
 
 def pieces(docs: DataFrame, make_encoder=public_encoder, capacity: int = CAPACITY) -> DataFrame:
