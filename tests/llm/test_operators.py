@@ -173,9 +173,41 @@ def jaccard_brute(size, percent):
 
 @pytest.mark.parametrize(("size", "percent"), [(4, 85), (5, 80), (4, 60)])
 def test_jaccard_components(docs, size, percent):
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs, size, percent).collect()}
-    assert got.pop(None)[1] is None
-    assert got == jaccard_brute(size, percent)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard_join.jaccard_components(docs, size, percent).collect()}
+    assert got.pop(None)[1:] == (None, 0)
+    links = link_counts([shingle_set(t, size) for t in TEXTS], percent)
+    assert max(links) > 5
+    assert got == {i: (*x, links[i]) for i, x in jaccard_brute(size, percent).items()}
+
+
+def link_counts(sets, percent=85):
+    """Links of each set to the others, one by one."""
+    out = [0] * len(sets)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            out[i] += i != j and bool(x & y) and 100 * len(x & y) >= percent * len(x | y)
+    return out
+
+
+def test_jaccard_links_counted_across_blocks(spark, monkeypatch):
+    """A component cut into many blocks, long sets among short ones, copies of some, and blocks that stay empty."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard_join, "BLOCK_HASHES", 1500)
+    r = np.random.default_rng(8)
+    rows = [edited(BASE, r.choice(100, int(k), replace=False), r) for k in r.integers(1, 5, 45)]
+    rows += rows[:5] + rows[:2]
+    long = prose(5000, 5)
+    rows += [long + f" end{i}" for i in range(4)] + [None, "", "alone here among them all"]
+    want = link_counts([shingle_set(t, 4) for t in rows])
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)).collect()
+    assert {x["doc_id"]: x["n_links"] for x in got} == dict(enumerate(want))
+
+
+def test_shared_hashes():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 6000, int(n)).astype(np.uint64)) for n in (0, 1, 50, 4000, 5000, 300)]
+    got = jaccard_join.shared_hashes(sets[:3], sets[3:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[3:]] for a in sets[:3]]
 
 
 def test_jaccard_edges(spark, docs, empty):
@@ -217,9 +249,10 @@ def test_jaccard_rows_that_share_an_id(spark, seed):
     reach = collections.defaultdict(list)
     for k, (i, _) in enumerate(rows):
         reach[find(k)].append(i)
-    want = [(i, len(sets[k]), min((x for x in reach[find(k)] if x is not None), default=None)) for k, (i, _) in enumerate(rows)]
+    links = link_counts(sets)
+    want = [(i, len(sets[k]), min((x for x in reach[find(k)] if x is not None), default=None), links[k]) for k, (i, _) in enumerate(rows)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = [(x["doc_id"], x["n_shingles"], x["component_id"]) for x in jaccard_join.jaccard_components(d).collect()]
+    got = [(x["doc_id"], x["n_shingles"], x["component_id"], x["n_links"]) for x in jaccard_join.jaccard_components(d).collect()]
     key = lambda x: tuple((v is None, v or 0) for v in x)
     assert sorted(got, key=key) == sorted(want, key=key)
     kept = jaccard_join.keep_first(d.withColumn("r", F.lit(1)).withColumn("_c0", F.lit(2)))

@@ -19,13 +19,20 @@ Rows are saved once with a key of their own, so rows that share a doc_id stay ap
    one side, or by broadcasting the few hottest.
 4. Components come from alternating large-star and small-star steps, which are
    joins and grouped minima; nothing is collected. They run until nothing changes.
+5. Links are counted where they can be, inside components. The sets of a component
+   are dealt to blocks of at most about BLOCK_SETS sets and BLOCK_HASHES hashes; a
+   task meets two blocks, multiplies their incidence matrices and sends back one
+   number a set, never a pair. A component of one block costs one copy of its sets;
+   one of m blocks costs m, and the products grow with the square of its distinct sets.
 
 Defined results: null, empty or wordless text has an empty set and no links;
 fewer words than a shingle give one shingle of all words; every row has its own
 set and links, and rows with words that share a doc_id belong together, so the
 id has the links of all of them; a row without doc_id links like others, and its
-component_id is the least doc_id it reaches, null if there is none; an empty
-table gives an empty result; other columns are ignored.
+component_id is the least doc_id it reaches, null if there is none; n_links
+counts other rows with a set similar enough, so exact copies count and rows that
+only share a doc_id do not; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +52,8 @@ ODD = [f"o{i}" for i in range(BITS // 64)]
 PARTS = 64  # slices in which the sketch is summed
 KINDS = 0x9E3779B97F4A7C15
 HEAVY = 1 << 16  # at most twice as many rows are salted one by one
+BLOCK_SETS = 2048  # sets of a component in a block, on average at most
+BLOCK_HASHES = 1 << 17  # and hashes of those sets
 LIST_BLOCK = 1024  # members of lesser components that one task meets of a list
 
 
@@ -210,6 +219,67 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, scratc
     return links
 
 
+def shared_hashes(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    u, at = np.unique(np.concatenate(x + y), return_inverse=True)
+    own = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in x + y])
+    left = own < len(x)
+    both = (np.bincount(at[left], minlength=len(u)) > 0) & (np.bincount(at[~left], minlength=len(u)) > 0)
+    column = np.cumsum(both) - 1
+    kept = both[at]
+    at, own = column[at[kept]], own[kept]
+    order = np.argsort(at, kind="stable")
+    at, own = at[order], own[order]
+    for first in range(0, int(both.sum()), 2048):
+        lo, hi = np.searchsorted(at, (first, first + 2048))
+        m = np.zeros((len(x) + len(y), 2048), np.float32)
+        m[own[lo:hi], at[lo:hi] - first] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out
+
+
+def _link_counts(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """rep, links (rows of other sets similar enough) of nodes (rep, component, n, rows), exact within each component."""
+    shape = nodes.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_HASHES), F.ceil(F.count(F.lit(1)) / BLOCK_SETS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("k"))
+    wanted = join_counted(nodes.select("rep", "component", "rows"), shape, "component", "k")
+    wanted = wanted.select(F.col("rep").alias("r"), "component", "rows", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
+    kind = "component long, lo int, hi int, block int, rep long, rows long, s binary"
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    names = [c.split()[0] for c in kind.split(", ")]
+
+    def spread(batches):
+        words = _Words()
+        for big in batches:
+            for at in range(0, big.num_rows, 64):
+                b = big.slice(at, 64)
+                for c, m, k, r, rows, t in zip(*(b.column(i).to_pylist() for i in ("component", "blocks", "block", "r", "rows")), _texts(b), strict=True):
+                    s = shingles(t, size, words).tobytes()
+                    for other in range(0, m, 64):
+                        part = range(other, min(m, other + 64))
+                        cols = [[c] * len(part), [min(k, o) for o in part], [max(k, o) for o in part], [k] * len(part), [r] * len(part), [rows] * len(part), [s] * len(part)]
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t_) for v, t_ in zip(cols, types, strict=True)], names)
+
+    def count(table: pa.Table) -> pa.Table:
+        block, lo, hi = table.column("block").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("s")]
+        reps, rows = table.column("rep").to_numpy(), table.column("rows").to_numpy()
+        sides = [np.flatnonzero(block == b) for b in (lo, hi)]
+        links = np.zeros(len(sets), np.int64)
+        if all(len(x) for x in sides):
+            n = np.array([len(s) for s in sets], np.int64)
+            p, q = sides
+            both = shared_hashes([sets[i] for i in p], [sets[i] for i in q]).astype(np.int64)
+            near = (both > 0) & (100 * both >= percent * (n[p][:, None] + n[q] - both)) & (reps[p][:, None] != reps[q])
+            links[p] += near @ rows[q]
+            if lo != hi:
+                links[q] += near.T @ rows[p]
+        return pa.table({"rep": pa.array(reps, pa.int64()), "links": pa.array(links, pa.int64())})
+
+    sets = docs.select("r", "text").join(wanted, "r").mapInArrow(spread, kind)
+    return sets.groupBy("component", "lo", "hi").applyInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component (the least node reachable), for every node of edges (a, b) but the least of each component."""
     e = scratch.save(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -236,8 +306,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             raise RuntimeError("components do not settle")
 
 
-def _labels(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
-    """r, doc_id, n, label (of the component), component_id for every row of docs (r, doc_id, text), a saved table."""
+def _labels(docs: DataFrame, size: int, percent: int, scratch: Scratch, count: bool = False) -> DataFrame:
+    """r, doc_id, n, label (of the component), component_id, n_links (null unless asked to count) for every row of docs (r, doc_id, text), a saved table."""
     spark = docs.sparkSession
     sketch = spark.sparkContext.broadcast(_sketch(docs, size))
     all_ = scratch.save(_prefixes(docs, size, percent, sketch), "prefixes")
@@ -287,6 +357,7 @@ def _labels(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataF
     inner = member.filter("rep <> g").select(F.col("rep").alias("a"), F.col("g").alias("b"))
     links = _verified(best.union(inner), docs, size, percent, scratch)
     scratch.drop(pivots)
+    similar = links
     # Sets of rows with one doc_id belong together.
     named = all_.filter("n > 0 and doc_id is not null").withColumn("w", F.xxhash64("n", "whole"))
     several = named.groupBy("doc_id").agg(F.min("w").alias("lo"), F.max("w").alias("hi")).filter("lo <> hi").select("doc_id")
@@ -314,14 +385,26 @@ def _labels(docs: DataFrame, size: int, percent: int, scratch: Scratch) -> DataF
     comp = components(links.union(found), scratch)
     comp = comp.union(comp.select("component", "component").distinct())  # the least node is its own
     comp = scratch.save(comp, "components")
-    scratch.drop(x, main, shared, member, found)
-    ends = comp.join(firsts.select(F.col("rep").alias("node"), "least"), "node")
-    least = ends.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k"))
-    comp = scratch.save(join_counted(comp, least, "component", "k"), "components")
-    known = firsts.join(comp, F.col("rep") == F.col("node"), "left").select("n", "whole", "rows", F.coalesce("component", "rep").alias("label"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    scratch.drop(x, main, shared, member)
+    ends = comp.join(firsts.select(F.col("rep").alias("node"), "least", "n", "rows"), "node")
+    least = ends.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("k"), F.sum("rows").alias("all"))
+    ends = scratch.save(join_counted(ends, least.withColumn("sets", F.col("k")), "component", "k"), "components")
+    links_ = ends.select("node", F.lit(None).cast("long").alias("links"))
+    if count:
+        # Of two sets it is known whether they link; more are counted.
+        pair = similar.union(found).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        two = ends.filter("sets = 2").join(pair, "node").select("node", (F.col("all") - F.col("rows")).alias("links"))
+        more = ends.filter("sets > 2").select(F.col("node").alias("rep"), "component", "n", "rows")
+        links_ = two.union(_link_counts(docs, more, size, percent))
+    comp = ends.select("node", "component", "component_id").join(links_, "node", "left")
+    known = firsts.join(comp, F.col("rep") == F.col("node"), "left").select(
+        "n", "whole", "rows", F.coalesce("component", "rep").alias("label"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"),
+        (F.col("rows") - 1 + F.coalesce("links", F.lit(0)) if count else F.lit(None)).cast("long").alias("n_links"),
+    )
     known = scratch.save(known, "known")
-    rows = join_counted(all_.filter("n > 0").select("r", "doc_id", "n", "whole"), known, ["n", "whole"], "rows").select("r", "doc_id", "n", "label", "component_id")
-    return rows.unionByName(all_.filter("n = 0").select("r", "doc_id", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id")))
+    out = ["r", "doc_id", "n", "label", "component_id", "n_links"]
+    rows = join_counted(all_.filter("n > 0").select("r", "doc_id", "n", "whole"), known, ["n", "whole"], "rows").select(*out)
+    return rows.unionByName(all_.filter("n = 0").select("r", "doc_id", "n", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"), F.lit(0 if count else None).cast("long").alias("n_links")))
 
 
 def _keyed(docs: DataFrame, scratch: Scratch, *carry: Column) -> DataFrame:
@@ -330,13 +413,9 @@ def _keyed(docs: DataFrame, scratch: Scratch, *carry: Column) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of docs.
-
-    Links are verified until each component is whole; those that would only add to
-    a component are not, so their number is not known and not returned.
-    """
+    """doc_id, n_shingles, component_id and n_links (other rows that it links with) for every row of docs."""
     scratch = Scratch(docs.sparkSession)
-    return _labels(_keyed(docs, scratch), size, percent, scratch).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    return _labels(_keyed(docs, scratch), size, percent, scratch, count=True).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "n_links")
 
 
 def keep_first(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:

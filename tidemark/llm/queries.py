@@ -77,7 +77,8 @@ ORACLE_SQL: dict[str, str] = {
         ), r(doc_id, c) as (
             select doc_id, doc_id from documents union select l.b, r.c from r join l on r.doc_id = l.a
         )
-        select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(c) from r where r.doc_id = d.doc_id) as component_id
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(c) from r where r.doc_id = d.doc_id) as component_id,
+            (select count(*) from l where l.a = d.doc_id) as n_links
         from documents d left join n on n.doc_id = d.doc_id
     """,
     "op9_exact_topk": """
