@@ -45,6 +45,23 @@ def test_package_is_reproducible(tmp_path):
     assert (tmp_path / "1.zip").read_bytes() == (tmp_path / "2.zip").read_bytes()
 
 
+def test_admission_against_a_frozen_specification(tmp_path):
+    guarded, path = tmp_path / "folds.csv", tmp_path / "spec.json"
+    guarded.write_text("1,2\n")
+    spec = {"sources": {"x": "ab"}, "config": {"rate": 0.5, "limit": None}, "folds": [1, 2]}
+    pin = artifacts.freeze(path, spec, (guarded,))
+    assert artifacts.admit(path, pin, spec) == spec
+    with pytest.raises(ValueError, match="already"):
+        artifacts.freeze(path, spec)
+    with pytest.raises(ValueError, match="config, folds, more$"):
+        artifacts.admit(path, pin, {"sources": {"x": "ab"}, "config": {"rate": 0.5}, "more": None})
+    with pytest.raises(ValueError, match="pinned"):
+        artifacts.admit(path, "0" * 64, spec)
+    guarded.write_text("1,3\n")
+    with pytest.raises(ValueError, match="folds.csv"):
+        artifacts.admit(path, pin, spec)
+
+
 def test_backtest_and_compare(spark, sf_dir):
     frame = series.from_lineitem(spark, sf_dir)
     a, b = api.backtest(frame, "squared").cache(), api.backtest(frame, "E03").cache()

@@ -150,6 +150,28 @@ def verify(folder: str | Path) -> dict[str, str]:
     return now
 
 
+def freeze(path: str | Path, spec: dict, protected: tuple[str | Path, ...] = ()) -> str:
+    """Write a specification (sources, configuration, folds) and the digests of the files it protects, once; the digest of both is the pin."""
+    if Path(path).exists():
+        raise ValueError("already frozen")
+    held = {"spec": json.loads(canonical(spec)), "protected": {str(p): file_digest(p) for p in protected}}
+    write_json(path, held)
+    return digest(held)
+
+
+def admit(path: str | Path, pin: str, spec: dict) -> dict:
+    """The frozen specification, if it has this pin, says what spec says, and its protected files are as they were; else all that differs."""
+    held = json.loads(Path(path).read_text())
+    if digest(held) != pin:
+        raise ValueError("the frozen specification is not the pinned one")
+    asked = json.loads(canonical(spec))
+    wrong = sorted(k for k in asked.keys() | held["spec"].keys() if k not in asked or k not in held["spec"] or asked[k] != held["spec"][k])
+    wrong += [p for p, d in sorted(held["protected"].items()) if not Path(p).is_file() or file_digest(p) != d]
+    if wrong:
+        raise ValueError("not admitted: " + ", ".join(wrong))
+    return held["spec"]
+
+
 def write_bundle(folder: str | Path, model: bytes, note: dict) -> None:
     """A model and what it was made from; the manifest comes last and makes it valid."""
     folder = Path(folder)
