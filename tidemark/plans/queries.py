@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, decisions, detectors, integrity, models, profile, scoring
+from ..operators import batch, blocks, decisions, detectors, integrity, models, profile, scoring
 from ..sources import artifacts
 from ..sources.series import from_events, from_lineitem, table
 from ..streaming import scorer
@@ -297,23 +297,28 @@ register("near_duplicates", lambda s, d: six(profile.verify_near(_copied(s, d),
 # Models: no SQL fits them; the tests check weights, gradients and nesting
 
 
+#: An experiment, or what all children of the base model read.
+_CHILDREN = ("E08", "E09", "E10", "E11", "E12")
+
+
 def _frame(s: SparkSession, d: str, through: str) -> DataFrame:
-    """The feature export: computed once, written, and read by every fit."""
+    """The columns that an experiment (or the base model and its children) reads: computed once, written, and read by every fit."""
     x = from_lineitem(s, d)
-    f = blocks.features(x, through).join(decisions.manifest(x).select("id", "fold"), "id")
+    x = x.join(decisions.manifest(x).select("id", F.col("fold").cast("int").alias("fold")), "id")  # before the blocks, where a series has its place already
+    columns = dict.fromkeys(c for e in (_CHILDREN if through == "base" else (through,)) for c in models.used(e, batch.COLUMNS))
     path = f"{shared_folder(s)}/features"
-    f.write.option("compression", "zstd").parquet(path)
+    batch.features(x, tuple(columns), ("target", "fold")).write.option("compression", "zstd").parquet(path)
     return s.read.parquet(path)
 
 
-def model_scores(s: SparkSession, d: str, experiment: str, through: str) -> DataFrame:
+def model_scores(s: SparkSession, d: str, experiment: str) -> DataFrame:
     """Out-of-fold TS-AUC of an experiment, pooled (fold -1) and by fold."""
-    f = _frame(s, d, through)
+    f = _frame(s, d, experiment)
     return scoring.pooled_and_folds(models.out_of_fold(f, experiment))
 
 
-for _e, _through in {"E08": "base", "E09": "base", "E10": "base", "E11": "base", "E12": "base", "E14": "scale", "E15": "scale", "E16": "scale", "E17": "scale", "E18": "normal", "E19": "normal", "E20": "normal", "E21": "normal"}.items():
-    register(f"model_{_e}", lambda s, d, e=_e, th=_through: model_scores(s, d, e, th))
+for _e in models.EXTRAS:
+    register(f"model_{_e}", lambda s, d, e=_e: model_scores(s, d, e))
 register("model_E13_boosted", lambda s, d: scoring.pooled_and_folds(models.boosted(_frame(s, d, "base"))))
 
 
