@@ -1,10 +1,11 @@
 """The frame by numpy is the frame by windows, and models read no more than they need."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import batch, blocks, models
+from tidemark.operators import audits, batch, blocks, models
 from tidemark.plans import queries
 from tidemark.sources.series import from_lineitem
 
@@ -43,3 +44,16 @@ def test_folds_fitted_together_are_those_fitted_alone(spark, sf_dir):
                 rest = f.filter(F.col("fold") != k)
                 assert models.fit(rest, e)["slopes"] == pytest.approx(m["slopes"], abs=1e-9)
                 assert models.gradient(rest, m).agg(F.max(F.abs("gradient"))).first()[0] < 1e-9
+
+
+def test_quantiles_hold_no_column_in_one_task(spark):
+    """Exact quantiles of ties, a heavy tail, nulls and a constant, without a percentile aggregate."""
+    r = np.random.default_rng(4)
+    f = pd.DataFrame({"a": r.normal(size=3001), "b": np.round(r.normal(size=3001), 1), "c": np.exp(9 * r.normal(size=3001)), "d": 0.25})
+    df = spark.createDataFrame(f).withColumn("a", F.when(F.col("a") < 2, F.col("a"))).repartition(5)
+    f.loc[f["a"] >= 2, "a"] = np.nan
+    spans = {c: (int(f[c].count()), f[c].min(), f[c].max()) for c in f}
+    levels = list(audits.LEVELS.values())
+    got = audits.quantiles(df, spans, levels)
+    for c in f:
+        assert got[c] == pytest.approx(np.quantile(f[c].dropna(), levels), rel=1e-12), c

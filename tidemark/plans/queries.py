@@ -304,10 +304,10 @@ _CHILDREN = ("E08", "E09", "E10", "E11", "E12")
 def _frame(s: SparkSession, d: str, through: str) -> DataFrame:
     """The columns that an experiment (or the base model and its children) reads: computed once, written, and read by every fit."""
     x = from_lineitem(s, d)
-    x = x.join(decisions.manifest(x).select("id", F.col("fold").cast("int").alias("fold")), "id")  # before the blocks, where a series has its place already
+    f = x.join(decisions.manifest(x).select("id", F.col("fold").cast("int").alias("fold")), "id")  # before the blocks, where a series has its place already
     columns = dict.fromkeys(c for e in (_CHILDREN if through == "base" else (through,)) for c in models.used(e, batch.COLUMNS))
     path = f"{shared_folder(s)}/features"
-    batch.features(x, tuple(columns), ("target", "fold")).write.option("compression", "zstd").parquet(path)
+    batch.features(f, tuple(columns), ("target", "fold"), x).write.option("compression", "zstd").parquet(path)
     return s.read.parquet(path)
 
 
