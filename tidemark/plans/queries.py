@@ -297,15 +297,15 @@ register("near_duplicates", lambda s, d: six(profile.verify_near(_copied(s, d),
 # Models: no SQL fits them; the tests check weights, gradients and nesting
 
 
-#: An experiment, or what all children of the base model read.
+#: What the base model reads ("base"), or all its children ("children"), or an experiment.
 _CHILDREN = ("E08", "E09", "E10", "E11", "E12")
 
 
 def _frame(s: SparkSession, d: str, through: str) -> DataFrame:
-    """The columns that an experiment (or the base model and its children) reads: computed once, written, and read by every fit."""
+    """The columns that an experiment (or the base model, or all its children) reads: computed once, written, and read by every fit."""
     x = from_lineitem(s, d)
     f = x.join(decisions.manifest(x).select("id", F.col("fold").cast("int").alias("fold")), "id")  # before the blocks, where a series has its place already
-    columns = dict.fromkeys(c for e in (_CHILDREN if through == "base" else (through,)) for c in models.used(e, batch.COLUMNS))
+    columns = dict.fromkeys(c for e in {"base": ("E08",), "children": _CHILDREN}.get(through, (through,)) for c in models.used(e, batch.COLUMNS))
     path = f"{shared_folder(s)}/features"
     batch.features(f, tuple(columns), ("target", "fold"), x).write.option("compression", "zstd").parquet(path)
     return s.read.parquet(path)
