@@ -301,14 +301,18 @@ register("near_duplicates", lambda s, d: six(profile.verify_near(_copied(s, d),
 _CHILDREN = ("E08", "E09", "E10", "E11", "E12")
 
 
+#: Line items to a pass of the frame, and most passes.
+_PASS_ROWS, _PASSES = 4_000_000, 4
+
+
 def _frame(s: SparkSession, d: str, through: str) -> DataFrame:
     """The columns that an experiment (or the base model, or all its children) reads: computed once, written, and read by every fit."""
-    x = from_lineitem(s, d)
-    f = x.join(decisions.manifest(x).select("id", F.col("fold").cast("int").alias("fold")), "id")  # before the blocks, where a series has its place already
+    x, root = from_lineitem(s, d), shared_folder(s)
+    decisions.folds(x).write.parquet(f"{root}/folds")
+    f = x.join(s.read.parquet(f"{root}/folds"), "id")  # before the blocks, where a series has its place already
     columns = dict.fromkeys(c for e in {"base": ("E08",), "children": _CHILDREN}.get(through, (through,)) for c in models.used(e, batch.COLUMNS))
-    path = f"{shared_folder(s)}/features"
-    batch.features(f, tuple(columns), ("target", "fold"), x).write.option("compression", "zstd").parquet(path)
-    return s.read.parquet(path)
+    passes = max(1, min(_PASSES, table(s, d, "lineitem").count() // _PASS_ROWS))
+    return batch.write(f, tuple(columns), ("target", "fold"), f"{root}/features", x, passes)
 
 
 def model_scores(s: SparkSession, d: str, experiment: str) -> DataFrame:
