@@ -82,3 +82,26 @@ def test_nulls_repeated_rows_extra_columns_and_empty_tables(spark, tmp_path):
     kept = pipe.one_of_each_group(spark, docs, str(tmp_path))
     assert kept.filter("doc_id is null").count() == 1 and kept.filter("doc_id = 3").count() == 1  # one row of each group
     assert pipe.pack(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_batches_to_python_are_bounded_by_bytes(spark):
+    """Long texts go to Python a few megabytes at a time, whatever their number."""
+    import pyarrow as pa
+
+    from tidemark.llm import common
+
+    docs = spark.range(0, 2000, 1, 1).selectExpr("id as doc_id", "repeat('abcdefgh ', 5000) as text")
+    name, small = "spark.sql.execution.arrow.maxBytesPerBatch", common.BATCH_BYTES
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(1 << 28))
+        common.Scratch(spark)
+
+        def size(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], ["rows", "bytes"])
+
+        found = docs.select("text").mapInArrow(size, "rows long, bytes long").toPandas()
+        assert found["rows"].sum() == 2000 and found["bytes"].max() < 2 * small
+    finally:
+        spark.conf.set(name, before)

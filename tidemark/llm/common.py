@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Bytes that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch on its way to Python; each core holds a few copies of it, outside the heap and in its worker.
+BATCH_BYTES = 4 << 20
 #: No more keys than this are broadcast as hot ones.
 PARTS = 1024
 
@@ -30,6 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches hold BATCH_BYTES at most, or one row: by rows alone, 10,000 long texts or sets are one batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors, and go when the driver ends."""
 
@@ -37,6 +46,7 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         where, files = self._files(self.root)
         files.deleteOnExit(where)
+        small_batches(spark)
 
     def _files(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)

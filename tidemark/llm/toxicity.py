@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lang_split
+from .common import lang_split, small_batches
 
 SAMPLE = 1500
 CHARS = 6_000_000
@@ -384,6 +384,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
 def _scored(docs: DataFrame, model: dict, carry: list[str]) -> DataFrame:
     """carry and score of every row of docs (text, carry)."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
