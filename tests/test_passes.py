@@ -22,7 +22,7 @@ def test_folds_need_no_place_in_the_series(spark, sf_dir):
     assert "l_shipdate" not in plan.split("Relation")[0]
 
 
-@pytest.mark.parametrize("experiment", ["E18", "E19", "E20", "E21"])
+@pytest.mark.parametrize("experiment", ["E16", "E18", "E19", "E20", "E21"])
 def test_passes_give_the_same_frame_and_drop_their_shuffles(spark, sf_dir, monkeypatch, experiment):
     def frame():
         return queries._frame(spark, sf_dir, experiment).toPandas().sort_values(["id", "t"]).reset_index(drop=True)
