@@ -305,9 +305,9 @@ _CHILDREN = ("E08", "E09", "E10", "E11", "E12")
 _PASS_ROWS, _PASSES = 4_000_000, 4
 
 
-def _frame(s: SparkSession, d: str, through: str) -> DataFrame:
-    """The columns that an experiment (or the base model, or all its children) reads: computed once, written, and read by every fit."""
-    x, root = from_lineitem(s, d), shared_folder(s)
+def _frame(s: SparkSession, d: str, through: str, root: str | None = None) -> DataFrame:
+    """The columns that an experiment (or the base model, or all its children) reads: computed once, written (in root), and read by every fit."""
+    x, root = from_lineitem(s, d), root or shared_folder(s)
     decisions.folds(x).write.parquet(f"{root}/folds")
     f = x.join(s.read.parquet(f"{root}/folds"), "id")  # before the blocks, where a series has its place already
     columns = dict.fromkeys(c for e in {"base": ("E08",), "children": _CHILDREN}.get(through, (through,)) for c in models.used(e, batch.COLUMNS))
@@ -316,9 +316,21 @@ def _frame(s: SparkSession, d: str, through: str) -> DataFrame:
 
 
 def model_scores(s: SparkSession, d: str, experiment: str) -> DataFrame:
-    """Out-of-fold TS-AUC of an experiment, pooled (fold -1) and by fold."""
-    f = _frame(s, d, experiment)
-    return scoring.pooled_and_folds(models.out_of_fold(f, experiment))
+    """Out-of-fold TS-AUC of an experiment, pooled (fold -1) and by fold.
+
+    The frame goes once predictions are saved, before they are shuffled; what stays
+    are the sums of each age and fold.
+    """
+    root = shared_folder(s)
+    try:
+        x = models.out_of_fold(_frame(s, d, experiment, root), experiment)
+        x.select("t", "target", "fold", "prediction").write.option("compression", "zstd").parquet(f"{root}/predictions")
+        artifacts.remove(s, f"{root}/features", f"{root}/folds")
+        with batch.shuffles_dropped(s):
+            scoring.fold_terms(s.read.parquet(f"{root}/predictions")).write.parquet(f"{root}/terms")
+    finally:
+        artifacts.remove(s, *[f"{root}/{name}" for name in ("features", "folds", "predictions")])
+    return scoring.total(s.read.parquet(f"{root}/terms"), "fold")
 
 
 for _e in models.EXTRAS:
