@@ -48,7 +48,7 @@ def test_passes_cover_every_cell_and_shrink_as_the_frame_grows():
             assert all(x > y > 0 for x, y in zip(sizes, sizes[1:], strict=False))
 
 
-@pytest.mark.parametrize("experiment", ["E20", "E16", "E19"])
+@pytest.mark.parametrize("experiment", ["E20", "E16", "E19", "E21"])
 def test_scores_over_passes_are_the_scores_at_once_and_leave_no_frame(spark, sf_dir, monkeypatch, experiment):
     want = scoring.pooled_and_folds(models.out_of_fold(queries._frame(spark, sf_dir, experiment), experiment)).orderBy("fold").collect()
     shared = spark.conf.get("spark.checkpoint.dir")
